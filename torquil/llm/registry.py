@@ -1,6 +1,7 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
 from torquil.llm.ngram_join import op2_ngram_join
+from torquil.llm.suffix_dedup import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join,)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op4_suffix_dedup)}
 SQL: dict[str, str] = {}
