@@ -1,10 +1,12 @@
 """The corpus operators' queries and, where SQL can express them, their SQL."""
 
+from torquil.llm.licenses import op10_licenses
+from torquil.llm.near_vectors import op9_near_vectors
 from torquil.llm.ngram_join import op2_ngram_join
 from torquil.llm.packing import op5_packing
 from torquil.llm.quality import op6_quality
 from torquil.llm.secrets import op3_secrets
 from torquil.llm.suffix_dedup import op4_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_secrets, op4_suffix_dedup, op5_packing, op6_quality)}
+QUERIES = {f.__name__: f for f in (op2_ngram_join, op3_secrets, op4_suffix_dedup, op5_packing, op6_quality, op9_near_vectors, op10_licenses)}
 SQL: dict[str, str] = {}
