@@ -27,6 +27,7 @@ from torquil.llm import common as C
 
 #: Vectors a filter has, codes, filters of each that a pair at the least cosine is expected to share, and vectors of a block.
 MEMBERS, CODES, SHARED, BLOCK = 100, 6, 3, 512
+FEW = 16
 
 
 def _tail(z: float) -> float:
@@ -58,7 +59,8 @@ def decode(x: np.ndarray, z: float, words: int, seed: int) -> list[np.ndarray]:
     turn, left, right = code(x.shape[1], words, seed)
     y = x @ turn
     a, b = y[:, : left.shape[1]] @ left.T, y[:, left.shape[1] :] @ right.T
-    least = z * math.sqrt(2 / x.shape[1])
+    # the design is for products that are nearly normal; in few dimensions caps must be wide to be met at all
+    least = math.sqrt(2) * (z / math.sqrt(x.shape[1]) if x.shape[1] >= FEW else min(0.35, z / math.sqrt(x.shape[1])))
     out = []
     for p, q in zip(a, b):
         i, j = np.argsort(-p), np.argsort(-q)

@@ -3,8 +3,8 @@
 Forward, each place in a text gets the summed weight of all segmentations that lead to it; backward, pieces are
 drawn from the end in proportion to what leads to them, so whole segmentations are drawn by their weights. Draws
 depend on the row key, the word's number and the step alone, so any partitioning gives the same pieces. No piece
-spans a space that follows other characters, so lattices are made once for each distinct word, and the words of
-many texts are sampled side by side.
+spans a space that follows other characters, so lattices are made for the distinct words of some texts at a time,
+and all their words are sampled side by side.
 
 A piece's weight is 1 / (rank + SHIFT) ** sharpness; characters without a piece are written as bytes, and so is a
 text's own U+2581, which stands for a space in pieces. Results for odd input: null and empty texts have no pieces;
@@ -15,10 +15,8 @@ from __future__ import annotations
 
 import functools
 import itertools
-import math
 import re
 import zlib
-from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +25,12 @@ from pyspark.sql import DataFrame, functions as F
 from torquil.llm import common as C
 
 MODEL = "piece_bpe_32k.model"
-SHIFT, SHARPNESS = 8.0, 2.0
+SHIFT, SHARPNESS = 8.0, 3.0
 SPACE = "▁"
 #: Codes from here on are characters to be written as bytes.
 BYTES = 1 << 20
-#: Words whose lattices are kept.
-CACHE = 100_000
+#: A word that is the text's own U+2581; other words have it at their start only.
+OWN = "\n" + SPACE
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -45,55 +43,94 @@ class Sampler:
         size = sp.get_piece_size()
         usual = [i for i in range(size) if not (sp.is_control(i) or sp.is_byte(i) or sp.is_unknown(i) or sp.is_unused(i))]
         rank = {i: min(-sp.get_score(i), size) if sp.get_score(i) > -1e8 else size for i in usual}
-        self.weight = {sp.id_to_piece(i): (i, (rank[i] + SHIFT) ** -sharpness) for i in usual}
-        if any(SPACE in p.lstrip(SPACE) for p in self.weight):
+        pieces = {sp.id_to_piece(i): i for i in usual}
+        if any(SPACE in p.lstrip(SPACE) for p in pieces):
             raise ValueError("pieces may not span spaces")
-        self.byte_weight = (size + SHIFT) ** -sharpness
-        self.longest = max(map(len, self.weight))
+        self.byte_weight = -sharpness * np.log(size + SHIFT)
+        # by length: sorted hashes of the pieces' beginnings, their codes (-1 if no pieces), log weights, and whether pieces go on
+        starts: list[dict[int, list]] = [{} for _ in range(max(map(len, pieces)))]
+        for p, i in pieces.items():
+            h = 0
+            for k, c in enumerate(p):
+                h = (h * int(C.M1) + ord(c) + 1) & (1 << 64) - 1
+                entry = starts[k].setdefault(h, [-1, 0.0, False])
+                if k + 1 == len(p):
+                    entry[0], entry[1] = i, -sharpness * np.log(rank[i] + SHIFT)
+                else:
+                    entry[2] = True
+        self.tables = []
+        for t in starts:
+            keys = np.array(sorted(t), np.uint64)
+            self.tables.append((keys, *(np.array([t[int(k)][x] for k in keys], kind) for x, kind in enumerate((np.int64, np.float64, bool)))))
         self.byte_ids = [sp.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
         self.bytes_of = [b""] * size
-        for p, (i, _) in self.weight.items():
+        for p, i in pieces.items():
             self.bytes_of[i] = p.replace(SPACE, " ").encode()
         for b, i in enumerate(self.byte_ids):
             self.bytes_of[i] = bytes([b])
-        self.known: dict[str, tuple] = {}
-
-    def lattice(self, word: str) -> tuple[int, bytes, bytes, bytes, bytes]:
-        """Places, edges of each place, and of each edge: the place before it, its code and its summed chance among the place's edges."""
-        n, get = len(word), self.weight.get
-        edges, before, codes, chance = array("i", [0]), array("i"), array("i"), array("d")
-        alpha, shift = [1.0], [0.0]  # alpha[j] * exp(shift[j]) is the weight that leads to j
-        for j in range(1, n + 1):
-            found = []
-            for i in range(max(0, j - self.longest), j):
-                hit = get(word[i:j])
-                if hit:
-                    found.append((i, hit[0], hit[1]))
-            if not found or found[-1][0] != j - 1:
-                found.append((j - 1, BYTES + ord(word[j - 1]), self.byte_weight))
-            top = max(shift[i] for i, _, _ in found)
-            weights = [alpha[i] * w * (math.exp(shift[i] - top) if shift[i] != top else 1.0) for i, _, w in found]
-            total = sum(weights)
-            edges.append(len(found))
-            x = 0.0
-            for (i, code, _), w in zip(found, weights):
-                x += w / total
-                before.append(i)
-                codes.append(code)
-                chance.append(x)
-            chance[-1] = 1.0
-            if total < 1e-150:
-                total, top = total * 1e150, top - 150 * math.log(10)
-            alpha.append(total)
-            shift.append(top)
-        return n + 1, edges.tobytes(), before.tobytes(), codes.tobytes(), chance.tobytes()
+
+    def lattices(self, words: list[str]):
+        """Of the words' places, one after another: first edge and number of edges. Of each edge: the place before it, its code and its summed chance.
+
+        The edges of a place stand together. Forward filtering goes over all words at once, by the place in the word.
+        """
+        own = np.array([w == OWN for w in words])
+        chars = np.frombuffer("".join([SPACE if w == OWN else w for w in words]).encode("utf-32-le"), np.uint32)
+        sizes = np.array([1 if w == OWN else len(w) for w in words], np.int64)
+        word = np.repeat(np.arange(len(words)), sizes)
+        ends = np.cumsum(sizes)
+        last, local = ends[word], np.arange(len(chars)) - (ends - sizes)[word]
+        values = chars.astype(np.uint64) + np.uint64(1)
+        i, h, found = np.flatnonzero(~own[word]), np.zeros(int((~own[word]).sum()), np.uint64), []
+        plain = np.zeros(len(chars), bool)
+        for size, (keys, codes, weights, more) in enumerate(self.tables, 1):
+            h = h * C.M1 + values[i + size - 1]
+            k = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            ok = keys[k] == h
+            i, h, k = i[ok], h[ok], k[ok]
+            hit = codes[k] >= 0
+            found.append((i[hit], np.full(int(hit.sum()), size), codes[k[hit]], weights[k[hit]]))
+            if size == 1:
+                plain[i[hit]] = True
+            on = more[k] & (i + size < last[i])
+            i, h = i[on], h[on]
+            if not len(i):
+                break
+        rest = np.flatnonzero(~plain)
+        found.append((rest, np.ones(len(rest), np.int64), BYTES + chars[rest].astype(np.int64), np.full(len(rest), self.byte_weight)))
+        i, size, code, weight = (np.concatenate(x) for x in zip(*found))
+        reached = local[i] + size
+        order = np.lexsort((i, word[i], reached))
+        i, size, code, weight, reached = i[order], size[order], code[order], weight[order], reached[order]
+        before = i + word[i]  # a word has a place more than characters
+        at = before + size
+        new = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        first, edges = np.zeros(len(chars) + len(words), np.int64), np.zeros(len(chars) + len(words), np.int64)
+        edges[at[new]] = np.diff(np.concatenate((new, [len(at)])))
+        first[at[new]] = new
+        chance, alpha = np.empty(len(at)), np.zeros(len(first))
+        cuts = np.searchsorted(reached[new], np.arange(1, int(reached[-1]) + 2))  # of the places, by their number in the word
+        bounds = np.concatenate((new, [len(at)]))
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            x, y = bounds[a], bounds[b]
+            by = new[a:b] - x
+            times = np.diff(bounds[a : b + 1])
+            logs = alpha[before[x:y]] + weight[x:y]
+            top = np.maximum.reduceat(logs, by)
+            e = np.exp(logs - np.repeat(top, times))
+            total = np.add.reduceat(e, by)
+            alpha[at[new[a:b]]] = top + np.log(total)
+            run = np.cumsum((e / np.repeat(total, times) * 2.0**40).astype(np.int64))  # exact, whatever else is in the batch
+            chance[x:y] = (run - np.repeat(np.concatenate(([0], run[by[1:] - 1])), times)) * 2.0**-40
+        chance[bounds[1:] - 1] = 2.0  # no draw gets past the last edge
+        return sizes + 1, first, edges, before, code, chance
 
     def words(self, text: str) -> list[str]:
         """Words to segment; the text's own U+2581 is a word of its own, marked by a leading newline."""
         out: list[str] = []
         for k, part in enumerate(text.split(SPACE)):
             if k:
-                out.append("\n" + SPACE)
+                out.append(OWN)
             out += _WORD.findall((SPACE if not k else "") + part.replace(" ", SPACE))
         return out
 
@@ -103,26 +140,10 @@ class Sampler:
         sizes = np.array([len(x) for x in lists], np.int64)
         if not sizes.sum():
             return [np.zeros(0, np.int32) for _ in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
         number: dict[str, int] = {}
         which = np.array([number.setdefault(w, len(number)) for x in lists for w in x], np.int64)
-        parts = []
-        for w in number:
-            if w not in self.known:
-                if w[0] == "\n" and w[1:] == SPACE:  # one edge, as bytes
-                    self.known[w] = 2, array("i", [0, 1]).tobytes(), array("i", [0]).tobytes(), array("i", [BYTES + ord(SPACE)]).tobytes(), array("d", [1.0]).tobytes()
-                else:
-                    self.known[w] = self.lattice(w)
-            parts.append(self.known[w])
-        places = np.array([p[0] for p in parts], np.int64)
-        edges = np.frombuffer(b"".join(p[1] for p in parts), np.int32)
+        places, first, edges, before, codes, chance = self.lattices(list(number))
         base = np.cumsum(places) - places
-        owner = np.repeat(np.arange(len(edges)), edges)  # of each edge: its place among all
-        before = np.frombuffer(b"".join(p[2] for p in parts), np.int32) + np.repeat(np.repeat(base, places), edges)
-        codes = np.frombuffer(b"".join(p[3] for p in parts), np.int32)
-        chance = np.frombuffer(b"".join(p[4] for p in parts), np.float64)
-        first = np.cumsum(edges) - edges
         # of each occurrence of a word: a seed from its row and its number in the row
         row = np.repeat(np.arange(len(texts)), sizes)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -132,7 +153,7 @@ class Sampler:
         for step in itertools.count():
             if not len(live):
                 break
-            u = (C.mix(seeds[live] + np.uint64(step) * C.M1) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = (C.mix(seeds[live] + np.array([step], np.uint64) * C.M1) >> np.uint64(11)).astype(np.float64) * 2.0**-53
             here = at[live]
             edge = first[here].copy()
             wide = edges[here] > 1
@@ -179,10 +200,10 @@ def sampler(model: str, sharpness: float) -> Sampler:
 def _encode(batch: pa.RecordBatch, model: str, sharpness: float, digest: bool):
     s = sampler(model, sharpness)
     keys, texts = [k or 0 for k in batch.column("doc_id").to_pylist()], [t or "" for t in batch.column("text").to_pylist()]
-    for a in range(0, len(texts), 100):
-        part = texts[a : a + 100]
+    for a in range(0, len(texts), 250):
+        part = texts[a : a + 250]
         ids = s(keys[a : a + 100], part)
-        column = batch.column("doc_id").slice(a, 100)
+        column = batch.column("doc_id").slice(a, 250)
         n = pa.array([len(i) for i in ids], pa.int64())
         if digest:
             crc = pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())
