@@ -62,7 +62,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of words; forgets all when full, so its memory is bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
@@ -76,6 +76,10 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+#: One for each Python worker, which outlives the operators that use it.
+WORDS = WordHashes()
+
+
 def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     """A hash of each run of k items; of the whole sequence as one if it is shorter (none if it is empty)."""
     n = len(hashes)

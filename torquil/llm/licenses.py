@@ -42,7 +42,6 @@ TEMPLATES = {
 
 #: A-Z in lower case; digits, letters and all bytes above ASCII stay; all else is white space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_cache = C.WordHashes()
 
 
 def words(text: bytes) -> list[bytes]:
@@ -51,7 +50,7 @@ def words(text: bytes) -> list[bytes]:
 
 def grams(ws: list[bytes], k: int = K) -> np.ndarray:
     """A hash of each k words; none of fewer words."""
-    return C.rolling(_cache.of(ws), k) if len(ws) >= k else np.zeros(0, np.uint64)
+    return C.rolling(C.WORDS.of(ws), k) if len(ws) >= k else np.zeros(0, np.uint64)
 
 
 def _row(text: bytes) -> int:

@@ -33,7 +33,7 @@ _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip([b for b in range(256) if b not in _SHOWN], map(chr, range(256, 512))))
 #: Words whose ids are kept; forgotten when full.
-CACHE = 400_000
+CACHE = 250_000
 
 
 class Encoder:

@@ -27,7 +27,6 @@ CUTOFF = 100.0
 P = len(FEATURES)
 _SYMBOLS, _SPACE, _CAPITALS = b"#*$%&|<>", b" \t\n\v\f\r", bytes(range(65, 91))
 _MORE = bytes(range(128, 192))
-_cache = C.WordHashes()
 
 
 def counts(text: bytes) -> tuple[int, int, int, int, int, int, int]:
@@ -42,7 +41,7 @@ def counts(text: bytes) -> tuple[int, int, int, int, int, int, int]:
             seen.add(line)
     repeated = 0
     if n > 8:
-        h = C.rolling(_cache.of(words), 8)
+        h = C.rolling(C.WORDS.of(words), 8)
         _, at, times = np.unique(h, return_inverse=True, return_counts=True)
         hit = np.flatnonzero(times[at] > 1)
         if len(hit):
