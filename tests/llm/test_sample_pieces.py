@@ -18,6 +18,13 @@ def test_round_trip_and_repeatability(documents):
     assert P.encode(documents([])).count() == 0
 
 
+def test_many_rows_of_one_batch(documents):
+    rows = [(i, f"text number {i} " * 3) for i in range(700)]
+    got = {r.doc_id: tuple(r.ids) for r in P.encode(documents(rows).coalesce(1)).collect()}
+    alone = {r.doc_id: tuple(r.ids) for r in P.encode(documents(rows[::100])).collect()}
+    assert len(got) == 700 and all(got[i] == ids for i, ids in alone.items())
+
+
 def test_draws_follow_the_weights():
     s = P.sampler(P.MODEL, 0.5)
     keys = list(range(4000))

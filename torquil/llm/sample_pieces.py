@@ -31,6 +31,8 @@ SPACE = "▁"
 BYTES = 1 << 20
 #: A word that is the text's own U+2581; other words have it at their start only.
 OWN = "\n" + SPACE
+#: Texts sampled side by side.
+ROWS = 250
 _WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
 
@@ -200,10 +202,10 @@ def sampler(model: str, sharpness: float) -> Sampler:
 def _encode(batch: pa.RecordBatch, model: str, sharpness: float, digest: bool):
     s = sampler(model, sharpness)
     keys, texts = [k or 0 for k in batch.column("doc_id").to_pylist()], [t or "" for t in batch.column("text").to_pylist()]
-    for a in range(0, len(texts), 250):
-        part = texts[a : a + 250]
-        ids = s(keys[a : a + 100], part)
-        column = batch.column("doc_id").slice(a, 250)
+    for a in range(0, len(texts), ROWS):
+        part = texts[a : a + ROWS]
+        ids = s(keys[a : a + ROWS], part)
+        column = batch.column("doc_id").slice(a, ROWS)
         n = pa.array([len(i) for i in ids], pa.int64())
         if digest:
             crc = pa.array([zlib.crc32(i.astype("<u4").tobytes()) for i in ids], pa.int64())
