@@ -96,14 +96,41 @@ def _start(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": [key[0]], "n": [n], "center": [center], "inverse": [np.diag(spread**-2.0).ravel()], "scale": [1.0]})
 
 
+class _Sums(dict):
+    """Count, values and products of each (group, bin)."""
+
+    def add(self, key: tuple[str, int], n: int, s: np.ndarray, ss: np.ndarray) -> None:
+        old = self.get(key)
+        self[key] = (n, s, ss) if old is None else (old[0] + n, old[1] + s, old[2] + ss)
+
+    def sent(self) -> pa.RecordBatch:
+        rows = [(g, k, *v) for (g, k), v in self.items()]
+        self.clear()
+        types = (pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64()))
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["grp", "bin", "n", "s", "ss"])
+
+
 def _bins(batches):
-    """Sums of each group and bin of distance."""
+    """Sums of each group and bin of distance over the rows of a task; sent early where there are many groups."""
+    sums = _Sums()
     for b in batches:
         rows = b.to_pandas()
         x = np.stack(rows.x)
         bins = np.floor(np.log2(_distance(rows) + 1e-3) * 8).astype(int)
-        out = [(g, k, len(i), x[i].sum(0), (x[i].T @ x[i]).ravel()) for (g, k), i in rows.groupby([rows.grp, bins]).indices.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], t) for i, t in enumerate((pa.string(), pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.list_(pa.float64())))], ["grp", "bin", "n", "s", "ss"])
+        for (g, k), i in rows.groupby([rows.grp, bins]).indices.items():
+            sums.add((g, int(k)), len(i), x[i].sum(0), (x[i].T @ x[i]).ravel())
+        if len(sums) > 20_000:
+            yield sums.sent()
+    yield sums.sent()
+
+
+def _combined(batches):
+    """One row for each group and bin, all of whose rows are in this task."""
+    sums = _Sums()
+    for b in batches:
+        for r in b.to_pylist():
+            sums.add((r["grp"], r["bin"]), r["n"], np.array(r["s"]), np.array(r["ss"]))
+    yield sums.sent()
 
 
 def _step(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -146,7 +173,8 @@ def quality(docs: DataFrame) -> DataFrame:
     params = x.mapInArrow(_histograms, "grp string, feature int, bin long, n long").groupBy("grp", "feature", "bin").agg(F.sum("n").alias("n")).groupBy("grp").applyInPandas(_start, _PARAMS)
     for _ in range(STEPS):
         params = C.written(params, "params")
-        params = x.join(C.if_small(params, 20_000), "grp").select("grp", "x", "center", "inverse").mapInArrow(_bins, _SUMS).groupBy("grp").applyInPandas(_step, _PARAMS)
+        sums = x.join(C.if_small(params, 20_000), "grp").select("grp", "x", "center", "inverse").mapInArrow(_bins, _SUMS)
+        params = sums.repartition("grp", "bin").mapInArrow(_combined, _SUMS).groupBy("grp").applyInPandas(_step, _PARAMS)
     params = C.written(params.where(F.col("n") >= LEAST), "params")
     out = rows.join(C.if_small(params, 20_000), "grp", "left").mapInArrow(_verdicts, schema.replace(", lang_ string", "").replace(", grp string", "") + ", kept boolean, distance double")
     more = [c for c in out.columns if c not in own]
