@@ -32,10 +32,28 @@ _PLAIN = re.compile(r"[\t\n\r\x20-\x7e¡-įı-ɏ]*", re.S)
 _PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = dict(zip([b for b in range(256) if b not in _SHOWN], map(chr, range(256, 512))))
-#: Words whose ids are kept; forgotten when full.
+#: Entries of each generation of a cache; the older generation is forgotten when the younger is full.
 CACHE = 250_000
 
 
+class Kept(dict):
+    """What a function made of strings; its memory is bounded, and strings in use stay."""
+
+    def __init__(self, function):
+        super().__init__()
+        self.function, self.older = function, {}
+
+    def __missing__(self, key: str) -> bytes:
+        if len(self) >= CACHE:
+            self.older = self.copy()
+            self.clear()
+        out = self.older.get(key)
+        if out is None:
+            out = self.function(key)
+        self[key] = out
+        return out
+
+
 class Encoder:
     """Ids of texts; a word between white space always has the same ids, so most are looked up."""
 
@@ -49,29 +67,26 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary if "/" in vocabulary else public_tokenizers.path(vocabulary))
         assert self.tokenizer.get_vocab_size() < 1 << 16
         self.model = self.tokenizer.model
-        self.known: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Kept(self._piece)
+        self.words = Kept(self._word)
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
     def _piece(self, piece: str) -> bytes:
         """Ids of what the tokenizer's own splitting leaves whole."""
-        if len(self.pieces) >= CACHE:
-            self.pieces.clear()
-        out = self.pieces[piece] = array("H", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTES))]).tobytes()
-        return out
+        shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTES)
+        return array("H", [t.id for t in self.model.tokenize(shown)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        return self._piece(word) if word.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        words = [t.lower().split() if _PLAIN.fullmatch(t) and "oftext|>" not in t else None for t in texts]
-        new = set().union(*[ws for ws in words if ws is not None]) - self.known.keys()
-        if len(self.known) + len(new) > CACHE:
-            self.known.clear()
-            new = set().union(*[ws for ws in words if ws is not None])
-        for w in new:
-            self.known[w] = b"".join([self.pieces[p] if p in self.pieces else self._piece(p) for p in _PIECE.findall(w)])
-        get = self.known.__getitem__
-        return [self._whole(t) if ws is None else np.frombuffer(b"".join(map(get, ws)), np.uint16) for t, ws in zip(texts, words)]
+        get, out = self.words.__getitem__, []
+        for t in texts:
+            plain = _PLAIN.fullmatch(t) and "oftext|>" not in t
+            out.append(np.frombuffer(b"".join(map(get, t.lower().split())), np.uint16) if plain else self._whole(t))
+        return out
 
 
 @functools.cache
