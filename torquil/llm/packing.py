@@ -81,6 +81,11 @@ class Encoder:
     def _word(self, word: str) -> bytes:
         return self._piece(word) if word.isalpha() else b"".join(map(self.pieces.__getitem__, _PIECE.findall(word)))
 
+    def forget(self) -> None:
+        for kept in (self.pieces, self.words):
+            kept.clear()
+            kept.older = {}
+
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         get, out = self.words.__getitem__, []
         for t in texts:
@@ -115,6 +120,7 @@ def _pieces(batches, vocabulary: str, longest: int, with_ids: bool):
                     seen[k] += 1
                     start += size
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.binary() if i == 7 else pa.int64()) for i in range(8)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "part", "nth", "ids"])
+    encoder(vocabulary).forget()  # the worker goes on to other operators
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, longest: int = LONGEST, with_ids: bool = False) -> DataFrame:
