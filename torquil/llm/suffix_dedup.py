@@ -27,9 +27,9 @@ GRAM = 32
 #: Different segments of one anchor that go to one shard.
 SHARD_SEGMENTS = 2000
 #: Bytes of text of which one suffix array is made.
-SHARD_BYTES = 1 << 21
+SHARD_BYTES = 1 << 19
 #: Bytes hashed at once.
-PIECE = 1 << 22
+PIECE = 1 << 20
 
 
 def _print(doc_id: int | None, text: bytes) -> int:
