@@ -53,3 +53,15 @@ def test_steps_find_the_clean_center():
         out = Q._step(("g",), rows).iloc[0]
         center, inverse = out.center, out.inverse
     assert np.abs(center).max() < 0.2 and 0.5 < np.diag(inverse.reshape(Q.P, Q.P)).mean() < 3
+
+
+def test_cutoff_rejects_junk_and_keeps_clean_texts(spark):
+    x = Q.QUANTILE / 2
+    assert abs(np.exp(-x) * (1 + x + x * x / 2) - 0.001) < 1e-5  # chi-square of six features
+    assert len(Q.FEATURES) == 6 and Q.CUTOFF == Q.MARGIN * Q.QUANTILE and Q.MARGIN <= 1.25
+    d = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    rows = Q.op6_quality(spark, d).where("not base_failed").join(labels, "doc_id").select("quality", "kept").collect()
+    junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
+    assert len(junk) > 250 and sum(junk) <= 0.1 * len(junk)
+    assert len(clean) > 3000 and len(clean) - sum(clean) <= 0.0025 * len(clean)

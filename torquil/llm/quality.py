@@ -22,9 +22,10 @@ from torquil.llm import common as C
 #: Transformed statistics, with the least standard deviation that counts as a spread.
 FEATURES = {"log_words": 0.3, "word_length": 0.3, "log_line_words": 0.3, "symbols": 0.1, "repeated": 0.1, "capitals": 0.05}
 SHARE, STEPS, LEAST = 0.75, 4, 50
-#: Squared distances, scaled to a median as of normal data. Far beyond it, as clean texts are not normal either.
-CUTOFF = 100.0
 P = len(FEATURES)
+#: Squared distances, scaled to a median as of normal data: the chi-square quantile 0.999 of P features, and a margin of a tenth, as clean texts are not quite normal.
+QUANTILE, MARGIN = 22.458, 1.1
+CUTOFF = MARGIN * QUANTILE
 _SYMBOLS, _SPACE, _CAPITALS = b"#*$%&|<>", b" \t\n\v\f\r", bytes(range(65, 91))
 _MORE = bytes(range(128, 192))
 
