@@ -50,3 +50,24 @@ def test_masking(documents):
     assert got[2] == ("clean", "r") and got[3] == (None, "r")
     assert "hunter2" not in got[1][0] and "AKIA0123" not in got[1][0] and got[1][0].endswith("AKIA12")
     assert S.scan(documents([])).count() == 0
+
+
+def test_long_literals(documents):
+    key = "".join(hashlib.sha512(str(i).encode()).hexdigest().upper() + "xY/" for i in range(40))  # 5240 characters
+    bare, name, old = f"PRIVATE_ACCESS_KEY={key}\nend", "n" * 90 + "_client_secret", "Zx9#kLmP0qRs!tUv"
+    texts = [f'PRIVATE_ACCESS_KEY="{key}"\nend', bare, f'signing_secret = "{key[:9]}" + "{key[9:]}" + "{key}"; end', f'"{name}": "{old}" end', f"{bare} $k_secret={old}"]
+    for t in texts[:2]:
+        assert [t[a:b] for a, k, b in S.spans(t) if k == 3] == [key]
+    got = {r.doc_id: r.text for r in S.mask(documents([*enumerate(texts)])).collect()}
+    assert got[0] == 'PRIVATE_ACCESS_KEY="[SECRET]"\nend' and got[1] == "PRIVATE_ACCESS_KEY=[SECRET]\nend"
+    assert got[2] == 'signing_secret = "[SECRET]"; end' and got[3] == f'"{name}": "[SECRET]" end' and old not in got[4]
+    found = {r.doc_id: r.spans for r in S.scan(documents([*enumerate(texts)])).collect()}
+    assert f"literal:20:{20 + len(key)}" in found[0] and f"literal:19:{19 + len(key)}" in found[1]
+    assert "literal" not in S.shown(S.spans('auth_token = "' + "<redacted> " * 60 + '"'))
+    chance = key[:2000] + "xNulLx" + key[2000:]  # a placeholder's word inside other letters of a long literal
+    assert S.spans(f'auth_key = "{chance}"')
+
+
+def test_bare_names_start_a_run():
+    assert [p[0] for p in S.pairs("a=foo$bar=baz --password=abc 1x: 'y' p->q \"w\"=1 r[\"s\"] = 2")] == ["a", "$bar", "password", "x", "p", "w", "s"]
+    assert S.pairs("a1" * 100_000) == []

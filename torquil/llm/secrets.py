@@ -28,16 +28,20 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")  # a run of 16+ is what the greedy leftmost match of a longer or equal run is
 KINDS = ("assign", "access", "hex", "literal")
 
-#: name, operator and literal or another name
-_PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,80})(?P=q)\]?[\x20\t]*(?::[\x20\t]*[A-Za-z_][A-Za-z0-9_\[\]]{0,30}[\x20\t]*=|:=|=>|->|[:=])(?![=>])[\x20\t]*"""
-    r"""(?:(?P<text>"(?:[^"\\\n]|\\.){1,400}"|'(?:[^'\\\n]|\\.){1,400}')|(?P<bare>[A-Za-z0-9+/_.=@!#%^&*~-]{1,400}))""",
-    re.A,
+#: name, operator and literal or another name, each of any length. What repeats never gives back, and a bare name is
+#: tried where its run of characters starts and nowhere else in it, so time is in proportion to the text.
+_NAMED = r"""(?P<name>[A-Za-z_$](?:[A-Za-z0-9_.$]|-(?!>))*+)(?(q)(?P=q))\]?[\x20\t]*+(?::[\x20\t]*+[A-Za-z_][A-Za-z0-9_\[\]]*+[\x20\t]*+=|:=|=>|->|[:=])(?![=>])[\x20\t]*+""" + (
+    r"""(?:(?P<text>"(?:[^"\\\n]++|\\.)++"|'(?:[^'\\\n]++|\\.)++')|(?P<bare>[A-Za-z0-9+/_.=@!#%^&*~-]++))"""
 )
-_PLUS = re.compile(r"""[\x20\t]*\+[\x20\t]*("(?:[^"\\\n]|\\.){0,400}"|'(?:[^'\\\n]|\\.){0,400}')""")
+_PAIR = re.compile(r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_.$-])[0-9.-]*+)""" + _NAMED, re.A)
+#: A name right after a bare literal, which $ alone can start.
+_NEXT = re.compile(r"(?P<q>(?!))?(?=\$)" + _NAMED, re.A)
+_PLUS = re.compile(r"""[\x20\t]*+\+[\x20\t]*+("(?:[^"\\\n]++|\\.)*+"|'(?:[^'\\\n]++|\\.)*+')""")
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _WEIGHTS = {"password": 3, "passwd": 3, "pwd": 3, "passphrase": 3, "secret": 3, "token": 2, "apikey": 3, "key": 1, "api": 1, "auth": 1, "access": 1, "private": 1, "credential": 2, "credentials": 2, "bearer": 2, "signing": 1, "salt": 1}
 _FAKE = re.compile(r"example|placeholder|changeme|your|dummy|sample|redacted|xxxx|\*\*\*\*|<|\$\{|%\(|null|none|true|false", re.I)
+#: In literals over LONG characters the words of placeholders also turn up by chance, so there they count only as whole words.
+_FAKE_WORD, LONG = re.compile(rf"(?<![A-Za-z0-9])(?:{_FAKE.pattern})(?![A-Za-z0-9])", re.I), 400
 SCORE = 4.5
 
 
@@ -58,18 +62,27 @@ def score(name: str, literal: str) -> float:
         return 0.0
     kinds = sum(bool(re.search(p, literal)) for p in ("[a-z]", "[A-Z]", "[0-9]", "[^A-Za-z0-9]"))
     shape = min(1.5, max(0.0, entropy(literal) - 2.0)) + 0.5 * (kinds - 1) + 0.5 * (len(literal) >= 16)
-    return min(4, name_weight(name)) + min(3.0, shape) - 3.0 * bool(_FAKE.search(literal) or literal.isalpha() or " " in literal)
+    return min(4, name_weight(name)) + min(3.0, shape) - 3.0 * bool((_FAKE if len(literal) <= LONG else _FAKE_WORD).search(literal) or literal.isalpha() or " " in literal)
+
+
+def _matches(text: str):
+    at = 0
+    while m := at and _NEXT.match(text, at) or _PAIR.search(text, at):
+        yield m
+        at = m.end()
 
 
 def pairs(text: str) -> list[tuple[str, int, int, str]]:
     """(name, start, end, literal) in order, with constants propagated: a name given another name has its literal."""
     out, known = [], {}
-    for m in _PAIR.finditer(text):
+    for m in _matches(text):
         name = m["name"]
         if m["text"]:
-            start, end, value = m.start("text") + 1, m.end("text") - 1, m["text"][1:-1]
+            start, end, parts = m.start("text") + 1, m.end("text") - 1, [m["text"][1:-1]]
             while more := _PLUS.match(text, end + 1):
-                value, end = value + more[1][1:-1], more.end() - 1
+                parts.append(more[1][1:-1])
+                end = more.end() - 1
+            value = "".join(parts)
         else:
             value = m["bare"].rstrip(".,")
             start, end = m.start("bare"), m.start("bare") + len(value)
