@@ -67,6 +67,19 @@ def test_headings(spark):
     assert got[2].body == "wrapped line" and got[3].body == "- one\n- two"
 
 
+def test_free_search_breaks_ties_by_chunk(spark):
+    v = [0.3, -0.7, 0.1, 0.9, 0.2]
+    rows = [(3000 - i, 1, v) for i in range(3000)] + [(9000 + i, 2, [-x for x in v]) for i in range(50)]
+    chunks = spark.createDataFrame(rows, "chunk long, document int, vec array<double>").repartition(3)
+    queries = spark.createDataFrame([(q, [x * (1 + q % 3) for x in v]) for q in range(1200)], "query long, qvec array<double>")
+    got = {}
+    for r in R.free_search(queries, chunks, 5).collect():
+        got.setdefault(r.query, {})[r["rank"]] = r.chunk
+    assert len(got) == 1200 and all(x == {i: i for i in range(1, 6)} for x in got.values())
+    few = R.free_search(queries.where("query = 0"), chunks.where("chunk < 4"), 5)
+    assert few.count() == 3 and R.free_search(queries.limit(0), chunks, 5).count() == 0
+
+
 def test_one_document_decides(spark):
     def decide(weights):
         df = spark.createDataFrame([(1, f"d{i}", float(w), i + 1) for i, w in enumerate(weights)], "query int, document string, weight double, rank int")

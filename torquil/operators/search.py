@@ -113,27 +113,60 @@ def empty_reasons(queries: DataFrame, allowed: DataFrame, chunks: DataFrame) ->
     return out.groupBy("query").agg(F.max("docs").alias("d"), F.max("n").alias("n"), F.max(F.col("cmodel") == F.col("model")).alias("m")).select("query", F.when(F.col("d").isNull(), "no_document").when(F.col("n").isNull(), "no_section").when(~F.coalesce("m", F.lit(False)), "other_model").otherwise("found").alias("reason"))
 
 
-def free_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """All queries against all chunks in blocks: a matrix product for each batch of chunks, of which only each batch's k best go on. queries (query, qvec) are a stated set that fits a task."""
+def _packed(df: DataFrame, columns: tuple[str, ...], vector: str, rows: int = 1000) -> DataFrame:
+    """df as rows of many: arrays of the columns, and the vectors as one block."""
     import numpy as np
     import pandas as pd
 
-    q = queries.select("query", "qvec").toPandas()
-    ids = q["query"].to_numpy()
-    a = np.stack([np.array(v, float) for v in q["qvec"]]) if len(q) else np.zeros((0, 1))
-    a = a / np.linalg.norm(a, axis=1, keepdims=True)
+    def pack(batches):
+        for b in batches:
+            for at in range(0, len(b), rows):
+                part = b.iloc[at : at + rows]
+                yield pd.DataFrame({**{c: [part[c].to_numpy()] for c in columns}, vector: [np.stack([np.array(v, float) for v in part[vector]]).tobytes()]})
+
+    kinds = dict(df.dtypes)
+    return df.select(*columns, vector).mapInPandas(pack, ", ".join(f"{c} array<{kinds[c]}>" for c in columns) + f", {vector} binary")
+
+
+def _best(scores, x, y, ids, k: int):
+    """Positions (row of x, row of y) and cosine of each row's k best by (cosine descending, id), exactly.
+
+    scores, a matrix product, only rules out what can't be among them: its last digits depend on the place in the
+    matrix. What is left is scored pair by pair, so that equal vectors have equal cosines wherever they stand.
+    """
+    import numpy as np
+
+    scores = np.where(np.isnan(scores), np.inf, scores)
+    n = scores.shape[1]
+    least = np.partition(scores, n - k, axis=1)[:, n - k] if n > k else np.full(len(scores), -np.inf)
+    i, j = np.nonzero(scores >= least[:, None] - 1e-9)
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        exact = np.concatenate([(x[i[a : a + 20_000]] * y[j[a : a + 20_000]]).sum(1) for a in range(0, len(i), 20_000)]) / np.sqrt(xx[i] * yy[j])
+    by = np.lexsort((np.unique(ids, return_inverse=True)[1][j], -np.where(np.isnan(exact), np.inf, exact), i))
+    i, j, exact = i[by], j[by], exact[by]
+    first = np.searchsorted(i, i)
+    kept = np.arange(len(i)) - first < k
+    return i[kept], j[kept], exact[kept]
+
+
+def free_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """All queries against all chunks: both are packed into blocks, and each pair of blocks is a matrix product of which only each query's k best go on."""
+    import numpy as np
+    import pandas as pd
 
     def block(batches):
         for b in batches:
-            if not len(b) or not len(ids):
-                continue
-            x = np.stack([np.array(v, float) for v in b["vec"]])
-            s = a @ (x / np.linalg.norm(x, axis=1, keepdims=True)).T
-            best = np.argsort(-s, axis=1, kind="stable")[:, : 4 * k]
-            yield pd.DataFrame({"query": np.repeat(ids, best.shape[1]), "chunk": b["chunk"].to_numpy()[best.ravel()], "document": b["document"].to_numpy()[best.ravel()], "score": np.take_along_axis(s, best, 1).ravel()})
+            for r in b.itertuples(index=False):
+                x, y = np.frombuffer(r.qvec).reshape(len(r.query), -1), np.frombuffer(r.vec).reshape(len(r.chunk), -1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
+                i, j, score = _best(s, x, y, r.chunk, k)
+                yield pd.DataFrame({"query": r.query[i], "chunk": r.chunk[j], "document": r.document[j], "score": score})
 
     kinds = dict(chunks.dtypes)
-    scored = chunks.select("chunk", "document", "vec").mapInPandas(block, f"query {dict(queries.dtypes)['query']}, chunk {kinds['chunk']}, document {kinds['document']}, score double")
+    pairs = _packed(queries, ("query",), "qvec").crossJoin(_packed(chunks, ("chunk", "document"), "vec"))
+    scored = pairs.mapInPandas(block, f"query {dict(queries.dtypes)['query']}, chunk {kinds['chunk']}, document {kinds['document']}, score double")
     return top_k(scored, "query", "chunk", k)
 
 
