@@ -26,6 +26,27 @@ def test_layout(page, text):
     assert H.render(page) == text
 
 
+SHOWN = [
+    ("<p>so <math><mi>E</mi><mo>=</mo><mfrac><mrow><mi>m</mi><mi>v</mi></mrow><mn>2</mn></mfrac></math> holds", "so E= mv 2 holds"),
+    ("<math><semantics><mi>x</mi><annotation encoding='application/x-tex'>\\\\x</annotation></semantics></math>y", "xy"),
+    ("<math><mtable><mtr><mtd><mn>1</mn></mtd><mtd><mn>2</mn></mtd></mtr><mtr><mtd><mn>3</mn></mtd><mtd><mn>4</mn></mtd></mtr></mtable></math>", "1 2\n3 4"),
+    ("a<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><style>no{}</style><path d='M0'/><text x=1>Sales <tspan>2024</tspan></text><g><text>Costs</text></g><text display='none'>no</text></svg>b", "a\nSales 2024\nCosts\nb"),
+    ("<svg><foreignObject><p>one<p>two</foreignObject></svg>", "one\n\ntwo"),
+    ("Note:<textarea rows=3>\n first &amp; line\n  <b>second</b></textarea>end", "Note:\n first & line\n  <b>second</b>\nend"),
+    ("<textarea hidden>no</textarea>x", "x"),
+    ("Size <select><option>S<option selected>M<option>L</select> now", "Size M now"),
+    ("<select><option disabled>Pick<optgroup label=A><option>one<option>two</select>", "one"),
+    ("<select multiple><optgroup label='Red &amp; co'><option>r1<option>r2<optgroup label=Blue><option label='b one'>b1</select>x", "Red & co\nr1\nr2\nBlue\nb one\nx"),
+    ("<select></select>x<datalist><option>no</datalist>", "x"),
+    ("<desc>seen</desc>", "seen"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), SHOWN)
+def test_formulas_drawings_and_forms(page, text):
+    assert H.render(page) == text
+
+
 def test_depth_and_odd_pages(spark):
     deep = "<div>" * 20000 + "in" + "</div>" * 20000
     rows = [(1, deep, "u"), (2, None, None), (3, "", "u"), (3, "", "u"), (None, "<p>x", "u"), (4, "<" * 2000 + "<a href='", "u"), (5, "<table>" * 300 + "deep", "u")]

@@ -27,7 +27,11 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 # Element kinds of the HTML standard.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist textarea select svg math noembed noframes".split())
+UNSEEN = frozenset("head script style template noscript title meta link iframe object audio video canvas datalist noembed noframes".split())
+#: Unseen inside svg and math.
+UNDRAWN = frozenset("title desc defs metadata symbol annotation annotation-xml".split())
+#: Elements of math whose parts stand apart on a page: over, under and beside each other.
+PARTS = frozenset("mfrac msub msup msubsup munder mover munderover mmultiscripts mroot mtr mlabeledtr".split())
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table caption tbody thead tfoot tr ul".split())
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr".split())
 CLOSES_P = BLOCK - frozenset("body html li dd dt legend option optgroup caption tbody thead tfoot tr summary".split()) | {"li", "dd", "dt"}
@@ -37,6 +41,7 @@ IMPLIED = {
     "dt": ({"dt", "dd"}, {"dl"}),
     "dd": ({"dt", "dd"}, {"dl"}),
     "option": ({"option"}, {"select", "datalist"}),
+    "optgroup": ({"option", "optgroup"}, {"select", "datalist"}),
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
@@ -103,18 +108,67 @@ def build(page: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
-    """By its kind, hidden attribute, inline style, and closed dialogs."""
-    if node.name in UNSEEN:
+def attributes(node: Node) -> dict[str, str]:
+    found: dict[str, str] = {}
+    for k, a, b, c in _ATTRIBUTE.findall(node.attributes):
+        found.setdefault(k.lower(), html.unescape(a or b or c or ""))
+    return found
+
+
+def visible(node: Node, drawn: bool = False) -> bool:
+    """By its kind, hidden attribute, inline style, and closed dialogs; drawn: inside svg or math."""
+    if node.name in UNSEEN or drawn and node.name in UNDRAWN:
         return False
     if not node.attributes:
         return node.name != "dialog"
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(node.attributes)}
     if "hidden" in found or _HIDING.search(found.get("style", "")) or node.name == "dialog" and "open" not in found:
         return False
+    if drawn and (found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")):
+        return False
     return not (node.name == "input" and found.get("type", "").lower() == "hidden")
 
 
+def texts(node: Node) -> str:
+    """All visible text below a node, as one line."""
+    out, todo = [], list(reversed(node.children))
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        elif visible(x):
+            todo += reversed(x.children)
+    return _SPACE.sub(" ", "".join(out)).strip(" ")
+
+
+def options(select: Node) -> tuple[list[str], bool]:
+    """The lines a select shows, and whether it is a list: all options and the labels of their groups if so, else the chosen option, which is the last one selected or the first one that can be."""
+    own = attributes(select)
+    size = re.match(r"\s*(\d+)", own.get("size", ""))
+    listed = int(size[1]) > 1 if size and int(size[1]) else "multiple" in own
+    lines, chosen, first = [], None, None
+    todo = [(c, False) for c in reversed(select.children)]
+    while todo:
+        x, off = todo.pop()
+        if isinstance(x, str) or not visible(x):
+            continue
+        found = attributes(x)
+        off = off or "disabled" in found
+        if x.name == "option":
+            line = found.get("label") or texts(x)
+            lines.append(line)
+            chosen = line if "selected" in found else chosen
+            first = line if first is None and not off else first
+            continue
+        if x.name == "optgroup" and found.get("label"):
+            lines.append(found["label"])
+        todo += [(c, off) for c in reversed(x.children)]
+    if listed:
+        return lines, True
+    shown = chosen if chosen is not None else first
+    return [shown] if shown is not None else [], False
+
+
 def width(text: str) -> int:
     """Columns on a terminal: wide characters take two, combining ones none."""
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 2 if unicodedata.east_asian_width(c) in "WF" else 1 for c in text)
@@ -175,7 +229,7 @@ def aligned(rows: list[list[str]]) -> list[str]:
 
 
 def render(page: str) -> str:
-    flows, tables, lists, pre, items = [Flow()], [], [], 0, 0
+    flows, tables, lists, pre, drawn = [Flow()], [], [], 0, 0
     todo: list[tuple[Node | str, bool]] = [(build(page), True)]
     while todo:
         node, enters = todo.pop()
@@ -185,7 +239,7 @@ def render(page: str) -> str:
             continue
         name = node.name
         if enters:
-            if not visible(node):
+            if not visible(node, drawn > 0):
                 continue
             if name == "br":
                 flow.end(True)
@@ -195,6 +249,28 @@ def render(page: str) -> str:
                 if found.get("alt"):
                     flow.text(html.unescape(found["alt"]))
                 continue
+            if name == "textarea":
+                flow.end()
+                flow.kept(re.sub(r"\A\n", "", "".join(node.children).replace("\r\n", "\n")))
+                flow.end()
+                continue
+            if name == "select":
+                shown, listed = options(node)
+                for line in shown:
+                    if listed:
+                        flow.end()
+                    flow.text(line)
+                if listed:
+                    flow.end()
+                continue
+            if drawn and name in ("text", "mtr", "mlabeledtr"):
+                flow.end()
+            if drawn and name in PARTS:
+                todo.append((node, False))
+                todo += [x for c in reversed(node.children) for x in ((c, True), (" ", True))]
+                continue
+            if name in ("svg", "math"):
+                drawn += 1
             if name in BLOCK:
                 (flow.apart if name in APART and not (name in ("ul", "ol") and lists) else flow.end)()
             if name in ("ul", "ol", "menu"):
@@ -243,6 +319,10 @@ def render(page: str) -> str:
             flow.indent -= 4
         elif name == "pre":
             pre -= 1
+        elif name in ("svg", "math"):
+            drawn -= 1
+        elif drawn and name in ("text", "mtr", "mlabeledtr"):
+            flow.end()
         if name in BLOCK:
             (flow.apart if name in APART and not (name in ("ul", "ol") and lists) else flow.end)()
     flows[0].end()
