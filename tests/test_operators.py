@@ -67,6 +67,22 @@ def test_headings(spark):
     assert got[2].body == "wrapped line" and got[3].body == "- one\n- two"
 
 
+def test_headings_of_any_size(spark):
+    title = "long " * 60 + "title"
+    lines = [f"{i}. Part" for i in range(1, 121)] + ["120.1.2.3.4.5.6 " + title + " \r", "120.345 Sub", "120..1 no", "120.1.. no", "99999999999999999999999 no", "1" + ".1" * 20_000 + " no"]
+    got = R.sections(spark.createDataFrame([(1, "\n".join(lines))], "id int, text string"), "id", "text").orderBy("first_line").collect()
+    assert [r.number for r in got] == [*map(str, range(1, 121)), "120.1.2.3.4.5.6", "120.345"]
+    assert got[120].title == title and got[120].level == 7
+
+
+def test_symptoms_of_whole_texts(spark, tmp_path):
+    from torquil.queries import QUERIES, load
+
+    load()
+    spark.createDataFrame([("c", 1, "user", "a, b; " * 20 + "motor vibrates, hot bearing")], "conv_id string, turn int, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    assert QUERIES["cleaned_symptoms"](spark, str(tmp_path)).first().symptoms == ["motor vibrates", "hot bearing"]
+
+
 def test_free_search_breaks_ties_by_chunk(spark):
     v = [0.3, -0.7, 0.1, 0.9, 0.2]
     rows = [(3000 - i, 1, v) for i in range(3000)] + [(9000 + i, 2, [-x for x in v]) for i in range(50)]

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from torquil import functions as X
 from torquil.config import DEFAULTS
 
-_HEADING = r"^\s*(\d{1,2}(?:\.\d{1,2}){0,3})\.?\s+(\S.{0,100}?)\s*$"
+#: Numbers of any size and depth with a title of any length; no group repeats, as Java's stack grows with those.
+_HEADING = r"^(\d[\d.]*+)\s++(\S.*+)$"
 
 
 def sections(docs: DataFrame, id: str, text: str) -> DataFrame:
@@ -17,11 +18,12 @@ def sections(docs: DataFrame, id: str, text: str) -> DataFrame:
     or lies under the open top one; the fold over a document's lines is an aggregate over its candidates.
     """
     lines = docs.select(id, F.posexplode(F.split(text, "\n")).alias("line", "s"))
-    cut = lines.select(id, "line", "s", F.regexp_extract("s", _HEADING, 1).alias("number"), F.regexp_extract("s", _HEADING, 2).alias("title"))
-    candidate = (F.col("number") != "") & ~F.col("title").rlike(r"[.;:]$")
+    bare = F.btrim("s", F.lit(" \t\r\f\v"))
+    cut = lines.select(id, "line", "s", F.regexp_replace(F.regexp_extract(bare, _HEADING, 1), r"\.$", "").alias("number"), F.regexp_extract(bare, _HEADING, 2).alias("title"))
+    candidate = (F.col("number") != "") & ~F.col("number").contains("..") & ~F.col("number").endswith(".") & ~F.col("title").rlike(r"[.;:]$")
     listed = cut.where(candidate).groupBy(id).agg(F.sort_array(F.collect_list(F.struct("line", "number", "title"))).alias("c"))
-    top = lambda x: F.split_part(x["number"], F.lit("."), F.lit(1)).cast("int")
-    start = F.struct(F.lit(0).alias("open"), F.expr("cast(array() as array<struct<line:int,number:string,title:string>>)").alias("kept"))
+    top = lambda x: F.split_part(x["number"], F.lit("."), F.lit(1)).try_cast("long")
+    start = F.struct(F.lit(0).cast("long").alias("open"), F.expr("cast(array() as array<struct<line:int,number:string,title:string>>)").alias("kept"))
 
     def step(state: Column, x: Column) -> Column:
         single = ~x["number"].contains(".")

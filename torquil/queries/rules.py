@@ -64,7 +64,7 @@ def content_words(spark, d):
 @query()
 def cleaned_symptoms(spark, d):
     """R-13: a conversation's symptoms held against its first text."""
-    items = F.array_append(F.slice(F.split("text", r"[.,;]"), 1, 12), F.lit("zzzz unrelated"))
+    items = F.array_append(F.split("text", r"[.,;]"), F.lit("zzzz unrelated"))
     return H.cleaned_symptoms(table(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("case"), "text", items.alias("items")), "case", "text", "items")
 
 
