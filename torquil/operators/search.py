@@ -65,11 +65,11 @@ def tfidf(docs: DataFrame, id: str, text: str, most: float = 0.9) -> DataFrame:
     return w.join(norm, id).select(id, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def lsa(weights: DataFrame, id: str, dims: int, vocabulary: int = 2000) -> DataFrame:
+def lsa(weights: DataFrame, id: str, dims: int, vocabulary: int = 2000, ids: DataFrame | None = None) -> DataFrame:
     """(id, vector): unit vectors of the texts on the leading right singular vectors.
 
     The basis comes from the `vocabulary` terms in most texts, a bound on what the driver holds; each text is
-    projected by a join on terms.
+    projected by a join on terms. A text that has none of them has the zero vector, if it is in ids (id).
     """
     from pyspark.mllib.linalg import Vectors
     from pyspark.mllib.linalg.distributed import RowMatrix
@@ -85,7 +85,8 @@ def lsa(weights: DataFrame, id: str, dims: int, vocabulary: int = 2000) -> DataF
     parts = weights.join(F.broadcast(basis), "term").select(id, F.posexplode("b").alias("k", "b"), "weight").groupBy(id, "k").agg(F.sum(F.col("b") * F.col("weight")).alias("y"))
     out = parts.groupBy(id).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "y"))), lambda s: s["y"]).alias("vector"))
     norm = F.sqrt(X.dot(F.col("vector"), F.col("vector")))
-    return out.select(id, F.transform("vector", lambda y: F.try_divide(y, norm)).alias("vector"))
+    out = out.select(id, F.transform("vector", lambda y: F.coalesce(F.try_divide(y, norm), F.lit(0.0))).alias("vector"))
+    return out if ids is None else ids.select(id).join(out, id, "left").select(id, F.coalesce("vector", F.array_repeat(F.lit(0.0), v.shape[1])).alias("vector"))
 
 
 def top_k(scored: DataFrame, query: str, id: str, k: int, score: str = "score") -> DataFrame:

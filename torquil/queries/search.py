@@ -126,7 +126,8 @@ def term_weights(spark, d):
 @query()
 def latent_vectors(spark, d):
     """R-06, R-07: latent vectors of all texts, with the model's name."""
-    return R.lsa(R.tfidf(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text"), "doc_id", 16, vocabulary=300).withColumn("model", F.lit("tfidf-lsa-16"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return R.lsa(R.tfidf(docs, "doc_id", "text"), "doc_id", 16, vocabulary=300, ids=docs).withColumn("model", F.lit("tfidf-lsa-16"))
 
 
 @query()
