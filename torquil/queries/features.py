@@ -175,13 +175,13 @@ def forest_importances(spark, d):
 
 @query()
 def forest_validation(spark, d):
-    """M-09, M-11: accuracy with samples dealt singly and events whole."""
+    """M-11: accuracy with samples dealt singly and events whole."""
     return Forest(NAMES, "fault", trees=5, depth=4).validated(_training(spark, d), "event", ("event", "k"), folds=2)
 
 
 @query()
 def window_experiment(spark, d):
-    """M-15, M-16: accuracy by window size, events whole."""
+    """M-15: accuracy by window size, events whole."""
     out = None
     for size in (2, 3):
         samples = M.summarised(M.windowed(_events(spark, d), "event", ("created_at", "id"), size), ("fault", "event"), COLUMNS)
