@@ -6,7 +6,7 @@ from pyspark.sql import types as T
 
 from torquil.llm import suffix_dedup as S
 
-FIELDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("places", T.StringType())])
+FIELDS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("kind", T.StringType())])
 
 
 def brute(rows, length):
@@ -19,7 +19,7 @@ def brute(rows, length):
             if seen[t[j : j + length]] > 1:
                 gone[j : j + length] = True
         left = bytes(b for b, g in zip(t, gone) if not g)
-        out.append((i, len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore")))
+        out.append((i, len(t), int(gone.sum()), int((gone[1:] & ~gone[:-1]).sum() + gone[0]), hashlib.sha256(left).hexdigest(), None if x is None else left.decode("utf-8", "ignore")))
     return sorted(out, key=str)
 
 
@@ -40,11 +40,11 @@ def corpus():
 
 def check(spark, rows, length, monkeypatch=None):
     docs = spark.createDataFrame([(*r, "kept") for r in rows], FIELDS)
-    ranges = S.C.written(S.repeated_ranges(S._plain(docs), length), "places")
-    got = S.C.mapped(S._by_id(S._plain(docs), ranges, "left"), S._removed, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string", length=length, texts=False)
-    want = brute(rows, length)
-    assert sorted(map(tuple, got.collect()), key=str) == [w[:5] for w in want]
-    return docs, want
+    also = length // 2
+    got = sorted(map(tuple, S.removed_bytes(docs, length, also).collect()), key=str)
+    want, more = brute(rows, length), brute(rows, also)
+    assert [g[:5] for g in got] == [w[:5] for w in want]
+    assert sorted((str(g[0]), g[1], g[5]) for g in got) == sorted((str(w[0]), w[1], w[2]) for w in more)
 
 
 def test_against_all_substrings(spark):
@@ -53,10 +53,16 @@ def test_against_all_substrings(spark):
 
 def test_hot_anchors_are_merged_across_shards(spark, monkeypatch):
     monkeypatch.setattr(S, "SHARD_SEGMENTS", 3)
+    monkeypatch.setattr(S, "RANGE_SEGMENTS", 2)
     monkeypatch.setattr(S, "SHARD_BYTES", 300)
     check(spark, corpus(), 64)
 
 
+def test_pieces_of_long_texts(spark, monkeypatch):
+    monkeypatch.setattr(S, "PIECE", 500)
+    check(spark, corpus(), 64)
+
+
 def test_texts_and_other_columns(spark):
     docs = spark.createDataFrame(corpus(), "doc_id long, text string").withColumn("row", S.F.lit("mine"))
     got = sorted([(r.doc_id, r.text, r.row) for r in S.suffix_dedup(docs, 64).collect()], key=str)
@@ -67,7 +73,7 @@ def test_texts_and_other_columns(spark):
 def test_suffix_array_and_common_prefixes():
     g = np.random.default_rng(5)
     for _ in range(20):
-        texts = [bytes(g.integers(97, 99, int(g.integers(1, 80))).astype(np.uint8)) for _ in range(5)]
+        texts = [bytes(g.integers(97, 99, int(g.integers(1, 200))).astype(np.uint8)) for _ in range(5)]
         data = np.frombuffer(b"".join(texts), np.uint8)
         order = S.suffix_array(data)
         assert order.tolist() == sorted(range(len(data)), key=lambda i: data[i:].tobytes())
@@ -78,6 +84,6 @@ def test_suffix_array_and_common_prefixes():
         for r in range(1, len(order)):
             a, b = (data[i : owner[i]].tobytes() for i in order[r - 1 : r + 1])
             assert got[r] == next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
-        flags = S.repeats(texts, 8)
+        flags = S.repeats(texts, [len(t) for t in texts], (8,))[0]
         seen = Counter(t[i : i + 8] for t in texts for i in range(len(t) - 7))
         assert [f.tolist() for f in flags] == [[seen[t[i : i + 8]] > 1 for i in range(len(t) - 7)] for t in texts]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -23,9 +24,11 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder all executors share (spark.checkpoint.dir). Only a session in one process may leave it unset and has a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir is unset: name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="torquil-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -35,7 +38,36 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and survives lost executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.kept_at = path, None
+    return out
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df with its columns named c0, c1, ... and numbered rows, as a table bucketed by `row`: whatever is joined to it by row is shuffled, never the table.
+
+    Row numbers are distinct, so null ids, repeated ids and copies spread evenly. There are as many buckets as shuffle partitions.
+    """
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{table}"
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))]).withColumn("row", F.monotonically_increasing_id())
+    plain.repartition(buckets, "row").write.bucketBy(buckets, "row").option("path", path).option("compression", "zstd").saveAsTable(table)
+    out = spark.table(table)
+    out.kept_at = path, table
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes written and stored tables that no later step reads."""
+    for df in tables:
+        path, table = df.kept_at
+        spark = df.sparkSession
+        if table:
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(place, True)
 
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -113,27 +145,25 @@ def components(links: DataFrame) -> DataFrame:
     shrinks any graph by a constant factor expected, so the rounds are logarithmic in the longest path and no
     node's neighbours meet in one task: minima are combined before the shuffle.
     """
-    spark = links.sparkSession
     links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     nodes = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     edges, steps, turn = links, [], 0
     while edges.take(1):
         both = edges.union(edges.select("b", "a"))
-        rank = lambda c: F.struct(F.xxhash64(c, F.lit(turn)), c.alias("n"))
-        up = both.groupBy("a").agg(F.min(rank(F.col("b"))).alias("m")).select(F.col("a").alias("node"), F.least("m", rank(F.col("a")))["n"].alias("up"))
+        rank = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: E731  a bijection, so there are no ties
+        up = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("m"), F.min(rank("b")).alias("h")).select(F.col("a").alias("node"), F.when(F.col("h") < rank("a"), F.col("m")).otherwise(F.col("a")).alias("up"))
         up = written(up, "parents")
-        ups = if_small(up)
-        x, y = ups.toDF("a", "ua"), ups.toDF("b", "ub")
-        if up is not ups:
-            x, y = F.broadcast(x), F.broadcast(y)
-        edges = written(edges.join(x, "a").join(y, "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        last, edges = edges, written(edges.join(up.toDF("a", "ua"), "a").join(up.toDF("b", "ub"), "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
+        if last is not links:
+            drop(last)
         steps.append(up)
         turn += 1
     roots = nodes.withColumn("root", F.col("id"))
     for up in steps:
-        ups = if_small(up)
-        roots = roots.join(ups.toDF("root", "up") if ups is up else F.broadcast(up.toDF("root", "up")), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
+        roots = roots.join(up.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
     roots = written(roots, "roots")
-    least = roots.groupBy("root").agg(F.min("id").alias("component_id"))
-    out = roots.join(least, "root").select("id", "component_id")
-    return written(out, "components") if steps else spark.createDataFrame([], "id long, component_id long")
+    # both sides are plain tables, so that a giant component's rows can be split
+    least = written(roots.groupBy("root").agg(F.min("id").alias("component_id")), "least")
+    out = written(roots.join(least, "root").select("id", "component_id"), "components")
+    drop(edges, *steps, roots, least, *([links] if edges is not links else []))
+    return out
