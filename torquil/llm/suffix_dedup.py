@@ -38,8 +38,6 @@ SHARD_SEGMENTS, RANGE_SEGMENTS = 512, 2048
 SHARD_BYTES = 1 << 19
 #: Bytes hashed at once.
 PIECE = 1 << 18
-#: Places a text is scanned from at the same time for common prefixes.
-LANE = 64
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -141,7 +139,7 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
         return np.zeros(0, np.int64)
     used = np.flatnonzero(np.bincount(data, minlength=256))
     bits = int(len(used)).bit_length()
-    wide = 63 // bits  # as many bytes as their numbers fit into one key
+    wide = 64 // bits  # as many bytes as fit into one key
     number = np.zeros(256, np.uint64)
     number[used] = np.arange(1, len(used) + 1)
     padded = np.concatenate((number[data], np.zeros(wide, np.uint64)))
@@ -149,69 +147,61 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     for i in range(wide):
         key = (key << np.uint64(bits)) | padded[i : i + n]
     order = np.argsort(key, kind="stable")
-    sorted_keys = key[order]
-    new = np.concatenate(([True], sorted_keys[1:] != sorted_keys[:-1]))
+    key = key[order]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
     # a group's rank is the place of its first suffix, so the ranks of other groups stay as one group is split
-    place = np.maximum.accumulate(np.where(new, np.arange(n), 0))
-    rank = np.zeros(n + 1, np.int64)
-    rank[order] = place + 1
+    rank = np.zeros(n + 1, np.uint64)
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0)) + 1
     done = wide
-    single = new & np.concatenate((new[1:], [True]))
-    open_at = np.flatnonzero(~single)
+    open_at = np.flatnonzero(~(new & np.concatenate((new[1:], [True]))))
     while len(open_at):
         suffixes = order[open_at]
-        key = (rank[suffixes].astype(np.uint64) << np.uint64(32)) | rank[np.minimum(suffixes + done, n)].astype(np.uint64)
+        key = (rank[suffixes] << np.uint64(32)) | rank[np.minimum(suffixes + done, n)]
         by = np.argsort(key, kind="stable")
         suffixes, key = suffixes[by], key[by]
         order[open_at] = suffixes
         new = np.concatenate(([True], key[1:] != key[:-1]))
         rank[suffixes] = np.maximum.accumulate(np.where(new, open_at, 0)) + 1
-        single = new & np.concatenate((new[1:], [True]))
-        open_at = open_at[~single]
+        open_at = open_at[~(new & np.concatenate((new[1:], [True])))]
         done *= 2
     return order
 
 
-def kasai(data: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray, most: int) -> np.ndarray:
-    """Bytes that each suffix in order shares with the one before it, within its text [begins, ends), `most` at most.
+def kasai(data: np.ndarray, order: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix in order shares with the one before it, within its text [begins, ends).
 
-    Kasai's scan: the suffix after one that shares h bytes shares h - 1 or more. All texts are scanned side by side,
-    each from every LANE-th place on.
+    Kasai's observation: the suffix after one that shares h bytes with its neighbour shares h - 1 with that
+    neighbour's next, and exactly so if that is its own neighbour. Only the other places are compared, all at once.
     """
     n = len(order)
-    out, place = np.zeros(n, np.int64), np.empty(n, np.int64)
+    if n == 0:
+        return np.zeros(0, np.int64)
+    place = np.empty(n, np.int64)
     place[order] = np.arange(n)
-    owner = np.repeat(ends, ends - begins)
+    before = order[np.maximum(place - 1, 0)]
+    room = np.repeat(ends, ends - begins) - np.arange(n)
+    room = np.minimum(room, room[before])
+    room[order[0]] = 0
+    starts = np.zeros(n + 1, bool)
+    starts[begins] = starts[order[0]] = starts[order[0] + 1] = True
+    fresh = np.concatenate(([True], (before[1:] != before[:-1] + 1) | (data[:-1] != data[before[:-1]]))) | starts[:n] | starts[before]
     wide = np.concatenate((data, np.zeros(8, np.uint8)))
     words = np.zeros(n, np.uint64)
-    for i in range(8):
-        words |= wide[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-    lanes = (ends - begins + LANE - 1) // LANE
-    nth = np.arange(lanes.sum()) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-    begins = np.repeat(begins, lanes) + nth * LANE
-    ends = np.minimum(begins + LANE, np.repeat(ends, lanes))
-    by_size = np.argsort(begins - ends, kind="stable")
-    begins, ends = begins[by_size], ends[by_size]
-    h = np.zeros(len(begins), np.int64)
-    sizes = ends - begins
-    for step in range(int(sizes.max(initial=0))):
-        live = int(np.searchsorted(-sizes, -step, "left"))
-        i = begins[:live] + step
-        at = place[i]
-        ok = at > 0
-        j = order[np.maximum(at - 1, 0)]
-        limit = np.where(ok, np.minimum(np.minimum(owner[i] - i, owner[j] - j), most), 0)
-        have = np.minimum(np.maximum(h[:live] - 1, 0), limit)
-        going = np.flatnonzero(have < limit)
-        while len(going):
-            x = words[i[going] + have[going]] ^ words[j[going] + have[going]]
-            lowest = x & (~x + np.uint64(1))
-            same = np.where(x == 0, 8, (np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64))
-            have[going] += same
-            going = going[(same == 8) & (have[going] < limit[going])]
-        have = np.minimum(have, limit)
-        out[at] = have
-        h[:live] = have
+    for k in range(8):
+        words |= wide[k : k + n].astype(np.uint64) << np.uint64(8 * k)
+    i = np.flatnonzero(fresh)
+    j, limit, have = before[i], room[i], np.zeros(len(i), np.int64)
+    going = np.flatnonzero(limit > 0)
+    while len(going):
+        x = words[i[going] + have[going]] ^ words[j[going] + have[going]]
+        lowest = x & (~x + np.uint64(1))
+        same = np.where(x == 0, 8, (np.bitwise_count(lowest - np.uint64(1)) // 8).astype(np.int64))
+        have[going] += same
+        going = going[(same == 8) & (have[going] < limit[going])]
+    have = np.minimum(have, limit)
+    nearest = np.cumsum(fresh) - 1
+    out = np.empty(n, np.int64)
+    out[place] = np.maximum(have[nearest] - (np.arange(n) - i[nearest]), 0)
     return out
 
 
@@ -222,7 +212,7 @@ def repeats(texts: list[bytes], starts: list[int], lengths: tuple[int, ...]) ->
     data = np.frombuffer(b"".join(texts), np.uint8)
     ends = np.cumsum(sizes)
     order = suffix_array(data)
-    common = kasai(data, order, ends - sizes, ends, max(lengths))
+    common = kasai(data, order, ends - sizes, ends)
     out = []
     for length in lengths:
         stops = ends - sizes + np.maximum(0, np.minimum(starts, sizes - length))
@@ -350,15 +340,21 @@ def repeated_places(texts: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
     return out
 
 
-def covered(places: list[tuple[int, int]], length: int) -> list[tuple[int, int]]:
-    """Maximal runs of bytes under strings of `length` bytes; places: sorted [begin, end) of their starts."""
-    out: list[tuple[int, int]] = []
-    for a, b in places:
-        b += length - 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
+def covered(batch: pa.RecordBatch, lengths: tuple[int, ...]) -> list[list[list[tuple[int, int]]]]:
+    """For each row and length the maximal runs of bytes under repeated strings; places come sorted by kind and begin."""
+    lists = batch.column("places")
+    flat = lists.flatten()
+    kind, begin, end = (np.asarray(flat.field(k)).astype(np.int64) for k in ("kind", "begin", "end"))
+    sizes = np.asarray(lists.value_lengths().fill_null(0))
+    group = np.repeat(np.arange(batch.num_rows), sizes) * len(lengths) + kind
+    end = end + np.array(lengths, np.int64)[kind] - 1
+    apart = int(end.max(initial=0)) + 2  # so that no run goes on in the next group
+    reach = np.maximum.accumulate(end + group * apart) if len(end) else end
+    first = np.flatnonzero(np.concatenate(([True], (begin + group * apart)[1:] > reach[:-1]))) if len(end) else np.zeros(0, np.int64)
+    stop = reach[np.concatenate((first[1:], [len(end)])) - 1] if len(end) else end
+    out: list[list[list[tuple[int, int]]]] = [[[] for _ in lengths] for _ in range(batch.num_rows)]
+    for g, a, b in zip(group[first].tolist(), begin[first].tolist(), (stop - group[first] * apart).tolist()):
+        out[g // len(lengths)][g % len(lengths)].append((a, b))
     return out
 
 
@@ -367,13 +363,9 @@ def kept(text: bytes, runs: list[tuple[int, int]]) -> bytes:
     return b"".join(text[a:b] for a, b in zip(at[::2], at[1::2]))
 
 
-def _of_kind(places: list[dict] | None, kind: int, length: int) -> list[tuple[int, int]]:
-    return covered([(p["begin"], p["end"]) for p in places or [] if p["kind"] == kind], length)
-
-
 def _texts_left(batch: pa.RecordBatch, text: str, length: int):
     """The rows with what is left of their texts; bytes of characters that were cut go too, and null stays null."""
-    left = [kept(t, _of_kind(p, 0, length)).decode("utf-8", "ignore") if ok else None for t, p, ok in zip(C.texts_of(batch, text), batch.column("places").to_pylist(), batch.column(text).is_valid().to_pylist())]
+    left = [kept(t, runs).decode("utf-8", "ignore") if ok else None for t, (runs,), ok in zip(C.texts_of(batch, text), covered(batch, (length,)), batch.column(text).is_valid().to_pylist())]
     names = [c for c in batch.schema.names if c not in ("row", "places")]
     yield pa.RecordBatch.from_arrays([pa.array(left, pa.string()) if c == text else batch.column(c) for c in names], names)
 
@@ -381,9 +373,8 @@ def _texts_left(batch: pa.RecordBatch, text: str, length: int):
 def _figures(batch: pa.RecordBatch, lengths: tuple[int, ...]):
     """What is removed of each row, and the bytes under repeated strings of the second length."""
     out = []
-    for doc_id, text, places in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch), batch.column("places").to_pylist()):
-        runs = _of_kind(places, 0, lengths[0])
-        more = [sum(b - a for a, b in _of_kind(places, k, n)) for k, n in enumerate(lengths) if k]
+    for doc_id, text, (runs, *others) in zip(batch.column("doc_id").to_pylist(), C.texts_of(batch), covered(batch, lengths)):
+        more = [sum(b - a for a, b in other) for other in others]
         out.append((doc_id, len(text), sum(b - a for a, b in runs), len(runs), hashlib.sha256(kept(text, runs)).hexdigest(), *more))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *[f"n_repeated_{n}" for n in lengths[1:]]]
     yield _batch(out, names, [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), *[pa.int64()] * (len(lengths) - 1)])
