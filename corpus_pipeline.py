@@ -7,10 +7,10 @@ ORACLE_SQL is None and the stages are tested against brute force.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from torquil.llm import common as C
-from torquil.llm.ngram_join import ngram_join
+from torquil.llm.ngram_join import one_of_each
 from torquil.llm.packing import pack
 from torquil.llm.quality import kept_documents
 from torquil.llm.secrets import mask
@@ -26,20 +26,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest id: five words a shingle, Jaccard similarity 0.8 or more. Documents without an id or words stay."""
-    found = ngram_join(docs, k=5, percent=80)
-    gone = C.written(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct(), "copies")
-    out = docs.join(C.if_small(gone), docs["doc_id"] == gone["__id"], "left_anti")
-    twice = C.written(out.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__id")), "twice")
-    if twice.take(1):  # rows that share an id are one group too
-        same = out["doc_id"] == twice["__id"]
-        first = out.join(twice, same, "left_semi").withColumn("__n", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("__n = 1").drop("__n")
-        out = out.join(twice, same, "left_anti").unionByName(first)
-    return out
+    return one_of_each(docs, k=5, percent=80)
 
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Strings of 400 bytes that occur more than once go from the texts; documents stay."""
-    return suffix_dedup(docs, 400)
+    """Strings of 256 bytes (50 short words and their spaces) that occur more than once go from the texts; documents stay."""
+    return suffix_dedup(docs, 256)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
