@@ -119,6 +119,15 @@ def test_citations_and_numbers(spark):
     texts = spark.createDataFrame([(1, "72% and 0,72 and 50"), (2, "73%"), (3, "50")], "id int, t string")
     facts = spark.createDataFrame([(1, 0.72), (1, 50.0), (2, 0.72), (3, 5.0)], "id int, value double")
     assert {r.id: r.passed for r in H.numbers(texts, "id", "t", facts).collect()} == {1: True, 2: False, 3: False}
+    texts = spark.createDataFrame([(1, "12mm/s"), (2, "1.234.567"), (3, "500"), (4, "0.723 or 72.3%"), (5, "100000000000000"), (6, None)], "id int, t string")
+    facts = spark.createDataFrame([(1, 3.0), (2, 1.0), (3, 5.0), (4, 0.7231), (5, 1e14), (6, 1.0)], "id int, value double")
+    assert {r.id: r.passed for r in H.numbers(texts, "id", "t", facts).collect()} == {1: False, 2: False, 3: False, 4: True, 5: True, 6: True}
+
+
+def test_unit_copies_to_drop(spark):
+    rows = spark.createDataFrame([(1.0, 25.4, 20.0, 68.0, 7.0), (2.0, 50.8, 30.0, 86.0, 7.0)], "v_in double, v_mm double, t_c double, t_f double, one double")
+    got = P.droppable(rows, ("v_mm", "one"), [("v_in", "v_mm", 25.4, 0.0, "v_in"), ("t_c", "t_f", 1.8, 32.0, "t_f")], ("id",))
+    assert {(r.column, r.reason) for r in got.collect()} == {("v_in", "unit copy"), ("t_f", "unit copy"), ("id", "leak"), ("one", "constant")}
 
 
 def test_input_records(spark):

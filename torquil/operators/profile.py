@@ -98,9 +98,10 @@ def tukey_outliers(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...
     return out.groupBy(*by).agg(F.sum("k").alias("n"), F.first(F.col("q1") - mild * F.col("i")).alias("low"), F.first(F.col("q3") + mild * F.col("i")).alias("high"), F.sum(F.when(far(mild), F.col("k")).otherwise(0)).alias("moderate"), F.sum(F.when(far(extreme), F.col("k")).otherwise(0)).alias("extreme"))
 
 
-def droppable(df: DataFrame, columns: tuple[str, ...], pairs: list[tuple[str, str, float, float]], leaks: tuple[str, ...]) -> DataFrame:
-    """(column, reason): a unit copy, then a leak, then a constant; the first reason counts."""
-    copies = unit_redundancy(df, pairs).where("redundant").select(F.col("target").alias("column"), F.lit("unit copy").alias("reason"), F.lit(1).alias("p"))
+def droppable(df: DataFrame, columns: tuple[str, ...], pairs: list[tuple[str, str, float, float, str]], leaks: tuple[str, ...]) -> DataFrame:
+    """(column, reason): a unit copy, then a leak, then a constant; the first reason counts. pairs: those of unit_redundancy, each with the one of its two columns to drop."""
+    drop = df.sparkSession.createDataFrame([(a, b, c) for a, b, _, _, c in pairs], "source string, target string, drop string")
+    copies = unit_redundancy(df, [p[:4] for p in pairs]).where("redundant").join(F.broadcast(drop), ["source", "target"]).select(F.col("drop").alias("column"), F.lit("unit copy").alias("reason"), F.lit(1).alias("p"))
     leak = df.sparkSession.createDataFrame([(c, "leak", 2) for c in leaks], "column string, reason string, p int")
     flat = dominant_values(df, columns).where("constant").select("column", F.lit("constant").alias("reason"), F.lit(3).alias("p"))
     return copies.union(leak).union(flat).groupBy("column").agg(F.min_by("reason", "p").alias("reason"))

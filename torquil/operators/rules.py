@@ -49,11 +49,19 @@ def _plain(number: Column) -> Column:
     return F.when(dotted.contains("."), F.regexp_replace(dotted, r"\.?0+$", "")).otherwise(dotted)
 
 
+def _decimal(value: Column) -> Column:
+    """A double's digits without an exponent."""
+    size = F.abs(value)
+    return F.when((size >= 1e-3) & (size < 1e7), value.cast("string")).when(size >= 1e7, F.format_string("%.6f", value)).otherwise(F.format_string("%.15f", value))
+
+
 def numbers(answers: DataFrame, id: str, text: str, facts: DataFrame) -> DataFrame:
-    """(id, written, unknown, passed): every number in the text is a fact (id, value), written as it is or as a percentage."""
-    found = F.regexp_extract_all(text, F.lit(r"(?<![\w.,])\d+(?:[.,]\d+)?(?![\w]|[.,]\d)"), 0)
+    """(id, written, unknown, passed): every run of digits in the text, with decimals or not and whatever stands beside it, is a fact (id, value): whole, rounded to one to three decimals, or as a percentage if the fact is from 0 to 1."""
+    found = F.regexp_extract_all(text, F.lit(r"\d+(?:[.,]\d+)?"), 0)
     written = answers.select(id, F.explode(found).alias("x")).select(id, _plain(F.col("x")).alias("x")).distinct()
-    forms = facts.select(id, F.explode(F.array(F.col("value").cast("decimal(20,6)").cast("string"), (F.col("value") * 100).cast("decimal(20,6)").cast("string"), F.format_string("%.1f", "value"), F.format_string("%.2f", "value"), F.format_string("%.0f", F.col("value") * 100))).alias("x")).select(id, _plain(F.col("x")).alias("x")).distinct()
+    v = F.col("value").cast("double")
+    share = [F.when(v.between(0, 1), F.round(v * 100, n)) for n in (1, 0)]
+    forms = facts.select(id, F.explode(F.array(*[_decimal(x) for x in (v, F.round(v, 1), F.round(v, 2), F.round(v, 3), *share)])).alias("x")).select(id, _plain(F.col("x")).alias("x")).distinct()
     unknown = written.join(forms, [id, "x"], "left_anti").groupBy(id).agg(F.count("*").alias("unknown"))
     n = written.groupBy(id).agg(F.count("*").alias("written"))
     out = answers.select(id).join(n, id, "left").join(unknown, id, "left").select(id, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("written", "unknown")])

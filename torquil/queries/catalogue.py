@@ -71,10 +71,11 @@ def field_matrix(spark, d):
     return K.field_matrix(df, "source", "lang", "n", ["src1", "src2"])
 
 
-@query("WITH s AS (SELECT DISTINCT source, lang FROM documents WHERE doc_id%3 = 0 AND n_chars > 6000) SELECT a.source, b.lang FROM (SELECT DISTINCT source FROM s) a, (SELECT DISTINCT lang FROM s) b WHERE (a.source, b.lang) NOT IN (SELECT (source, lang) FROM s)")
+@query("WITH s AS (SELECT DISTINCT source, concat(lang, '-', CAST(CAST(floor(n_chars/2000) AS BIGINT) AS VARCHAR)) AS field FROM documents) SELECT a.source, b.field FROM (SELECT DISTINCT source FROM s) a, (SELECT DISTINCT field FROM s) b WHERE (a.source, b.field) NOT IN (SELECT (source, field) FROM s)")
 def missing_fields(spark, d):
-    """J-11."""
-    return K.missing_fields(table(spark, d, "documents").where("doc_id % 3 = 0 and n_chars > 6000"), "source", "lang")
+    """J-11: a field is a language and a class of length."""
+    docs = table(spark, d, "documents").withColumn("field", F.concat("lang", F.lit("-"), F.floor(F.col("n_chars") / 2000).cast("string")))
+    return K.missing_fields(docs, "source", "field")
 
 
 @query("WITH s AS (SELECT c_mktsegment, CASE WHEN regexp_matches(lower(trim(c_mktsegment)), '^auto') THEN 'vehicle' WHEN regexp_matches(lower(trim(c_mktsegment)), 'build|house') THEN 'home' WHEN regexp_matches(lower(trim(c_mktsegment)), 'mach') THEN 'machine' ELSE '?' END AS family, regexp_matches(lower(trim(c_mktsegment)), '(ing|old)$') AS has_suffix, starts_with(lower(trim(c_mktsegment)), 'ma') AS has_prefix FROM customer) SELECT family, count(*) AS n, count(DISTINCT c_mktsegment) AS labels, count(*) FILTER (has_suffix) AS suffixed, count(*) FILTER (has_prefix) AS prefixed, family <> '?' AS is_problem FROM s GROUP BY family")

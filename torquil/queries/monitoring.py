@@ -142,13 +142,14 @@ def same_partition(spark, d):
     return S.same_partition(a.join(b, "id"), "event", "split_event")
 
 
-@query("WITH {r}, " + EVENTS + ", " + SPLIT + """, a AS (SELECT fault, count(DISTINCT event) AS ordered FROM e1 GROUP BY fault), b AS (SELECT fault, count(DISTINCT split_event) AS split FROM s0 WHERE fault <> 'L3' GROUP BY fault)
+@query("WITH {r}, " + EVENTS + ", " + SPLIT + """, a AS (SELECT fault, count(DISTINCT event) AS ordered FROM e1 GROUP BY fault), b AS (SELECT CASE WHEN fault = 'L3' THEN 'L3b' ELSE fault END AS fault, count(DISTINCT split_event) AS split FROM s0 GROUP BY 1)
 SELECT coalesce(a.fault, b.fault) AS fault, coalesce(ordered, 0) AS ordered, coalesce(split, 0) AS split, coalesce(ordered, 0) - coalesce(split, 0) AS difference FROM a FULL JOIN b ON a.fault = b.fault""")
 def label_differences(spark, d):
-    """J-05, D-13: events of each label in both versions; a label that one lacks counts 0."""
+    """J-05, D-13: events of each label in both versions; a label that one lacks (here a renamed one) counts 0."""
     df = readings(spark, d)
     a = S.events(df).groupBy("fault").agg(F.count_distinct("event").alias("ordered"))
-    b = S.events_split_first(df).where("fault <> 'L3'").groupBy("fault").agg(F.count_distinct("event").alias("split"))
+    renamed = F.when(F.col("fault") == "L3", "L3b").otherwise(F.col("fault"))
+    b = S.events_split_first(df).withColumn("fault", renamed).groupBy("fault").agg(F.count_distinct("event").alias("split"))
     out = a.join(b, "fault", "full").select("fault", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("ordered", "split")])
     return out.withColumn("difference", F.col("ordered") - F.col("split"))
 
@@ -171,13 +172,26 @@ def suspicious_events(spark, d):
     return S.summary(S.events(readings(spark, d))).where("largest_gap_s > 600").select("event", "fault", "n", *R6("largest_gap_s"))
 
 
-@query("SELECT unnest(['one_fault','one_rpm','assigned','consecutive','complete']) AS \"check\", true AS passed FROM (SELECT count(*) FROM events)")
+_CHECKS = """k AS (SELECT event, count(DISTINCT fault) + max((fault IS NULL)::INT) AS a, count(DISTINCT rpm) + max((rpm IS NULL)::INT) AS b FROM x GROUP BY event),
+c AS (SELECT max(a) <= 1 AS one_fault, max(b) <= 1 AS one_rpm FROM k), n AS (SELECT count(*) FILTER (event IS NULL) = 0 AS assigned, max(event) = count(DISTINCT event) AND min(event) = 1 AS consecutive, count(*) = (SELECT count(*) FROM r) AS complete FROM x)
+SELECT unnest(['one_fault', 'one_rpm', 'assigned', 'consecutive', 'complete']) AS "check", unnest([one_fault, one_rpm, assigned, consecutive, complete]) AS passed FROM c, n"""
+
+
+@query("WITH {r}, " + EVENTS + ", x AS (SELECT * FROM e1), " + _CHECKS)
 def event_invariants(spark, d):
     """D-17."""
     df = readings(spark, d)
     return S.invariants(S.events(df), total=df)
 
 
+@query("WITH {r}, " + EVENTS + ", x AS (SELECT * REPLACE (CASE WHEN id%401 = 0 THEN NULL WHEN id%37 = 0 THEN event + 3 ELSE event END AS event) FROM e1), " + _CHECKS)
+def broken_invariants(spark, d):
+    """D-17 on events of which some rows went to another event, and some to none."""
+    df = readings(spark, d)
+    wrong = F.when(F.col("id") % 401 == 0, None).when(F.col("id") % 37 == 0, F.col("event") + 3).otherwise(F.col("event"))
+    return S.invariants(S.events(df).withColumn("event", wrong), total=df)
+
+
 @query("WITH {r}, " + EVENTS + ", " + SPLIT + """, z AS (SELECT split_event, date_diff('microsecond', lag(created_at) OVER (PARTITION BY split_event ORDER BY created_at, id), created_at)/1e6 AS g, * EXCLUDE (split_event) FROM s0)
 SELECT 'A' AS version, event, fault, n, round(largest_gap_s, 6) AS largest_gap_s FROM ev UNION ALL SELECT 'B', split_event, any_value(fault), count(*), round(coalesce(max(g), 0), 6) FROM z GROUP BY split_event""")
 def both_versions(spark, d):
@@ -217,10 +231,10 @@ def event_profiles(spark, d):
     return P.event_profiles(S.events(readings(spark, d)), ("m1",), "event", "created_at", "id", 20).select("event", "block", "column", *R6("minutes", "z"))
 
 
-@query("WITH {r}, x AS (SELECT * FROM r WHERE id % 11 <> 0), a AS (SELECT pos, fault, (row_number() OVER w = 1 OR coalesce(fault <> lag(fault) OVER w, true) OR pos - lag(pos) OVER w > 1) AS o FROM x WINDOW w AS (ORDER BY pos)), b AS (SELECT *, sum(o::INT) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM a), c AS (SELECT CAST(block AS BIGINT) AS block, any_value(fault) AS fault, min(pos) AS first, max(pos) AS last, count(*) AS n FROM b GROUP BY 1) SELECT *, lead(first) OVER (ORDER BY block) AS next_first, (first + last)/2 AS centre FROM c")
+@query("WITH {r}, a AS (SELECT pos, fault, (row_number() OVER w = 1 OR coalesce(fault <> lag(fault) OVER w, true) OR pos - lag(pos) OVER w > 1) AS o FROM r WINDOW w AS (ORDER BY pos)), b AS (SELECT *, sum(o::INT) OVER (ORDER BY pos ROWS UNBOUNDED PRECEDING) AS block FROM a), c AS (SELECT CAST(block AS BIGINT) AS block, any_value(fault) AS fault, min(pos) AS first, max(pos) AS last, count(*) AS n FROM b GROUP BY 1) SELECT *, lead(first) OVER (ORDER BY block) AS next_first, (first + last)/2 AS centre FROM c")
 def file_blocks(spark, d):
-    """D-22: blocks in file order after a filter, so positions jump."""
-    return P.file_blocks(readings(spark, d).where("id % 11 <> 0"), "pos")
+    """D-22: blocks in file order, whose positions jump."""
+    return P.file_blocks(readings(spark, d), "pos")
 
 
 @query("WITH {r}, t AS (SELECT pos, fault, lag(fault) OVER w AS before, lag(pos) OVER w AS pp FROM r WINDOW w AS (ORDER BY pos)) SELECT before, fault, count(*) AS n FROM t WHERE pp = pos - 1 AND before <> fault GROUP BY ALL")
@@ -326,10 +340,11 @@ def against_global(spark, d):
     return P.against_global(readings(spark, d), ("m1", "m2")).select("fault", "column", *R6("median", "global_median", "deviation_pct"))
 
 
-@query("WITH {r} SELECT 'm1' AS \"column\", 'unit copy' AS reason FROM (SELECT max(abs(m1 - m1_in*25.4)) AS e FROM r) WHERE e <= 0.02 UNION ALL SELECT 'id', 'leak' FROM (SELECT count(*) FROM r) UNION ALL SELECT 'created_at', 'leak' FROM (SELECT count(*) FROM r) UNION ALL SELECT 'one', 'constant' FROM (SELECT count(*) FROM r)")
+@query("WITH {r}, c AS (SELECT max(abs(m1 - m1_in*25.4)) AS e1, max(abs(m1 - m2*25.4)) AS e2, count(DISTINCT m1) AS d1, count(DISTINCT m2) AS d2, count(DISTINCT m1 - m1) AS d0 FROM r), x AS (SELECT 'm1_in' AS \"column\", 'unit copy' AS reason, 1 AS p FROM c WHERE e1 <= 0.02 UNION ALL SELECT 'm2', 'unit copy', 1 FROM c WHERE e2 <= 0.02 UNION ALL SELECT unnest(['id', 'created_at']), 'leak', 2 FROM c UNION ALL SELECT 'm1', 'constant', 3 FROM c WHERE d1 <= 1 UNION ALL SELECT 'm2', 'constant', 3 FROM c WHERE d2 <= 1 UNION ALL SELECT 'zero', 'constant', 3 FROM c WHERE d0 <= 1) SELECT \"column\", arg_min(reason, p) AS reason FROM x GROUP BY 1")
 def droppable_columns(spark, d):
-    """G-A17, A-02, A-03."""
-    return P.droppable(readings(spark, d).withColumn("one", F.lit(1)), ("m1", "m2", "one"), [("m1_in", "m1", 25.4, 0.0), ("m2", "m1", 25.4, 0.0)], ("id", "created_at"))
+    """G-A17: of a pair of units the copy goes, of m1 and m1_in the one in inches."""
+    df = readings(spark, d).withColumn("zero", F.col("m1") - F.col("m1"))
+    return P.droppable(df, ("m1", "m2", "zero"), [("m1_in", "m1", 25.4, 0.0, "m1_in"), ("m2", "m1", 25.4, 0.0, "m2")], ("id", "created_at"))
 
 
 @query("WITH {r} SELECT fault, min(pos) AS first_position FROM r GROUP BY fault")

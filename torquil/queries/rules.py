@@ -38,12 +38,18 @@ def citations(spark, d):
     return H.citations(e.select("event_id", text.alias("t")), "event_id", "t", supplied)
 
 
-@query("SELECT event_id, 1 AS written, CASE WHEN event_id%10 = 3 THEN 1 ELSE 0 END AS unknown, event_id%10 <> 3 AS passed FROM events")
+_TEXTS = "CASE event_id%8 WHEN 0 THEN concat('at ', CAST(v AS {s})) WHEN 1 THEN concat(CAST(CAST(round(v*100) AS BIGINT) AS {s}), '% of it') WHEN 2 THEN concat('at ', replace(CAST(v AS {s}), '.', ',')) WHEN 3 THEN concat(CAST(event_id%50 AS {s}), 'mm/s') WHEN 4 THEN '1.234.567' WHEN 5 THEN concat('about ', CAST(round(v, 2) AS {s}), '00') WHEN 6 THEN concat(CAST(v*100 AS {s}), ' and ', CAST(event_id%7 AS {s})) ELSE NULL END"
+_FACT = "CASE WHEN event_id%16 < 8 THEN event_id%1000/CAST(1000 AS DOUBLE) ELSE CAST(event_id%60 AS DOUBLE) END"
+
+
+@query("WITH e AS (SELECT event_id, " + _FACT + " AS v FROM events), t AS (SELECT *, " + _TEXTS.format(s="VARCHAR") + r""" AS t FROM e),
+w AS (SELECT event_id, v, list_distinct(list_transform(regexp_extract_all(coalesce(t, ''), '\d+(?:[.,]\d+)?'), lambda x: CASE WHEN contains(replace(x, ',', '.'), '.') THEN regexp_replace(replace(x, ',', '.'), '\.?0+$', '') ELSE x END)) AS w,
+  list_transform([v, round(v, 1), round(v, 2), round(v, 3), CASE WHEN v BETWEEN 0 AND 1 THEN round(v*100, 1) END, CASE WHEN v BETWEEN 0 AND 1 THEN round(v*100) END], lambda y: regexp_replace(CAST(y AS VARCHAR), '\.?0+$', '')) AS f FROM t)
+SELECT event_id, len(w) AS written, len(list_filter(w, lambda x: NOT coalesce(list_contains(f, x), false))) AS unknown, len(list_filter(w, lambda x: NOT coalesce(list_contains(f, x), false))) = 0 AS passed FROM w""")
 def computed_numbers(spark, d):
-    """H-08: numbers in a text are facts, as a share, with a decimal comma, or as a percentage."""
-    e = table(spark, d, "events").withColumn("k", F.col("event_id") % 10)
-    text = F.when(F.col("k") == 3, "73% of it").when(F.col("k") == 2, "0,72 of it").when(F.col("k") == 1, "0.720 of it").otherwise("72% of it")
-    return H.numbers(e.select("event_id", text.alias("t")), "event_id", "t", e.select("event_id", F.lit(0.72).alias("value")))
+    """H-08: numbers in a text are facts: whole, rounded, with a decimal comma, or as a percentage of a share; numbers beside letters or in groups count too."""
+    e = table(spark, d, "events").selectExpr("event_id", _FACT + " AS v").selectExpr("*", _TEXTS.format(s="STRING") + " AS t")
+    return H.numbers(e.select("event_id", "t"), "event_id", "t", e.select("event_id", F.col("v").alias("value")))
 
 
 @query("WITH " + CAT + ", x AS (SELECT event_id, value, CASE WHEN event_id%9=0 THEN NULL ELSE (event_id%100)/100 END AS c, a.family, is_problem, a.family IN (SELECT family FROM doc) AS covered FROM events LEFT JOIN ali a ON label = event_type LEFT JOIN fam USING (family)) SELECT event_id, CASE WHEN NOT (event_id%17 <> 0) THEN 'G0' WHEN NOT coalesce(c >= 0.3, true) THEN 'G1' WHEN NOT coalesce(is_problem, false) THEN 'G2' WHEN NOT covered THEN 'G3' END AS failed FROM x")
