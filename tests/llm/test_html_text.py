@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from torquil.llm import html_text as H
@@ -54,3 +56,17 @@ def test_depth_and_odd_pages(spark):
     out = [(r.page_id, r.text) for r in got.collect()]
     assert (1, "in") in out and (2, "") in out and out.count((3, "")) == 2 and (None, "x") in out and len(out) == 7
     assert H.html_text(got.select("page_id", "url", H.F.lit("").alias("html")).limit(0)).count() == 0
+
+
+def test_broken_markup_takes_time_in_proportion():
+    began = time.time()
+    assert H.render("<table>" + "<caption>" * 30_000 + "x<tbody><tr><td>y").split() == ["x", "y"]
+    for page in ("<a " * 300_000, "<div><p>" * 60_000, "<p><table><tr><td>" + "<span><p></p>" * 40_000, "<b title='" * 50_001 + ">"):
+        assert H.render(page + "end").endswith("end")
+    assert time.time() - began < 60
+
+
+def test_visible_inside_hidden_and_cells_that_reach_down():
+    assert H.render('<div style="visibility:hidden">a<b style="visibility: visible">b</b>c</div>') == "b"
+    page = "<table><tr><td rowspan=2>a<td>b<td>c<tr><td>d<td>e<tr><td colspan=100000>f<td>g</table>"
+    assert H.render(page).split("\n") == ["a  b  c", "   d  e", "f        g"]

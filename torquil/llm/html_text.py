@@ -10,6 +10,7 @@ unbounded, as nothing here recurses; rows that share an id are rendered apart; o
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import unicodedata
@@ -19,9 +20,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from torquil.llm import common as C
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?([A-Za-z][^\s/>]*)|[^<]+|<""", re.S)
+#: What stands in a tag up to its end, quoted or not; what repeats never gives back.
+_INSIDE = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_HIDING = re.compile(r"display\s*:\s*none", re.I)
+_SHADE = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.I)
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 # Element kinds of the HTML standard.
@@ -59,52 +63,75 @@ class Node:
         self.name, self.attributes, self.children = name, attributes, []
 
 
+class Open:
+    """The open elements, with the places of each name, so that none is looked for among all."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.places = [root], {}
+
+    def push(self, node: Node) -> None:
+        self.places.setdefault(node.name, []).append(len(self.nodes))
+        self.nodes.append(node)
+
+    def has(self, name: str) -> bool:
+        return bool(self.places.get(name))
+
+    def close(self, names, fences) -> None:
+        """Closes the nearest element of one name above the last fence, or all elements of several names there."""
+        at = [p for n in names if (p := self.places.get(n))]
+        if not at:
+            return
+        fence = max((p[-1] for n in fences if n not in names and (p := self.places.get(n))), default=0)
+        found = [p[bisect.bisect_right(p, fence) if len(names) > 1 else -1] for p in at if p[-1] > fence]
+        if found:
+            while len(self.nodes) > min(found):
+                self.places[self.nodes.pop().name].pop()
+
+
+def _tag_end(page: str, at: int, last: int) -> int:
+    """Where the tag ends that goes on at this place: at a > outside quotes, else at the next one; -1 if there is none."""
+    if at > last:
+        return -1
+    end = _INSIDE.match(page, at).end()
+    return end if end < len(page) and page[end] == ">" else page.find(">", at)
+
+
 def build(page: str) -> Node:
     """The page's tree; end tags that are left out are implied, those that match nothing are ignored."""
     root = Node("html")
-    open_: list[Node] = [root]
-
-    def close(names, fences) -> None:
-        for k in range(len(open_) - 1, 0, -1):
-            if open_[k].name in names:
-                del open_[k:]
-                return close(names, fences) if len(names) > 1 else None
-            if open_[k].name in fences:
-                return None
-        return None
-
-    at = 0
+    open_ = Open(root)
+    at, last = 0, page.rfind(">")
     while m := _TOKEN.match(page, at):
-        at = m.end()
-        name = m[1]
-        if name is None:
-            if m[0][0] != "<" or m[0] == "<":
-                open_[-1].children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
+        at, name = m.end(), m[1]
+        end = _tag_end(page, at, last) if name else -1
+        if name is None or end < 0:
+            if m[0][0] != "<" or m[0] == "<" or name:
+                open_.nodes[-1].children.append(html.unescape(m[0]) if "&" in m[0] else m[0])
             continue
-        name = name.lower()
+        name, inside, at = name.lower(), page[at:end], end + 1
         if m[0][1] == "/":
-            if name == "p" and not any(n.name == "p" for n in open_):
-                open_[-1].children.append(Node("p"))
+            if name == "p" and not open_.has("p"):
+                open_.nodes[-1].children.append(Node("p"))
             elif name not in VOID:
-                close({name}, FENCES - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {name})
+                open_.close({name}, FENCES - {name} if name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html") else {"table"} - {name})
             continue
-        if name in ("html", "body") and len(open_) > 1 and any(n.name == name for n in open_):
+        if name == "html" or name == "body" and open_.has("body"):
             continue
         if name in IMPLIED:
-            close(*IMPLIED[name])
+            open_.close(*IMPLIED[name])
         if name in CLOSES_P:
-            close({"p"}, FENCES | {"li", "blockquote", "div", "article", "section"} if name != "p" else FENCES)
-        if name == "body" or open_[-1].name == "head" and name in BLOCK:
-            close({"head"}, {"html"})
-        node = Node(name, m[2])
-        open_[-1].children.append(node)
+            open_.close({"p"}, FENCES | {"li", "blockquote", "div", "article", "section"} if name != "p" else FENCES)
+        if name == "body" or open_.nodes[-1].name == "head" and name in BLOCK:
+            open_.close({"head"}, {"html"})
+        node = Node(name, inside)
+        open_.nodes[-1].children.append(node)
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
-            raw = page[at : end.start() if end else len(page)]
+            stop = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+            raw = page[at : stop.start() if stop else len(page)]
             node.children.append(html.unescape(raw) if name in ("title", "textarea") else raw)
-            at = end.end() if end else len(page)
-        elif name not in VOID and not m[2].rstrip().endswith("/") or name in BLOCK and name not in VOID:
-            open_.append(node)
+            at = stop.end() if stop else len(page)
+        elif name not in VOID and not inside.rstrip().endswith("/") or name in BLOCK and name not in VOID:
+            open_.push(node)
     return root
 
 
@@ -124,11 +151,21 @@ def visible(node: Node, drawn: bool = False) -> bool:
     found = {k.lower(): a or b or c or "" for k, a, b, c in _ATTRIBUTE.findall(node.attributes)}
     if "hidden" in found or _HIDING.search(found.get("style", "")) or node.name == "dialog" and "open" not in found:
         return False
-    if drawn and (found.get("display") == "none" or found.get("visibility") in ("hidden", "collapse")):
+    if drawn and found.get("display") == "none":
         return False
     return not (node.name == "input" and found.get("type", "").lower() == "hidden")
 
 
+def lit_box(node: Node, before: bool, drawn: bool = False) -> bool:
+    """Whether the box itself is drawn: visibility is inherited, and what is inside can be visible again."""
+    if "visibility" not in node.attributes.lower():
+        return before
+    found = attributes(node)
+    style = _SHADE.findall(found.get("style", ""))
+    last = style[-1].lower() if style else found.get("visibility", "") if drawn else ""
+    return last == "visible" if last in ("hidden", "collapse", "visible") else before
+
+
 def texts(node: Node) -> str:
     """All visible text below a node, as one line."""
     out, todo = [], list(reversed(node.children))
@@ -215,32 +252,78 @@ class Flow:
             self.gap = 1
 
 
-def aligned(rows: list[list[str]]) -> list[str]:
-    """Rows of cells as lines with columns of equal width; a cell's own lines stand below each other."""
-    columns = max(map(len, rows), default=0)
-    cells = [[c.split("\n") for c in r] + [[""]] * (columns - len(r)) for r in rows]
-    widths = [max(width(x) for r in cells for x in r[k]) for k in range(columns)]
+class Grid:
+    """A table's cells by row and column; cells that reach over columns or down keep others from their places."""
+
+    def __init__(self):
+        self.rows: list[dict[int, str]] = []
+        self.taken: dict[int, tuple[int, int]] = {}  # column: (the next one that is free, last row)
+        self.column = 0
+
+    def row(self) -> None:
+        self.rows.append({})
+        self.column = 0
+
+    def cell(self, text: str, across: int, down: int) -> None:
+        if not self.rows:
+            self.row()
+        while self.column in self.taken:
+            stop, last = self.taken[self.column]
+            if last < len(self.rows):
+                del self.taken[self.column]
+            else:
+                self.column = stop
+        if text:
+            self.rows[-1][self.column] = text
+        if down != 1:
+            self.taken[self.column] = self.column + across, len(self.rows) + down - 1 if down else 1 << 62
+        self.column += across
+
+
+def aligned(rows: list[dict[int, str]]) -> list[str]:
+    """Rows of cells as lines with columns of equal width; a cell's own lines stand below each other. Columns without text take no room."""
+    cells = [{k: c.split("\n") for k, c in r.items()} for r in rows if r]
+    widths: dict[int, int] = {}
+    for r in cells:
+        for k, lines in r.items():
+            widths[k] = max(widths.get(k, 0), *map(width, lines))
+    columns = sorted(widths)
     out = []
     for r in cells:
-        for k in range(max((len(c) for c in r), default=0)):
-            line = [c[k] if k < len(c) else "" for c in r]
-            out.append("  ".join(x + " " * (w - width(x)) for x, w in zip(line, widths)).rstrip())
+        last = max(r)
+        for i in range(max(map(len, r.values()))):
+            parts = []
+            for k in columns:
+                if k > last:
+                    break
+                text = r[k][i] if k in r and i < len(r[k]) else ""
+                parts.append(text + " " * (widths[k] - width(text)))
+            out.append("  ".join(parts).rstrip())
     return out
 
 
+def _span(node: Node, name: str) -> int:
+    found = re.match(r"\s*(\d+)", attributes(node).get(name, ""))
+    return int(found[1]) if found else 1
+
+
 def render(page: str) -> str:
     flows, tables, lists, pre, drawn = [Flow()], [], [], 0, 0
-    todo: list[tuple[Node | str, bool]] = [(build(page), True)]
+    todo: list[tuple[Node | str, bool, bool]] = [(build(page), True, True)]
     while todo:
-        node, enters = todo.pop()
+        node, enters, lit = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
-            (flow.kept if pre else flow.text)(node)
+            if lit:
+                (flow.kept if pre else flow.text)(node)
             continue
         name = node.name
         if enters:
             if not visible(node, drawn > 0):
                 continue
+            lit = lit_box(node, lit, drawn > 0)
+            if not lit and name in ("img", "textarea", "select", "hr"):
+                continue
             if name == "br":
                 flow.end(True)
                 continue
@@ -266,8 +349,8 @@ def render(page: str) -> str:
             if drawn and name in ("text", "mtr", "mlabeledtr"):
                 flow.end()
             if drawn and name in PARTS:
-                todo.append((node, False))
-                todo += [x for c in reversed(node.children) for x in ((c, True), (" ", True))]
+                todo.append((node, False, lit))
+                todo += [x for c in reversed(node.children) for x in ((c, True, lit), (" ", True, lit))]
                 continue
             if name in ("svg", "math"):
                 drawn += 1
@@ -289,25 +372,22 @@ def render(page: str) -> str:
                 flow.line.append("---")
                 flow.apart()
             elif name == "table":
-                tables.append([])
+                tables.append(Grid())
             elif name == "tr" and tables:
-                tables[-1].append([])
+                tables[-1].row()
             elif name in ("td", "th") and tables:
-                if not tables[-1]:
-                    tables[-1].append([])
                 flows.append(Flow())
-            todo.append((node, False))
-            todo += [(c, True) for c in reversed(node.children)]
+            todo.append((node, False, lit))
+            todo += [(c, True, lit) for c in reversed(node.children)]
             continue
         if name in ("td", "th") and tables:
             flow.end()
             flows.pop()
-            span = re.search(r"""colspan\s*=\s*["']?(\d{1,3})""", node.attributes, re.I)
-            tables[-1][-1] += ["\n".join(flow.lines), *[""] * (min(int(span[1]), 100) - 1 if span else 0)]
+            tables[-1].cell("\n".join(flow.lines), max(1, _span(node, "colspan")), _span(node, "rowspan"))
             continue
         if name == "table" and tables:
             flow.end()
-            for line in aligned([r for r in tables.pop() if any(r)]):
+            for line in aligned(tables.pop().rows):
                 flow.line.append(line)
                 flow.end()
         elif name in ("ul", "ol", "menu"):
