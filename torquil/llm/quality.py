@@ -5,9 +5,13 @@ medians and median deviations, concentration steps go on with the mean and covar
 group. Every step is one pass: tasks sum counts, values and products by group and bin of distance, so a group of
 any size comes to the next step as a bounded number of rows. Texts beyond CUTOFF are rejected.
 
+Every group is judged by its own estimate, drawn towards its language's as if PRIOR rows of the language were in it
+too: a source of a few rows is judged nearly as its language, one of thousands by itself, with no switch between.
+Cutoffs are wider the fewer rows an estimate stands on.
+
 Results for odd input: null or empty texts have no words and fail; a null language or source is a group like any
-other; groups under LEAST rows are judged as one per language, and not at all if that is smaller still; rows that
-share an id are judged apart; an empty table gives no rows; other columns are left alone.
+other; rows that share an id are judged apart; an empty table gives no rows; other columns are left alone, and where
+one has the name of a column made here, the made one is in the result.
 """
 
 from __future__ import annotations
@@ -21,11 +25,13 @@ from torquil.llm import common as C
 
 #: Transformed statistics, with the least standard deviation that counts as a spread.
 FEATURES = {"log_words": 0.3, "word_length": 0.3, "log_line_words": 0.3, "symbols": 0.1, "repeated": 0.1, "capitals": 0.05}
-SHARE, STEPS, LEAST = 0.75, 4, 50
+SHARE, STEPS, PRIOR = 0.75, 4, 50
 P = len(FEATURES)
 #: Squared distances, scaled to a median as of normal data: the chi-square quantile 0.999 of P features, and a margin of a tenth, as clean texts are not quite normal.
 QUANTILE, MARGIN = 22.458, 1.1
 CUTOFF = MARGIN * QUANTILE
+#: An estimate on n rows has its cutoff times 1 + WIDER / n.
+WIDER = (P + 1) ** 2
 _SYMBOLS, _SPACE, _CAPITALS = b"#*$%&|<>", b" \t\n\v\f\r", bytes(range(65, 91))
 _MORE = bytes(range(128, 192))
 
@@ -148,14 +154,26 @@ def _step(key, rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"grp": [key[0]], "n": [total], "center": [center], "inverse": [np.linalg.inv(cov).ravel()], "scale": [max(scale, 1.0)]})
 
 
+def _blended(batches):
+    """Each group's estimate, drawn towards its language's, and the factor of its distances."""
+    for rows in batches:
+        if not len(rows):
+            continue
+        n, many = rows.n.to_numpy(float), rows.lang_n.to_numpy(float)
+        own = (n / (n + PRIOR))[:, None]
+        cov = [np.linalg.inv(np.stack(rows[c]).reshape(-1, P, P)) for c in ("inverse", "lang_inverse")]
+        center = own * np.stack(rows.center) + (1 - own) * np.stack(rows.lang_center)
+        inverse = np.linalg.inv(own[:, :, None] * cov[0] + (1 - own[:, :, None]) * cov[1])
+        stands_on = own[:, 0] * n + (1 - own[:, 0]) * many
+        scale = (own[:, 0] * rows["scale"] + (1 - own[:, 0]) * rows["lang_scale"]) * (1 + WIDER / stands_on)
+        yield pd.DataFrame({"grp": rows.grp, "center": list(center), "inverse": list(inverse.reshape(-1, P * P)), "scale": scale})
+
+
 def _verdicts(batches):
     for b in batches:
         rows = b.to_pandas()
-        known = rows.center.notna().to_numpy()
-        far = np.zeros(len(rows))
-        if known.any():
-            far[known] = _distance(rows[known]) / rows["scale"][known]
-        names = [c for c in b.schema.names if c not in ("grp", "x", "n", "center", "inverse", "scale")]
+        far = _distance(rows) / rows["scale"].to_numpy() if len(rows) else np.zeros(0)
+        names = [c for c in b.schema.names if c not in ("grp", "x", "center", "inverse", "scale")]
         kept = ~np.asarray(b.column("base_failed").to_pylist(), bool) & (far <= CUTOFF)
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(kept), pa.array(far)], [*names, "kept", "distance"])
 
@@ -165,21 +183,23 @@ def quality(docs: DataFrame) -> DataFrame:
     C.tune(docs.sparkSession)
     rest = [f for f in docs.schema if f.name != "text"]
     own = [f"c{i}" for i in range(len(rest))]  # names that can't clash
-    plain = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(rest, own)], F.col("text").cast("string"), F.to_json(F.struct("lang", "source")).alias("grp"), F.to_json(F.struct("lang")).alias("lang_"))
+    named = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
+    plain = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(rest, own)], F.col("text").cast("string"), named("lang", "source").alias("grp"), named("lang").alias("lang_"))
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for f, c in zip(rest, own)) + ", grp string, lang_ string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
     stats = C.written(C.mapped(plain, _stats, schema + ", x array<double>"), "stats")
-    sizes = C.written(stats.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
-    rows = stats.join(C.if_small(sizes), "grp").withColumn("grp", F.when(F.col("n") >= LEAST, F.col("grp")).otherwise(F.col("lang_"))).drop("n", "lang_")
-    x = rows.select("grp", "x")
+    x = stats.select(F.explode(F.array("grp", "lang_")).alias("grp"), "x")  # estimates of groups and of languages side by side
     params = x.mapInArrow(_histograms, "grp string, feature int, bin long, n long").groupBy("grp", "feature", "bin").agg(F.sum("n").alias("n")).groupBy("grp").applyInPandas(_start, _PARAMS)
     for _ in range(STEPS):
         params = C.written(params, "params")
         sums = x.join(C.if_small(params, 20_000), "grp").select("grp", "x", "center", "inverse").mapInArrow(_bins, _SUMS)
         params = sums.repartition("grp", "bin").mapInArrow(_combined, _SUMS).groupBy("grp").applyInPandas(_step, _PARAMS)
-    params = C.written(params.where(F.col("n") >= LEAST), "params")
-    out = rows.join(C.if_small(params, 20_000), "grp", "left").mapInArrow(_verdicts, schema.replace(", lang_ string", "").replace(", grp string", "") + ", kept boolean, distance double")
+    params = C.written(params, "params")
+    languages = params.select(F.col("grp").alias("lang_"), *[F.col(c).alias(f"lang_{c}") for c in ("n", "center", "inverse", "scale")])
+    both = stats.select("grp", "lang_").distinct().join(params, "grp").join(languages, "lang_")
+    blended = C.written(both.mapInPandas(_blended, "grp string, center array<double>, inverse array<double>, scale double"), "blended")
+    out = stats.drop("lang_").join(C.if_small(blended, 20_000), "grp").mapInArrow(_verdicts, schema.replace(", lang_ string", "").replace(", grp string", "") + ", kept boolean, distance double")
     more = [c for c in out.columns if c not in own]
-    return out.select(*[F.col(c).alias(f.name) for f, c in zip(rest, own)], *[F.col(c) for c in more if c not in {f.name for f in rest}])
+    return out.select(*[F.col(c).alias(f.name) for f, c in zip(rest, own) if f.name not in more], *more)
 
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
