@@ -2,8 +2,9 @@
 
 Words are counted over all training texts. The HEAD most frequent have numbers; the CLUSTERED most frequent of
 these are assigned to CLASSES classes by exchange: each pass over the texts counts every word's neighbouring
-classes, and words go to the class that raises the likelihood of the class bigrams most. Other numbered words are
-one class, all rarer words another, and the end of a text a third. A token's probability is that of its class after
+classes, and words go to the class that raises the likelihood of the class bigrams most. Then tasks give each other
+numbered word the class in which its tokens are likeliest among their neighbours. All rarer words are one class, and
+the end of a text another. A token's probability is that of its class after
 the class before it, times that of the word in its class; unseen words share what the rare class' single words hold.
 Rare words' counts come by a shuffled join, so the vocabulary may grow with the corpus; what is collected or
 broadcast is bounded by HEAD and CLUSTERED * CLASSES.
@@ -113,10 +114,59 @@ def _count_classes(encoded: DataFrame, classes: np.ndarray, kinds: int, first: i
     return found.pop(-1, np.zeros(kinds * kinds, np.int64)).reshape(kinds, kinds), found
 
 
+def _other_neighbours(batches, classes: np.ndarray, kinds: int):
+    """Of the numbered words that were not clustered: how often each class stands before and after."""
+    total = np.zeros((HEAD - CLUSTERED) * 2 * kinds, np.int32)
+    for batch in batches:
+        data = batch.column("ids").to_pylist()
+        for a in range(0, len(data), 500):
+            ids = np.frombuffer(b"".join(data[a : a + 500]), np.uint16)
+            c = classes[ids]
+            at = np.flatnonzero((ids > CLUSTERED) & (ids <= HEAD))
+            word = (ids[at].astype(np.int64) - CLUSTERED - 1) * 2 * kinds
+            before = np.where(at > 0, c[at - 1], classes[0])
+            keys, n = np.unique(np.concatenate((word + before, word + kinds + c[np.minimum(at + 1, len(c) - 1)])), return_counts=True)
+            total[keys] += n.astype(np.int32)
+    found = total.reshape(-1, 2 * kinds)
+    words = np.flatnonzero(found.any(1))
+    for a in range(0, len(words), 2000):
+        part = words[a : a + 2000]
+        yield pa.RecordBatch.from_arrays([pa.array((part + CLUSTERED + 1).astype(np.int32)), pa.array([x.tobytes() for x in found[part].astype(np.int64)], pa.binary())], ["word", "counts"])
+
+
+def _transitions(both: np.ndarray) -> np.ndarray:
+    """Smoothed log10 probabilities of a class after a class."""
+    share = (both.sum(0) + 1) / (both.sum() + len(both))
+    return np.log10((both + ALPHA * share) / (both.sum(1, keepdims=True) + ALPHA))
+
+
+def _assigned(batches, both: np.ndarray, clusters: int):
+    """The class in which each word's tokens are likeliest; all counts of a word are in this task."""
+    log, size = _transitions(both), both.sum(0)[:clusters]
+    for batch in _summed(batches):
+        counts = np.array([np.frombuffer(c, np.int64) for c in batch.column("counts").to_pylist()], float).reshape(-1, 2 * len(both))
+        before, after = counts[:, : len(both)], counts[:, len(both) :]
+        n = before.sum(1, keepdims=True)
+        likely = before @ log[:, :clusters] + after @ log[:clusters].T - n * np.log10(size + n)
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(likely.argmax(1).astype(np.int32))], ["word", "class"])
+
+
 def _f(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1))
 
 
+def _best_class(both: np.ndarray, before: np.ndarray, after: np.ndarray, clusters: int) -> int:
+    """Where a word with these neighbours raises the likelihood of the class bigrams most."""
+    small = both[:, :clusters]
+    i, j = np.flatnonzero(before), np.flatnonzero(after)
+    gain = (_f(small[i] + before[i, None]) - _f(small[i])).sum(0)
+    small = both[:clusters]
+    gain += (_f(small[:, j] + after[j]) - _f(small[:, j])).sum(1)
+    rows, columns = both[:clusters].sum(1), both[:, :clusters].sum(0)
+    gain -= _f(rows + after.sum()) - _f(rows) + _f(columns + before.sum()) - _f(columns)
+    return int(np.argmax(gain))
+
+
 def exchange(both: np.ndarray, words: dict[int, np.ndarray], classes: np.ndarray, clusters: int) -> None:
     """Moves each word to the class that raises the class bigrams' likelihood most. Changes both and classes."""
     both, kinds = both.astype(float), len(both)
@@ -125,14 +175,7 @@ def exchange(both: np.ndarray, words: dict[int, np.ndarray], classes: np.ndarray
         a = classes[w]
         both[:, a] = np.maximum(both[:, a] - before, 0)
         both[a] = np.maximum(both[a] - after, 0)
-        small = both[:, :clusters]
-        i, j = np.flatnonzero(before), np.flatnonzero(after)
-        gain = (_f(small[i] + before[i, None]) - _f(small[i])).sum(0)
-        small = both[:clusters]
-        gain += (_f(small[:, j] + after[j]) - _f(small[:, j])).sum(1)
-        rows, columns = both[:clusters].sum(1), both[:, :clusters].sum(0)
-        gain -= _f(rows + after.sum()) - _f(rows) + _f(columns + before.sum()) - _f(columns)
-        b = int(np.argmax(gain))
+        b = _best_class(both, before, after, clusters)
         classes[w] = b
         both[:, b] += before
         both[b] += after
@@ -168,8 +211,11 @@ def class_scores(docs: DataFrame) -> DataFrame:
         for half in (0, 1):
             exchange(*_count_classes(encoded, classes, kinds, half, 2), classes, CLASSES)
     both, _ = _count_classes(encoded, classes, kinds)
-    share = (both.sum(0) + 1) / (both.sum() + kinds)
-    log_classes = np.log10((both + ALPHA * share) / (both.sum(1, keepdims=True) + ALPHA))
+    others = encoded.where("not held_out").select("ids").mapInArrow(lambda it: _other_neighbours(it, classes, kinds), "word int, counts binary")
+    others = others.repartition("word").mapInArrow(lambda it: _assigned(it, both.astype(float), CLASSES), "word int, class int").collect()  # HEAD rows at most
+    classes[[r.word for r in others]] = [r["class"] for r in others]
+    both, _ = _count_classes(encoded, classes, kinds)
+    log_classes = _transitions(both)
     rare_tokens = int(both[:, CLASSES + 2].sum())
     single = counts.where("n = 1").count()
     unseen = (single + 1) / (rare_tokens + 2) if rare_tokens else 1.0
