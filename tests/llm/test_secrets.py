@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 from conftest import ODD
 from torquil.llm import secrets as S
@@ -45,6 +46,54 @@ def test_lexer():
     assert found("colour = 'aB3$dE6&gH9*jK2@'") == [] and found("password: see the manual page") == []
 
 
+OLD = "Zx9#kLmP0qRs!tUv"
+#: A text, and what the lexer takes for secrets in it, in order.
+LABELLED = [
+    (f'API_SECRET = """{OLD}"""', [OLD]),
+    (f"API_SECRET = r\'\'\'\n  {OLD[:8]}\n  {OLD[8:]}\n\'\'\'", [f"\n  {OLD[:8]}\n  {OLD[8:]}\n"]),
+    (f'settings = """\nclient_secret = "{OLD}"\n"""\nx = 1', [OLD]),
+    (f"db:\n  client_secret: |\n    {OLD[:8]}\n    {OLD[8:]}\n  colour: blue\n", [f"{OLD[:8]}\n    {OLD[8:]}"]),
+    (f"- auth_token: >-\n    {OLD}\n\n- auth: no\n", [OLD]),
+    (f"note: |\n  client_secret: '{OLD}'\n", [OLD]),
+    ("auth_secret: |\nnothing: indented\n", []),
+    (f'<add key="client_secret" value="{OLD}"/>', [OLD]),
+    (f"<entry value='{OLD}' name='client_secret'>", [OLD]),
+    (f'<add key="colour" value="{OLD}"/>', []),
+    (f"<client_secret>\n {OLD} </client_secret>", [OLD]),
+    (f"<key>client_secret</key>\n<string>{OLD}</string>", [OLD]),
+    (f'a = "{OLD[:9]}"\nb = "{OLD[9:]}"\nauth_secret = a + b\n', [OLD[:9], OLD[9:]]),
+    (f'a = "{OLD[:9]}"\nauth_secret = a + "{OLD[9:]}"\n', [OLD[:9], OLD[9:]]),
+    (f'auth_secret = ("{OLD[:9]}"\n   + "{OLD[9:]}")\n', [f'{OLD[:9]}"\n   + "{OLD[9:]}']),
+    (f'auth_secret = prefix + "{OLD}"\n', [OLD]),
+    (f"a='{OLD}'\nauth_secret=$a\n", [OLD]),
+    (f"a='{OLD}'\nauth_secret=\"id-${{a}}\"\n", [OLD, "id-"]),
+    (f"a = '{OLD}'\nauth_secret = f'{{a}}'\n", [OLD]),
+    (f"a = '{OLD}'\nauth_secret = '%s' % a\n", [OLD, "%s"]),
+    (f"a = '{OLD}'\nauth_secret = '{{}}'.format(a)\n", [OLD, "{}"]),
+    (f'credentials:\n"client_secret": "{OLD}"\n', [OLD]),
+    (f"client_secret =\n    '{OLD}'\n", [OLD]),
+    (f"auth_secret = `{OLD}`;", [OLD]),
+    ('auth_secret = "${a}-${other_value}"', []),
+    ('token: "a word or two in a sentence of prose"', []),
+]
+
+
+def test_lexer_on_labelled_texts():
+    for text, want in LABELLED:
+        assert [text[a:b] for a, k, b in S.spans(text) if k == 3] == want, text
+
+
+def test_joined_constants_take_no_more_time_than_the_text():
+    began = time.time()
+    double = f'a0 = "{OLD}"\n' + "".join(f"a{i + 1} = a{i} + a{i}\n" for i in range(5000)) + "auth_secret = a5000\n"
+    assert [double[a:b] for a, k, b in S.spans(double)] == [OLD]
+    chain = f'b = "{OLD}"\n' + "".join(f'auth_secret = auth_secret + "{OLD}{i}"\n' for i in range(5000))
+    assert len(S.spans(chain)) == 5000
+    for shape in ('x = """ y = \'\'\' ', "a: |\n", '<a "', "<a b='", "x = a +\n", "a = $b ", "<key>", "auth_token: |\n "):
+        S.spans(shape * 20_000)
+    assert time.time() - began < 20
+
+
 def test_masking(documents):
     got = {r.doc_id: (r.text, r.row) for r in S.mask(documents([(1, TEXTS[0]), (2, "clean"), (3, None)])).collect()}
     assert got[2] == ("clean", "r") and got[3] == (None, "r")
