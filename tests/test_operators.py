@@ -177,3 +177,17 @@ def test_streamed_events(spark, tmp_path):
 
 def test_folded_words():
     assert X.ACCENTED and len(X.ACCENTED) == len(X.FOLDED)
+
+
+def test_search_of_untyped_chunks_and_sessions(spark):
+    from torquil.operators import search as R
+
+    chunks = spark.createDataFrame([(1, 10, 1, "a", [1.0, 0.0]), (2, 10, None, "a", [0.8, 0.6]), (3, 20, 2, "a", [0.0, 1.0]), (4, 20, 2, "b", [1.0, 0.0]), (5, 30, 1, "a", [0.6, 0.8])], "chunk long, document long, field int, model string, vec array<double>")
+    allowed = spark.createDataFrame([(1, 10), (2, 20)], "family int, document long")
+    queries = spark.createDataFrame([(100, 1, 7, "a", [1.0, 0.0]), (200, 2, 7, "a", [1.0, 0.0]), (300, 1, None, "a", [1.0, 0.0]), (400, 1, 1, "a", [1.0, 0.0])], "query long, family int, field int, model string, qvec array<double>")
+    got = sorted((r.query, r.chunk) for r in R.filtered_search(queries, allowed, chunks, 5).collect())
+    # a chunk without a field counts as of any field; where no allowed one has the field, all of them count
+    assert got == [(100, 2), (200, 3), (300, 1), (300, 2), (400, 1), (400, 2)]
+    sessions = spark.createDataFrame([(1, 100, [1.0, 0.0]), (1, 200, [0.0, 1.0]), (2, 300, [0.0, 1.0])], "session int, query long, qvec array<double>")
+    got = [(r.session, r.chunk, round(r.score, 6), r["rank"]) for r in R.multi_query_search(sessions, chunks, 2).orderBy("session", "rank").collect()]
+    assert got == [(1, 1, 1.0, 1), (1, 3, 1.0, 2), (2, 3, 1.0, 1), (2, 5, 0.8, 2)]

@@ -95,17 +95,32 @@ def top_k(scored: DataFrame, query: str, id: str, k: int, score: str = "score")
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def filtered_search(queries: DataFrame, allowed: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """queries (query, family, field, model, qvec), allowed (family, document), chunks (chunk, document, field, model, vec).
+def filtered_scores(queries: DataFrame, allowed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Every allowed pair with its score: queries (query, family, field, model, qvec), allowed (family, document), chunks (chunk, document, field, model, vec).
 
     The exact join on documents comes first, so only allowed pairs are scored. A field that the allowed documents
     lack falls back to all of them; vectors of other models are not compared.
     """
     c = chunks.select("chunk", "document", F.col("field").alias("cfield"), F.col("model").alias("cmodel"), "vec")
-    pairs = queries.join(F.broadcast(allowed), "family").join(c, "document").where("model = cmodel")
-    pairs = pairs.withColumn("typed", F.coalesce(F.col("field") == F.col("cfield"), F.lit(True)))
-    pairs = pairs.withColumn("any_typed", F.max("typed").over(Window.partitionBy("query"))).where("typed or not any_typed")
-    return top_k(pairs.withColumn("score", X.cosine("qvec", "vec")).drop("qvec", "vec"), "query", "chunk", k)
+    wanted = queries.join(allowed, "family")
+    # which fields the allowed documents have is found out from a table of a row for each document, model and field
+    fields = c.groupBy("document", "cmodel").agg(F.collect_set("cfield").alias("cfields"), F.bool_or(F.col("cfield").isNull()).alias("untyped"))
+    typed = F.max(F.coalesce(F.array_contains("cfields", F.col("field")), F.lit(True)) | F.col("untyped"))
+    any_typed = wanted.select("query", "document", "field", "model").join(fields, "document").where("model = cmodel").groupBy("query").agg(typed.alias("any_typed"))
+    pairs = wanted.join(any_typed, "query").join(c, "document").where("model = cmodel")
+    pairs = pairs.where(F.coalesce(F.col("field") == F.col("cfield"), F.lit(True)) | ~F.col("any_typed"))
+    return pairs.withColumn("score", X.cosine("qvec", "vec")).drop("qvec", "vec")
+
+
+def filtered_search(queries: DataFrame, allowed: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """The k best of each query among filtered_scores."""
+    return top_k(filtered_scores(queries, allowed, chunks), "query", "chunk", k)
+
+
+def best_of_documents(scored: DataFrame, query: str = "query") -> DataFrame:
+    """(query, document, chunk, score): the best chunk of each document, the smaller one of equals."""
+    best = F.max_by("chunk", F.struct("score", -F.col("chunk")))
+    return scored.groupBy(query, "document").agg(best.alias("chunk"), F.max("score").alias("score"))
 
 
 def empty_reasons(queries: DataFrame, allowed: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -173,6 +188,33 @@ def free_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
     return top_k(scored, "query", "chunk", k)
 
 
+def multi_query_search(queries: DataFrame, chunks: DataFrame, k: int, session: str = "session") -> DataFrame:
+    """(session, chunk, document, score, rank) for queries (session, query, qvec): a chunk's best score among the session's queries.
+
+    A chunk that is among a session's k best is among the k best of the query that gives it its score, so only each
+    query's k best of each block are shuffled.
+    """
+    hits = free_search(queries, chunks, k).drop("rank").join(queries.select("query", session), "query")
+    best = hits.groupBy(session, "chunk").agg(F.max("score").alias("score"), F.first("document").alias("document"))
+    return top_k(best, session, "chunk", k)
+
+
+def balanced(sections: DataFrame, by: str, field: str, id: str, k: int, fields: int) -> DataFrame:
+    """k sections of each `by` with rank: k // fields (one at least) of each field, in the order of fields and ids."""
+    some = sections.withColumn("__i", F.row_number().over(Window.partitionBy(by, field).orderBy(id))).where(F.col("__i") <= max(1, k // fields)).drop("__i")
+    return some.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(field, id))).where(F.col("rank") <= k)
+
+
+def scope(hits: DataFrame, least: float, query: str = "query") -> DataFrame:
+    """(query, best, in_scope): whether a query's best score reaches the least one."""
+    return hits.groupBy(query).agg(F.max("score").alias("best"), (F.max("score") >= least).alias("in_scope"))
+
+
+def joined_sections(hits: DataFrame, body: str, query: str = "query", between: str = " ") -> DataFrame:
+    """(query, raw): the sections of a query's k hits in their order, as one text."""
+    return hits.groupBy(query).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(body).cast("string").alias("body")))), lambda x: x["body"]), between).alias("raw"))
+
+
 def document_votes(hits: DataFrame, query: str = "query") -> DataFrame:
     """(query, document, weight, rank): sums of scores above 0."""
     votes = hits.groupBy(query, "document").agg(F.sum(F.greatest("score", F.lit(0.0))).alias("weight"))

@@ -46,7 +46,7 @@ class Timeline:
         last = df.groupBy("__bucket").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), F.struct(*self.order)).alias("__last"))
         carried = last.select("__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__carried"), F.lag("__bucket").over(Window.orderBy("__bucket")).isNull().alias("__start"))
         df = df.withColumn("__n", F.row_number().over(w)).withColumns({n: F.lag(c).over(w) for n, c in columns.items()})
-        df = df.join(F.broadcast(carried), "__bucket")  # a row for each bucket
+        df = df.join(carried, "__bucket")  # a row for each bucket; Spark broadcasts it by its size
         head = F.col("__n") == 1
         return df.withColumns({**{n: F.when(head, F.col(f"__carried.{n}")).otherwise(F.col(n)) for n in columns}, "__first": head & F.col("__start")}).drop("__n", "__carried", "__start", "__bucket")
 
@@ -58,7 +58,7 @@ class Timeline:
             totals = df.groupBy("__bucket").agg(F.sum("__v").alias("__t"))
             before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
             offsets = totals.select("__bucket", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-            df = df.join(F.broadcast(offsets), "__bucket").withColumn(name, F.col(name) + F.col("__o")).drop("__o", "__bucket")
+            df = df.join(offsets, "__bucket").withColumn(name, F.col(name) + F.col("__o")).drop("__o", "__bucket")
         return df.drop("__v")
 
     def row_number(self, df: DataFrame, name: str) -> DataFrame:

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
-from torquil import functions as X
 from torquil.operators import search as R
 from torquil.operators.rules import relevant
 from torquil.queries import query, table
@@ -47,9 +46,8 @@ def free_search(spark, d):
 def multi_query_search(spark, d):
     """R-10: the best score of a session's queries for each section."""
     q, _, chunks = _tables(spark, d)
-    pairs = F.broadcast(q.select("query", "qvec")).crossJoin(chunks).select((F.col("query") % 300).alias("session"), "chunk", "document", X.cosine("qvec", "vec").alias("score"))  # the stated query set
-    best = pairs.groupBy("session", "chunk").agg(F.max("score").alias("score"), F.first("document").alias("document"))
-    return R.top_k(best, "session", "chunk", 5).select("session", "chunk", "document", *R6("score"), "rank")
+    sessions = q.select((F.col("query") % 300).alias("session"), "query", "qvec")
+    return R.multi_query_search(sessions, chunks, 5).select("session", "chunk", "document", *R6("score"), "rank")
 
 
 @query("WITH " + BASE + " SELECT query, document, round(weight, 6) AS weight, rank FROM ranked")
@@ -73,22 +71,20 @@ def relevance(spark, d):
 @query("WITH " + BASE + " SELECT query, round(max(score), 6) AS best, max(score) >= 0.17 AS in_scope FROM hits WHERE rank = 1 GROUP BY query")
 def scope(spark, d):
     """R-15."""
-    return _hits(spark, d).where("rank = 1").groupBy("query").agg(F.round(F.max("score"), 6).alias("best"), (F.max("score") >= 0.17).alias("in_scope"))
+    return R.scope(_hits(spark, d), 0.17).select("query", *R6("best"), "in_scope")
 
 
 @query("WITH " + BASE + " SELECT query, document, arg_max(chunk, (score, -chunk)) AS chunk, round(max(score), 6) AS score FROM f GROUP BY query, document")
 def best_per_document(spark, d):
     """T-02."""
-    out = R.filtered_search(*_tables(spark, d), 1 << 30)
-    return out.groupBy("query", "document").agg(F.max_by("chunk", F.struct("score", -F.col("chunk"))).alias("chunk"), F.round(F.max("score"), 6).alias("score"))
+    return R.best_of_documents(R.filtered_scores(*_tables(spark, d))).select("query", "document", "chunk", *R6("score"))
 
 
 @query("WITH s AS (SELECT label, vec_id%3 AS field, vec_id, row_number() OVER (PARTITION BY label, vec_id%3 ORDER BY vec_id) AS i FROM embeddings), t AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY field, vec_id) AS rank FROM s WHERE i <= 2) SELECT label, field, vec_id, rank FROM t WHERE rank <= 6")
 def balanced_sections(spark, d):
     """T-03: k // fields of each field, in field order (a top-k)."""
     e = table(spark, d, "embeddings").select("label", (F.col("vec_id") % 3).alias("field"), "vec_id")
-    some = e.withColumn("i", F.row_number().over(Window.partitionBy("label", "field").orderBy("vec_id"))).where("i <= 2").drop("i")
-    return some.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy("field", "vec_id"))).where("rank <= 6")
+    return R.balanced(e, "label", "field", "vec_id", 6, 3)
 
 
 @query("WITH x AS (SELECT vec_id AS query, CASE WHEN vec_id%300=0 THEN 99 ELSE label%5 END AS family, CASE WHEN vec_id%200=0 THEN 'z' ELSE 'a' END AS model FROM embeddings WHERE vec_id%100=0) SELECT query, CASE WHEN family = 99 THEN 'no_document' WHEN model = 'z' THEN 'other_model' ELSE 'found' END AS reason FROM x")
@@ -104,7 +100,7 @@ def raw_answers(spark, d):
     """R-14: catalogue, search, relevance, and the sections in order as one answer."""
     q, allowed, chunks = _tables(spark, d)
     hits = R.filtered_search(q, allowed, chunks, 5).where("score >= 0.15")
-    raw = hits.groupBy("query").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", "chunk"))), lambda x: x["chunk"].cast("string")), " ").alias("raw"))
+    raw = R.joined_sections(hits, "chunk")
     return q.select("query").join(raw, "query", "left").select("query", F.when(F.col("raw").isNull(), "G4").alias("failed"), "raw")
 
 
