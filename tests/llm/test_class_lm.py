@@ -33,16 +33,42 @@ def test_probabilities_sum_to_one(documents, spark, monkeypatch):
     monkeypatch.setattr(M, "HEAD", 3)
     monkeypatch.setattr(M, "CLUSTERED", 2)
     monkeypatch.setattr(M, "CLASSES", 2)
-    rows = [(i, "a b c d e a b a") for i in range(1, 30)]
+    rows = [(i, "a b c d e a b a") for i in range(1, 40) if not M.held_out(i)]
     vocabulary = ["a", "b", "c", "d", "e", "never"]
-    probe = [(1000 + k, w) for k, w in enumerate(vocabulary)] + [(2000, "")]
-    monkeypatch.setattr(M, "held_out", lambda i: i is None or i >= 1000)
-    held = M.class_scores(documents(rows + probe)).where("doc_id >= 1000").collect()
-    end_after = None
-    score = {r.doc_id: r.score for r in held}
+    held = [i for i in range(1000, 2000) if M.held_out(i)][:7]
+    got = M.class_scores(documents(rows + list(zip(held, [*vocabulary, ""])))).where("doc_id >= 1000").collect()
+    assert sorted(r.doc_id for r in got if r.held_out and r.n_known == r.n_tokens) == held[:5] + held[6:]
     # P(w, end) summed over w is the chance of a text of one word; with longer texts and the empty one all sums to 1 or less
-    assert 0 < sum(10 ** score[1000 + k] for k in range(len(vocabulary))) + 10 ** score[2000] <= 1
-    assert end_after is None
+    assert 0 < sum(10**r.score for r in got) <= 1
+
+
+def test_every_training_word_has_a_class(documents, monkeypatch):
+    monkeypatch.setattr(M, "HEAD", 16)
+    monkeypatch.setattr(M, "CLUSTERED", 16)
+    monkeypatch.setattr(M, "CLASSES", 2)
+    g = np.random.default_rng(0)
+    # n and v alternate; rare words, far beyond HEAD, stand in the place of a v or of an n
+    rows = []
+    for i in [i for i in range(1, 400) if not M.held_out(i)][:300]:
+        ws = [f"{'nv'[k % 2]}{g.integers(8)}" for k in range(20)]
+        ws[9 if i % 2 else 8] = f"{'x' if i % 2 else 'y'}{i % 60}"
+        rows.append((i, " ".join(ws)))
+    held = [i for i in range(1000, 2000) if M.held_out(i)][:4]
+    probe = list(zip(held, ["n1 x7 n2", "n1 y8 n2", "n1 never n2", ""]))
+    score = {r.doc_id: (r.score, r.n_known) for r in M.class_scores(documents(rows + probe)).where("doc_id >= 1000").collect()}
+    assert score[held[0]][0] > score[held[1]][0] + 1  # x7 is of the words that stand between n and n
+    assert [score[i][1] for i in held] == [4, 4, 3, 1]
+
+
+def test_model_sums_to_one():
+    g = np.random.default_rng(0)
+    both = g.integers(0, 50, (5, 5))
+    both[:, 2] = 0  # a class without words
+    both[2] = 0
+    log, unseen = M._model(both, np.array([3.0, 0.0, 0.0, 7.0, 0.0]))
+    p = 10**log
+    # words of a class share what it doesn't leave to unseen words; the last column is all unseen words' together
+    assert np.allclose(p[:, :5] @ (1 - unseen) + p[:, 5], 1) and unseen[2] == 1 and unseen[4] == 0
 
 
 def test_nothing_to_learn_from(documents):

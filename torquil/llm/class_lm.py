@@ -2,12 +2,15 @@
 
 Words are counted over all training texts. The HEAD most frequent have numbers; the CLUSTERED most frequent of
 these are assigned to CLASSES classes by exchange: each pass over the texts counts every word's neighbouring
-classes, and words go to the class that raises the likelihood of the class bigrams most. Then tasks give each other
-numbered word the class in which its tokens are likeliest among their neighbours. All rarer words are one class, and
-the end of a text another. A token's probability is that of its class after
-the class before it, times that of the word in its class; unseen words share what the rare class' single words hold.
-Rare words' counts come by a shuffled join, so the vocabulary may grow with the corpus; what is collected or
-broadcast is bounded by HEAD and CLUSTERED * CLASSES.
+classes, and words go to the class that raises the likelihood of the class bigrams most. Every other training word
+then goes to the class in which its tokens are likeliest among their neighbours: numbered words first, then all
+others, whose neighbours and classes stay in tables and come to the texts by shuffled joins. So each word of the
+training texts has a class, however many there are; what is collected or broadcast is bounded by HEAD and
+CLUSTERED * CLASSES.
+
+A token's probability is that of its class after the class before it, times that of the word in its class; the end
+of a text is a class of its own. Each class leaves to unseen words the share that words seen once hold in it; the
+word after an unseen one follows the classes by those shares.
 
 Results for odd input: null and empty texts are the end alone; a null id counts as an empty one (held out); rows
 that share an id are scored apart; with nothing to learn from, all words are unseen; other columns are left alone.
@@ -140,15 +143,18 @@ def _transitions(both: np.ndarray) -> np.ndarray:
     return np.log10((both + ALPHA * share) / (both.sum(1, keepdims=True) + ALPHA))
 
 
+def _likeliest(before: np.ndarray, after: np.ndarray, both: np.ndarray, clusters: int) -> np.ndarray:
+    """For each word (row) with these neighbours: the class in which its tokens are likeliest."""
+    log, size, n = _transitions(both), both.sum(0)[:clusters], before.sum(1, keepdims=True)
+    return (before @ log[:, :clusters] + after @ log[:clusters].T - n * np.log10(size + n)).argmax(1).astype(np.int32)
+
+
 def _assigned(batches, both: np.ndarray, clusters: int):
     """The class in which each word's tokens are likeliest; all counts of a word are in this task."""
-    log, size = _transitions(both), both.sum(0)[:clusters]
     for batch in _summed(batches):
         counts = np.array([np.frombuffer(c, np.int64) for c in batch.column("counts").to_pylist()], float).reshape(-1, 2 * len(both))
         before, after = counts[:, : len(both)], counts[:, len(both) :]
-        n = before.sum(1, keepdims=True)
-        likely = before @ log[:, :clusters] + after @ log[:clusters].T - n * np.log10(size + n)
-        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(likely.argmax(1).astype(np.int32))], ["word", "class"])
+        yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(_likeliest(before, after, both, clusters))], ["word", "class"])
 
 
 def _f(x: np.ndarray) -> np.ndarray:
@@ -181,15 +187,86 @@ def exchange(both: np.ndarray, words: dict[int, np.ndarray], classes: np.ndarray
         both[b] += after
 
 
-def _scored(batch: pa.RecordBatch, base: np.ndarray, log_classes: np.ndarray, classes: np.ndarray, emission: np.ndarray):
-    """Sums over each text; of rare words only what doesn't depend on the word."""
-    data = batch.column("ids").to_pylist()
-    ids = np.frombuffer(b"".join(data), np.uint16)
+def _rare_neighbours(batches, classes: np.ndarray, kinds: int):
+    """(word, pair, n) of the words without a number: how often each pair of classes stands around them."""
+    for batch in batches:
+        ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16)
+        at = np.flatnonzero(ids == RARE)
+        c = classes[ids]
+        pair = np.where(at > 0, c[at - 1], classes[0]) * kinds + c[np.minimum(at + 1, len(c) - 1)]  # an end follows each
+        rows = pa.table({"word": batch.column("rare").flatten(), "pair": pa.array(pair.astype(np.int32))})
+        rows = rows.group_by(["word", "pair"]).aggregate([([], "count_all")]).combine_chunks()
+        yield from rows.rename_columns(["word", "pair", "n"]).to_batches()
+
+
+def _rare_assigned(batch: pa.RecordBatch, both: np.ndarray, clusters: int):
+    """The class in which each word's tokens are likeliest, from its pairs of neighbours."""
+    kinds, pairs = len(both), batch.column("pairs")
+    word = np.repeat(np.arange(batch.num_rows), np.diff(pairs.offsets.to_numpy()))
+    pair, n = (pairs.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    before, after = np.zeros((batch.num_rows, kinds)), np.zeros((batch.num_rows, kinds))
+    np.add.at(before, (word, pair // kinds), n)
+    np.add.at(after, (word, pair % kinds), n)
+    yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(_likeliest(before, after, both, clusters))], ["word", "n", "class"])
+
+
+def rare_classes(encoded: DataFrame, classes: np.ndarray, both: np.ndarray, clusters: int) -> DataFrame:
+    """(word, n, class) of every training word without a number.
+
+    None of them is as frequent as a numbered word, so that no key of the shuffle is hot, and a word's distinct
+    pairs are bounded by the classes.
+    """
+    kinds = len(both)
+    pairs = encoded.where("not held_out and size(rare) > 0").select("ids", "rare").mapInArrow(lambda it: _rare_neighbours(it, classes, kinds), "word binary, pair int, n long")
+    pairs = pairs.repartition("word").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("pairs"))
+    return C.mapped(listed, _rare_assigned, "word binary, n long, class int", both=both.astype(float), clusters=clusters)
+
+
+def _classes_of(batch: pa.RecordBatch, classes: np.ndarray):
+    """Numbers and classes of a batch's tokens, and the counts of those without a number."""
+    ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16)
     c = classes[ids]
-    previous = np.concatenate((classes[:1], c[:-1]))
-    starts = np.concatenate(([0], np.cumsum([len(d) // 2 for d in data])[:-1]))
-    sums = [np.add.reduceat(x, starts) for x in (base[ids], log_classes[previous, c] + emission[ids], (ids != RARE).astype(np.int64))]
-    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("row", "doc_id", "held_out", "n_tokens")), *map(pa.array, sums)], ["row", "doc_id", "held_out", "n_tokens", "base", "own", "numbered"])
+    c[ids == RARE] = batch.column("rare_class").flatten().to_numpy(zero_copy_only=False)
+    return ids, c, np.concatenate((classes[:1], c[:-1])), batch.column("rare_n").flatten().to_numpy(zero_copy_only=False)
+
+
+def _bigrams(batches, classes: np.ndarray, kinds: int):
+    both = np.zeros(kinds * kinds, np.int64)
+    for batch in batches:
+        _, c, previous, _ = _classes_of(batch, classes)
+        both += np.bincount(previous * kinds + c, minlength=kinds * kinds)
+    at = np.flatnonzero(both)
+    yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at])], ["pair", "n"])
+
+
+def _model(both: np.ndarray, single: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Log10 probabilities of classes after classes, with unseen words as one more, and each class' share for unseen words.
+
+    both: class bigrams, the end last; single: words seen once by class.
+    """
+    size = both.sum(0)
+    unseen = np.minimum((single + 1) / (size + 2), 0.5)
+    unseen[size == 0] = 1.0
+    unseen[-1] = 0.0
+    p = 10 ** _transitions(both)
+    p = np.hstack((p, (p @ unseen)[:, None]))
+    by = unseen * np.maximum(size, 1)
+    p = np.vstack((p, by / by.sum() @ p))
+    return np.log10(p), unseen
+
+
+def _scored(batch: pa.RecordBatch, base: np.ndarray, rare_base: tuple[float, float], log_classes: np.ndarray, classes: np.ndarray, emission: np.ndarray, of_class: np.ndarray):
+    """Sums over each text."""
+    ids, c, previous, rare_n = _classes_of(batch, classes)
+    starts = np.concatenate(([0], np.cumsum(batch.column("n_tokens").to_numpy())[:-1]))
+    at = np.flatnonzero(ids == RARE)
+    known, plain, own = (ids != RARE).astype(np.int64), base[ids], emission[ids]
+    known[at] = rare_n > 0
+    plain[at] = np.log10(rare_n + rare_base[0]) - rare_base[1]
+    own[at] = np.where(rare_n > 0, np.log10(np.maximum(rare_n, 1)) - of_class[c[at]], 0.0)
+    sums = [np.add.reduceat(x, starts) for x in (plain, log_classes[previous, c] + own, known)]
+    yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in ("doc_id", "held_out", "n_tokens")), *map(pa.array, sums)], ["doc_id", "held_out", "n_tokens", "base_score", "score", "known"])
 
 
 def class_scores(docs: DataFrame) -> DataFrame:
@@ -215,33 +292,37 @@ def class_scores(docs: DataFrame) -> DataFrame:
     others = others.repartition("word").mapInArrow(lambda it: _assigned(it, both.astype(float), CLASSES), "word int, class int").collect()  # HEAD rows at most
     classes[[r.word for r in others]] = [r["class"] for r in others]
     both, _ = _count_classes(encoded, classes, kinds)
-    log_classes = _transitions(both)
-    rare_tokens = int(both[:, CLASSES + 2].sum())
-    single = counts.where("n = 1").count()
-    unseen = (single + 1) / (rare_tokens + 2) if rare_tokens else 1.0
-    unseen = min(unseen, 0.5) if rare_tokens else 1.0
+    rare = C.written(rare_classes(encoded, classes, both, CLASSES), "rare-classes")
+    # the end and unseen words come after the clusters; of the former kinds for words without a class none is left
+    kinds, unseen_class = CLASSES + 1, CLASSES + 1
+    placed = encoded.select("row", F.posexplode("rare").alias("at", "word")).join(rare, "word", "left")
+    found = F.struct("at", F.coalesce("class", F.lit(unseen_class)).cast("short").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    placed = placed.groupBy("row").agg(F.sort_array(F.collect_list(found)).alias("found"))
+    columns = "row", "doc_id", "held_out", "n_tokens", "ids"
+    texts = encoded.select(*columns).join(placed, "row", "left")
+    texts = C.written(texts.select(*columns, *[F.coalesce(F.col(f"found.{k}"), F.array().cast(f"array<{t}>")).alias(f"rare_{k}") for k, t in (("class", "short"), ("n", "long"))]), "classed")
+    C.drop(encoded)
+    both = np.zeros(kinds * kinds, np.int64)
+    for r in texts.where("not held_out").mapInArrow(lambda it: _bigrams(it, classes, kinds), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # kinds * kinds rows at most
+        both[r.pair] = r.n
+    both = both.reshape(kinds, kinds)
     n = np.zeros(1 << 16)
     n[1 : len(head) + 1] = [k for _, k in head]
     n[0] = both[:, CLASSES].sum()
-    of_class = np.bincount(classes, n, kinds)
-    emission = np.log10(np.maximum(n, 1) / np.maximum(of_class[classes], 1))
-    emission[RARE] = 0.0
+    single = np.bincount(classes[1 : len(head) + 1][n[1 : len(head) + 1] == 1], minlength=kinds).astype(float)
+    for r in rare.where("n = 1").groupBy("class").count().collect():  # a row for each class
+        single[r["class"]] += r["count"]
+    log_classes, unseen = _model(both, single)
+    # log10 of what a word's count is divided by
+    of_class = np.append(np.log10(np.maximum(both.sum(0), 1)) - np.log10(np.where(unseen < 1, 1 - unseen, 1)), 0.0)
+    classes = np.where(classes > CLASSES, unseen_class, classes)
+    emission = np.log10(np.maximum(n, 1)) - of_class[classes]
+    emission[0] = 0.0
     room = np.log10(total.n + 0.1 * (total.v + 1))
-    base = np.log10(n + 0.1) - room
-    base[RARE] = -room
-    scored = C.mapped(encoded.select("row", "doc_id", "held_out", "n_tokens", "ids"), _scored, "row long, doc_id long, held_out boolean, n_tokens long, base double, own double, numbered long", base=base, log_classes=log_classes, classes=classes, emission=emission)
-    rare = encoded.select("row", F.explode("rare").alias("word")).join(counts, "word", "left")
-    known = float(np.log10((1 - unseen) / max(1, rare_tokens))) if unseen < 1 else 0.0
-    rare = rare.groupBy("row").agg(
-        F.count("n").alias("rare_known"),
-        F.sum(F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("rare_base"),
-        F.sum(F.when(F.col("n").isNull(), F.lit(float(np.log10(unseen)))).otherwise(F.log10("n") + known)).alias("rare_own"),
-    )
-    out = scored.join(rare, "row", "left")
+    out = C.mapped(texts, _scored, "doc_id long, held_out boolean, n_tokens long, base_score double, score double, known long", base=np.log10(n + 0.1) - room, rare_base=(0.1, float(room)), log_classes=log_classes, classes=classes, emission=emission, of_class=of_class)
     # the end is no known token where there was no training text
-    n_known = F.col("numbered") + F.coalesce("rare_known", F.lit(0)) - F.lit(0 if n[0] else 1)
-    score = F.col("own") + F.coalesce("rare_own", F.lit(0.0))
-    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("rare_base", F.lit(0.0))).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"))
+    n_known = F.col("known") - F.lit(0 if n[0] else 1)
+    return out.select("doc_id", "held_out", "n_tokens", n_known.alias("n_known"), F.lit(int(total.n)).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
 
 
 def op1_class_lm(spark, sf_dir: str) -> DataFrame:
