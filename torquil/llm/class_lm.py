@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from torquil.llm import common as C
 
 HEAD, CLUSTERED, CLASSES, SWEEPS = 60_000, 4096, 64, 2
-END_WORD, RARE = b"\n", 0xFFFF
+END_WORD, RARE, HELD = b"\n", 0xFFFF, 0xFFFF
 #: Weight of the class frequencies in the transitions.
 ALPHA = 5.0
 
@@ -146,7 +146,7 @@ def _transitions(both: np.ndarray) -> np.ndarray:
 def _likeliest(before: np.ndarray, after: np.ndarray, both: np.ndarray, clusters: int) -> np.ndarray:
     """For each word (row) with these neighbours: the class in which its tokens are likeliest."""
     log, size, n = _transitions(both), both.sum(0)[:clusters], before.sum(1, keepdims=True)
-    return (before @ log[:, :clusters] + after @ log[:clusters].T - n * np.log10(size + n)).argmax(1).astype(np.int32)
+    return (before @ log[:, :clusters] + after @ log[:clusters].T - n * np.log10(np.maximum(size + n, 1))).argmax(1).astype(np.int32)
 
 
 def _assigned(batches, both: np.ndarray, clusters: int):
@@ -187,38 +187,42 @@ def exchange(both: np.ndarray, words: dict[int, np.ndarray], classes: np.ndarray
         both[b] += after
 
 
-def _rare_neighbours(batches, classes: np.ndarray, kinds: int):
-    """(word, pair, n) of the words without a number: how often each pair of classes stands around them."""
+def _places(batches, classes: np.ndarray, kinds: int):
+    """(word, row, place) of each token without a number. place: which of its text's it is, then the pair of classes around it (HELD in held-out texts) in 16 bits."""
     for batch in batches:
         ids = np.frombuffer(b"".join(batch.column("ids").to_pylist()), np.uint16)
         at = np.flatnonzero(ids == RARE)
         c = classes[ids]
         pair = np.where(at > 0, c[at - 1], classes[0]) * kinds + c[np.minimum(at + 1, len(c) - 1)]  # an end follows each
-        rows = pa.table({"word": batch.column("rare").flatten(), "pair": pa.array(pair.astype(np.int32))})
-        rows = rows.group_by(["word", "pair"]).aggregate([([], "count_all")]).combine_chunks()
-        yield from rows.rename_columns(["word", "pair", "n"]).to_batches()
+        rare = batch.column("rare")
+        first = rare.offsets.to_numpy().astype(np.int64) - rare.offsets[0].as_py()
+        text = np.repeat(np.arange(batch.num_rows), np.diff(first))
+        pair[batch.column("held_out").to_numpy(zero_copy_only=False)[text]] = HELD
+        place = (np.arange(len(at)) - first[text] << 16) + pair
+        yield pa.RecordBatch.from_arrays([rare.flatten(), pa.array(batch.column("row").to_numpy()[text]), pa.array(place)], ["word", "row", "place"])
 
 
 def _rare_assigned(batch: pa.RecordBatch, both: np.ndarray, clusters: int):
-    """The class in which each word's tokens are likeliest, from its pairs of neighbours."""
+    """The class in which each word's tokens are likeliest, from its pairs of neighbours; none (null) if all are held out."""
     kinds, pairs = len(both), batch.column("pairs")
     word = np.repeat(np.arange(batch.num_rows), np.diff(pairs.offsets.to_numpy()))
     pair, n = (pairs.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+    word, pair, n = (x[pair != HELD] for x in (word, pair, n))
     before, after = np.zeros((batch.num_rows, kinds)), np.zeros((batch.num_rows, kinds))
     np.add.at(before, (word, pair // kinds), n)
     np.add.at(after, (word, pair % kinds), n)
-    yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(before.sum(1).astype(np.int64)), pa.array(_likeliest(before, after, both, clusters))], ["word", "n", "class"])
+    total = before.sum(1).astype(np.int64)
+    yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total), pa.array(_likeliest(before, after, both, clusters), mask=total == 0)], ["word", "n", "class"])
 
 
-def rare_classes(encoded: DataFrame, classes: np.ndarray, both: np.ndarray, clusters: int) -> DataFrame:
-    """(word, n, class) of every training word without a number.
+def rare_classes(places: DataFrame, both: np.ndarray, clusters: int) -> DataFrame:
+    """(word, n, class) of every word without a number: its training tokens and its class (null without any).
 
-    None of them is as frequent as a numbered word, so that no key of the shuffle is hot, and a word's distinct
-    pairs are bounded by the classes.
+    places is dealt by word. A word's distinct pairs are bounded by the classes, and none of these words is as
+    frequent as a numbered one. Counting `row` has this read all columns of places, so that the join back to them
+    finds the same shuffle.
     """
-    kinds = len(both)
-    pairs = encoded.where("not held_out and size(rare) > 0").select("ids", "rare").mapInArrow(lambda it: _rare_neighbours(it, classes, kinds), "word binary, pair int, n long")
-    pairs = pairs.repartition("word").groupBy("word", "pair").agg(F.sum("n").alias("n"))
+    pairs = places.groupBy("word", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("pair")).agg(F.count("row").alias("n"))
     listed = pairs.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("pairs"))
     return C.mapped(listed, _rare_assigned, "word binary, n long, class int", both=both.astype(float), clusters=clusters)
 
@@ -232,10 +236,13 @@ def _classes_of(batch: pa.RecordBatch, classes: np.ndarray):
 
 
 def _bigrams(batches, classes: np.ndarray, kinds: int):
-    both = np.zeros(kinds * kinds, np.int64)
+    """Counts of class bigrams, then of words seen once by class (numbers from kinds * kinds)."""
+    both, single = np.zeros(kinds * kinds, np.int64), np.zeros(kinds, np.int64)
     for batch in batches:
-        _, c, previous, _ = _classes_of(batch, classes)
+        ids, c, previous, rare_n = _classes_of(batch, classes)
         both += np.bincount(previous * kinds + c, minlength=kinds * kinds)
+        single += np.bincount(c[ids == RARE][rare_n == 1], minlength=kinds)
+    both = np.concatenate((both, single))
     at = np.flatnonzero(both)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(both[at])], ["pair", "n"])
 
@@ -292,26 +299,25 @@ def class_scores(docs: DataFrame) -> DataFrame:
     others = others.repartition("word").mapInArrow(lambda it: _assigned(it, both.astype(float), CLASSES), "word int, class int").collect()  # HEAD rows at most
     classes[[r.word for r in others]] = [r["class"] for r in others]
     both, _ = _count_classes(encoded, classes, kinds)
-    rare = C.written(rare_classes(encoded, classes, both, CLASSES), "rare-classes")
+    places = encoded.where("size(rare) > 0").select("row", "held_out", "ids", "rare")
+    places = places.mapInArrow(lambda it: _places(it, classes, kinds), "word binary, row long, place long").repartition("word")
+    rare = rare_classes(places, both, CLASSES)
     # the end and unseen words come after the clusters; of the former kinds for words without a class none is left
-    kinds, unseen_class = CLASSES + 1, CLASSES + 1
-    placed = encoded.select("row", F.posexplode("rare").alias("at", "word")).join(rare, "word", "left")
-    found = F.struct("at", F.coalesce("class", F.lit(unseen_class)).cast("short").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
-    placed = placed.groupBy("row").agg(F.sort_array(F.collect_list(found)).alias("found"))
+    final, unseen_class = CLASSES + 1, CLASSES + 1
+    found = places.join(rare, "word", "left").select("row", F.shiftright("place", 16).alias("at"), F.coalesce("class", F.lit(unseen_class)).cast("short").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = found.repartition("row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "class", "n"))).alias("found"))
     columns = "row", "doc_id", "held_out", "n_tokens", "ids"
-    texts = encoded.select(*columns).join(placed, "row", "left")
+    texts = encoded.select(*columns).join(found, "row", "left")
     texts = C.written(texts.select(*columns, *[F.coalesce(F.col(f"found.{k}"), F.array().cast(f"array<{t}>")).alias(f"rare_{k}") for k, t in (("class", "short"), ("n", "long"))]), "classed")
     C.drop(encoded)
-    both = np.zeros(kinds * kinds, np.int64)
-    for r in texts.where("not held_out").mapInArrow(lambda it: _bigrams(it, classes, kinds), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # kinds * kinds rows at most
+    both = np.zeros(final * final + final, np.int64)
+    for r in texts.where("not held_out").mapInArrow(lambda it: _bigrams(it, classes, final), "pair int, n long").groupBy("pair").agg(F.sum("n").alias("n")).collect():  # a row for each pair of classes
         both[r.pair] = r.n
-    both = both.reshape(kinds, kinds)
+    both, single = both[: final * final].reshape(final, final), both[final * final :].astype(float)
     n = np.zeros(1 << 16)
     n[1 : len(head) + 1] = [k for _, k in head]
     n[0] = both[:, CLASSES].sum()
-    single = np.bincount(classes[1 : len(head) + 1][n[1 : len(head) + 1] == 1], minlength=kinds).astype(float)
-    for r in rare.where("n = 1").groupBy("class").count().collect():  # a row for each class
-        single[r["class"]] += r["count"]
+    single += np.bincount(classes[1 : len(head) + 1][n[1 : len(head) + 1] == 1], minlength=final)
     log_classes, unseen = _model(both, single)
     # log10 of what a word's count is divided by
     of_class = np.append(np.log10(np.maximum(both.sum(0), 1)) - np.log10(np.where(unseen < 1, 1 - unseen, 1)), 0.0)
