@@ -215,14 +215,34 @@ def _rare_assigned(batch: pa.RecordBatch, both: np.ndarray, clusters: int):
     yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total), pa.array(_likeliest(before, after, both, clusters), mask=total == 0)], ["word", "n", "class"])
 
 
-def rare_classes(places: DataFrame, both: np.ndarray, clusters: int) -> DataFrame:
-    """(word, n, class) of every word without a number: its training tokens and its class (null without any).
-
-    places is dealt by word. A word's distinct pairs are bounded by the classes, and none of these words is as
-    frequent as a numbered one. Counting `row` has this read all columns of places, so that the join back to them
-    finds the same shuffle.
+def _pairs(batches, classes: np.ndarray, kinds: int, rows: int = 400_000):
+    """(word, pair, n): the pairs around words without a number, counted over some batches so that they stay in bounds."""
+
+    def counted(kept):
+        table = pa.concat_tables(kept).group_by(["word", "pair"]).aggregate([([], "count_all")])
+        return table.select(["word", "pair", "count_all"]).rename_columns(["word", "pair", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
+
+    kept, held = [], 0
+    for part in _places(batches, classes, kinds):
+        pair = (part.column("place").to_numpy() & 0xFFFF).astype(np.int32)
+        kept.append(pa.table({"word": part.column("word"), "pair": pa.array(pair)}))
+        held += len(pair)
+        if held > rows:
+            yield from counted(kept)
+            kept, held = [], 0
+    if held:
+        yield from counted(kept)
+
+
+def rare_classes(encoded: DataFrame, classes: np.ndarray, both: np.ndarray, clusters: int) -> DataFrame:
+    """(word, n, class) of every training word without a number.
+
+    None of them is as frequent as a numbered word, so that no key of the shuffle is hot, and a word's distinct
+    pairs are bounded by the classes.
     """
-    pairs = places.groupBy("word", F.col("place").bitwiseAND(0xFFFF).cast("int").alias("pair")).agg(F.count("row").alias("n"))
+    kinds = len(both)
+    pairs = encoded.where("not held_out and size(rare) > 0").select("row", "held_out", "ids", "rare")
+    pairs = pairs.mapInArrow(lambda it: _pairs(it, classes, kinds), "word binary, pair int, n long").repartition("word").groupBy("word", "pair").agg(F.sum("n").alias("n"))
     listed = pairs.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("pairs"))
     return C.mapped(listed, _rare_assigned, "word binary, n long, class int", both=both.astype(float), clusters=clusters)
 
@@ -300,11 +320,12 @@ def class_scores(docs: DataFrame) -> DataFrame:
     classes[[r.word for r in others]] = [r["class"] for r in others]
     both, _ = _count_classes(encoded, classes, kinds)
     places = encoded.where("size(rare) > 0").select("row", "held_out", "ids", "rare")
-    places = places.mapInArrow(lambda it: _places(it, classes, kinds), "word binary, row long, place long").repartition("word")
-    rare = rare_classes(places, both, CLASSES)
+    places = places.mapInArrow(lambda it: _places(it, classes, kinds), "word binary, row long, place long")
+    places = places.select("word", "row", F.shiftright("place", 16).cast("int").alias("at"))
+    rare = rare_classes(encoded, classes, both, CLASSES)
     # the end and unseen words come after the clusters; of the former kinds for words without a class none is left
     final, unseen_class = CLASSES + 1, CLASSES + 1
-    found = places.join(rare, "word", "left").select("row", F.shiftright("place", 16).alias("at"), F.coalesce("class", F.lit(unseen_class)).cast("short").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = places.join(rare, "word", "left").select("row", "at", F.coalesce("class", F.lit(unseen_class)).cast("short").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
     found = found.repartition("row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "class", "n"))).alias("found"))
     columns = "row", "doc_id", "held_out", "n_tokens", "ids"
     texts = encoded.select(*columns).join(found, "row", "left")
