@@ -67,14 +67,6 @@ def test_headings(spark):
     assert got[2].body == "wrapped line" and got[3].body == "- one\n- two"
 
 
-def test_every_text_has_a_latent_vector(spark):
-    rows = [(i, f"pump motor w{i % 3} bearing x{i % 4}") for i in range(12)] + [(50, "zz qq"), (51, "a"), (52, ""), (53, None)]
-    docs = spark.createDataFrame(rows, "id int, t string")
-    got = {r.id: r.vector for r in R.lsa(R.tfidf(docs, "id", "t"), "id", 3, vocabulary=8, ids=docs).collect()}
-    assert sorted(got) == sorted(i for i, _ in rows) and {len(x) for x in got.values()} == {3}
-    assert all(got[i] == [0.0] * 3 for i in (50, 51, 52, 53)) and all(abs(sum(y * y for y in got[i]) - 1) < 1e-9 for i in range(12))
-
-
 def test_headings_of_any_size(spark):
     title = "long " * 60 + "title"
     lines = [f"{i}. Part" for i in range(1, 121)] + ["120.1.2.3.4.5.6 " + title + " \r", "120.345 Sub", "120..1 no", "120.1.. no", "99999999999999999999999 no", "1" + ".1" * 20_000 + " no"]

@@ -29,6 +29,7 @@ class Config:
     margin: float = 0.25
     share: float = 0.45
     history: int = 4
+    dims: int = 256
 
 
 DEFAULTS = Config()

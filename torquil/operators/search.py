@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from torquil import functions as X
 from torquil.config import DEFAULTS
+from torquil.sources import shared as T
 
 #: Numbers of any size and depth with a title of any length; no group repeats, as Java's stack grows with those.
 _HEADING = r"^(\d[\d.]*+)\s++(\S.*+)$"
@@ -65,30 +66,6 @@ def tfidf(docs: DataFrame, id: str, text: str, most: float = 0.9) -> DataFrame:
     return w.join(norm, id).select(id, "term", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def lsa(weights: DataFrame, id: str, dims: int, vocabulary: int = 2000, ids: DataFrame | None = None) -> DataFrame:
-    """(id, vector): unit vectors of the texts on the leading right singular vectors.
-
-    The basis comes from the `vocabulary` terms in most texts, a bound on what the driver holds; each text is
-    projected by a join on terms. A text that has none of them has the zero vector, if it is in ids (id).
-    """
-    from pyspark.mllib.linalg import Vectors
-    from pyspark.mllib.linalg.distributed import RowMatrix
-
-    spark = weights.sparkSession
-    top = [r.term for r in weights.groupBy("term").agg(F.count("*").alias("df")).orderBy(F.desc("df"), "term").limit(vocabulary).collect()]
-    index = spark.createDataFrame(list(zip(top, range(len(top)))), "term string, i int")
-    rows = weights.join(F.broadcast(index), "term").groupBy(id).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("x"))
-    size = len(top)
-    matrix = RowMatrix(rows.rdd.map(lambda r: Vectors.sparse(size, [v.i for v in r.x], [v.weight for v in r.x])), numCols=size)
-    v = matrix.computeSVD(min(dims, size - 1)).V.toArray()
-    basis = spark.createDataFrame([(t, [float(y) for y in v[k]]) for k, t in enumerate(top)], "term string, b array<double>")
-    parts = weights.join(F.broadcast(basis), "term").select(id, F.posexplode("b").alias("k", "b"), "weight").groupBy(id, "k").agg(F.sum(F.col("b") * F.col("weight")).alias("y"))
-    out = parts.groupBy(id).agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "y"))), lambda s: s["y"]).alias("vector"))
-    norm = F.sqrt(X.dot(F.col("vector"), F.col("vector")))
-    out = out.select(id, F.transform("vector", lambda y: F.coalesce(F.try_divide(y, norm), F.lit(0.0))).alias("vector"))
-    return out if ids is None else ids.select(id).join(out, id, "left").select(id, F.coalesce("vector", F.array_repeat(F.lit(0.0), v.shape[1])).alias("vector"))
-
-
 def top_k(scored: DataFrame, query: str, id: str, k: int, score: str = "score") -> DataFrame:
     """The k best of each query with rank; ties by id."""
     w = Window.partitionBy(query).orderBy(F.desc(score), id)
@@ -132,18 +109,24 @@ def empty_reasons(queries: DataFrame, allowed: DataFrame, chunks: DataFrame) ->
 
 
 def _packed(df: DataFrame, columns: tuple[str, ...], vector: str, rows: int = 1000) -> DataFrame:
-    """df as rows of many: arrays of the columns, and the vectors as one block."""
+    """df as rows of many, written: arrays of the columns, and vectors of one length as one block. Rows whose vector is null or empty or holds a null or a number that isn't finite are left out."""
     import numpy as np
     import pandas as pd
 
     def pack(batches):
         for b in batches:
-            for at in range(0, len(b), rows):
-                part = b.iloc[at : at + rows]
-                yield pd.DataFrame({**{c: [part[c].to_numpy()] for c in columns}, vector: [np.stack([np.array(v, float) for v in part[vector]]).tobytes()]})
+            sizes = np.array([0 if v is None else len(v) for v in b[vector]])
+            for size in np.unique(sizes[sizes > 0]):
+                some = b[sizes == size]
+                block = np.stack([np.array(v, float) for v in some[vector]])
+                good = np.isfinite(block).all(1)
+                some, block = some[good], block[good]
+                for at in range(0, len(some), rows):
+                    part = some.iloc[at : at + rows]
+                    yield pd.DataFrame({**{c: [part[c].to_numpy()] for c in columns}, vector: [block[at : at + rows].tobytes()]})
 
     kinds = dict(df.dtypes)
-    return df.select(*columns, vector).mapInPandas(pack, ", ".join(f"{c} array<{kinds[c]}>" for c in columns) + f", {vector} binary")
+    return T.written(df.select(*columns, vector).mapInPandas(pack, ", ".join(f"{c} array<{kinds[c]}>" for c in columns) + f", {vector} binary"), "packed")
 
 
 def _best(scores, x, y, ids, k: int):
@@ -169,7 +152,10 @@ def _best(scores, x, y, ids, k: int):
 
 
 def free_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
-    """All queries against all chunks: both are packed into blocks, and each pair of blocks is a matrix product of which only each query's k best go on."""
+    """All queries against all chunks: both are packed into blocks once, and each pair of blocks is a matrix product of which only each query's k best go on.
+
+    Queries and chunks without a vector of finite numbers have no hits and are none; vectors of different lengths are not compared.
+    """
     import numpy as np
     import pandas as pd
 
@@ -177,6 +163,8 @@ def free_search(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
         for b in batches:
             for r in b.itertuples(index=False):
                 x, y = np.frombuffer(r.qvec).reshape(len(r.query), -1), np.frombuffer(r.vec).reshape(len(r.chunk), -1)
+                if x.shape[1] != y.shape[1]:
+                    continue
                 with np.errstate(invalid="ignore", divide="ignore"):
                     s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ (y / np.linalg.norm(y, axis=1, keepdims=True)).T
                 i, j, score = _best(s, x, y, r.chunk, k)

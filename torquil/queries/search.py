@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from torquil.operators import search as R
+from torquil.operators.latent import latent_vectors as latent
 from torquil.operators.rules import relevant
+from torquil.plans.index import build_index, search_index
 from torquil.queries import query, table
 from torquil.queries.monitoring import R6
+from torquil.sources import shared
 
 BASE = """v AS (SELECT vec_id, label, embedding, vec_id%3 AS field, CASE WHEN vec_id%10 = 9 THEN 'b' ELSE 'a' END AS model FROM embeddings),
 q AS (SELECT vec_id AS query, label%5 AS family, CASE WHEN vec_id%200=0 THEN 7 ELSE vec_id%3 END AS field, embedding AS qvec FROM embeddings WHERE vec_id%100=0),
@@ -121,9 +126,18 @@ def term_weights(spark, d):
 
 @query()
 def latent_vectors(spark, d):
-    """R-06, R-07: latent vectors of all texts, with the model's name."""
+    """R-06: latent vectors of all texts on a basis of all their terms, with the model's name."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return latent(docs, "text").withColumn("model", F.lit("tfidf-lsa-256"))
+
+
+@query()
+def index_search(spark, d):
+    """R-07, R-09: texts indexed in stored tables, and the texts of every hundredth id encoded by the stored basis and searched."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return R.lsa(R.tfidf(docs, "doc_id", "text"), "doc_id", 16, vocabulary=300, ids=docs).withColumn("model", F.lit("tfidf-lsa-16"))
+    root = f"{shared.folder(spark)}/index-{uuid.uuid4().hex}"
+    build_index(docs, "doc_id", "text", root)
+    return search_index(docs.where("doc_id % 100 = 0"), "doc_id", "text", root, 5).select("query", "chunk", *R6("score"), "rank")
 
 
 @query()
