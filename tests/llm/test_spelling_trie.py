@@ -90,7 +90,7 @@ def test_search_finds_each_pair_once():
     got = [(int(i), int(j)) for a, b in S.found(raw, raw) for i, j in zip(a, b)]
     want = {(i, j) for i, a in enumerate(raw) for j, b in enumerate(raw) if S.differ_by_one(a, b) and (len(a) < len(b) or a < b)}
     assert len(got) == len(set(got)) and set(got) == want
-    assert np.all(S.vectors([b"\xe9e\xc9x"])[0][[0, S.LEVELS.index("x")]] == [3, 1])
+    assert np.all(S.vectors([b"\xe9e\xc9x\xdf"])[0][[0, 1, 1 + S.LEVELS.index("x"), S.N - 1]] == [5, 3, 1, 1])
 
 
 def test_real_texts(spark):

@@ -4,7 +4,8 @@ A word's vector counts its letters by group (a letter with its accented forms; a
 trie by successive counts. From each word a depth-first search walks the trie with a budget of one letter more and one
 letter less than its own counts, since two words that differ by one letter differ in their counts by no more; the words
 at the leaves it reaches are verified letter by letter. A pair is searched from its shorter word, or from the smaller
-of two equally long ones.
+of two equally long ones, so the trie's first level is the count of all letters: as many, or one more, which leaves no
+letter less.
 
 The trie is spread over tasks: its top, down to nodes of SHARD words, is counted level by level in Spark and walked first;
 each word is sent to the subtrees it may reach, and the search goes on in there. A leaf with more words than SHARD
@@ -18,7 +19,6 @@ count each; words of any length count; other columns are left alone; an empty ta
 
 from __future__ import annotations
 
-import re
 import unicodedata
 import zlib
 from collections import Counter
@@ -35,6 +35,8 @@ SHORTEST, FEWEST, DAMAGED = 5, 3, 97
 FACTOR = 2
 #: Words of a subtree that a task searches, and words that a task counts or walks with at once.
 SHARD, HELD = 4000, 100_000
+#: Code points of a text after which a task gives its counts away.
+LONG = 1 << 22
 #: Nodes with no more words than this aren't divided further: their words are compared with the vector itself.
 FEW = 16
 #: Words up to this length are verified many at a time.
@@ -42,49 +44,49 @@ WIDE = 64
 
 #: Letters in the order of the trie's levels, frequent ones first; all others are the last level.
 LEVELS = "etaoinsrhldcumfpgwybvkxjqz"
-N = len(LEVELS) + 1
-_RUN = re.compile(rb"[a-z\xc0-\xff]+")
-_GROUP = np.array([i if (i := LEVELS.find(unicodedata.normalize("NFKD", chr(b))[0].lower())) >= 0 else N - 1 for b in range(256)])
+#: Of all letters, which is the trie's first level, and of each group.
+N = len(LEVELS) + 2
+_GROUP = np.array([i + 1 if (i := LEVELS.find(unicodedata.normalize("NFKD", chr(b))[0].lower())) >= 0 else N - 1 for b in range(256)])
+#: A-Z in lower case, the other letters as they are, all else as white space.
+_LETTERS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 192 else 32 for b in range(256))
 
 
 def vectors(words: list[bytes]) -> np.ndarray:
-    """Counts by group of words in Latin-1."""
+    """Counts of all letters and by group of words in Latin-1."""
     sizes = np.array([len(w) for w in words], np.int64)
     letters = _GROUP[np.frombuffer(b"".join(words), np.uint8)]
-    return np.bincount(np.repeat(np.arange(len(words)), sizes) * N + letters, minlength=len(words) * N).reshape(-1, N).astype(np.int32)
+    out = np.bincount(np.repeat(np.arange(len(words)), sizes) * N + letters, minlength=len(words) * N).reshape(-1, N).astype(np.int32)
+    out[:, 0] = sizes
+    return out
 
 
-def occurrences(doc_id, text: str | None) -> Counter:
-    """Words of a text in Latin-1 with their counts, damaged ones as they are spelled then."""
-    # what Latin-1 lacks becomes a question mark, which is no letter
-    runs = Counter(m[0] for m in _RUN.finditer((text or "").encode("latin-1", "replace").lower()))
-    out: Counter = Counter()
+def occurrences(doc_id, text: str | None, out: dict[bytes, int]) -> None:
+    """Adds the counts of a text's words in Latin-1, damaged ones as they are spelled then."""
     start = zlib.crc32(f"{'' if doc_id is None else doc_id}:".encode())
-    for run, n in runs.items():
-        h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
-        if h % DAMAGED == 0:
-            at = h % len(run)
-            run = run[:at] + run[at + 1 :]
+    # what Latin-1 lacks becomes a question mark, which is no letter
+    for run, n in Counter((text or "").encode("latin-1", "replace").translate(_LETTERS).split()).items():
         if len(run) >= SHORTEST:
-            out[run] += n
-    return out
+            h = zlib.crc32(run if run.isascii() else run.decode("latin-1").encode(), start)
+            if h % DAMAGED == 0:
+                at = h % len(run)
+                run = run[:at] + run[at + 1 :]
+                if len(run) < SHORTEST:
+                    continue
+            out[run] = out.get(run, 0) + n
 
 
 def _counted(batches):
-    held: Counter = Counter()
-    size = 0
+    held: dict[bytes, int] = {}
 
     def flush():
         return pa.RecordBatch.from_arrays([pa.array([w.decode("latin-1") for w in held]), pa.array(held.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-            found = occurrences(doc_id, text)
-            held.update(found)
-            size += sum(map(len, found))
-            if len(held) >= HELD or size >= 32 << 20:
+            occurrences(doc_id, text, held)
+            if len(held) >= HELD or text and len(text) >= LONG:
                 yield flush()
-                held, size = Counter(), 0
+                held = {}
     if held:
         yield flush()
 
@@ -206,62 +208,75 @@ def differ_by_one(a: bytes, b: bytes) -> bool:
     return a[i + 1 :] == b[i + 1 :] if len(a) == len(b) else a[i:] == b[i + 1 :]
 
 
-def _padded(words: list[bytes]) -> np.ndarray:
-    return np.frombuffer(b"".join(w[:WIDE].ljust(WIDE + 1, b"\0") for w in words), np.uint8).reshape(-1, WIDE + 1)
+def _padded(words: list[bytes], width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(w[:width].ljust(width + 1, b"\0") for w in words), np.uint8).reshape(-1, width + 1)
 
 
-def _verified(a: list[bytes], b: list[bytes], pa_: np.ndarray, pb: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs (i of a, j of b) differ by one letter."""
-    la, lb = np.array([len(w) for w in a])[i], np.array([len(w) for w in b])[j]
-    same = pa_[i] == pb[j]
-    ok = np.zeros(len(i), bool)
-    k = np.arange(WIDE + 1)
-    equal = la == lb
-    ok[equal] = (~same[equal]).sum(1) == 1
-    more = np.flatnonzero(lb == la + 1)
+def _verified(a: list[bytes], b: list[bytes], wide_a: np.ndarray, wide_b: np.ndarray, i: np.ndarray, j: np.ndarray, gap: np.ndarray, long: np.ndarray) -> np.ndarray:
+    """Which pairs (i of a, j of b, which has `gap` letters more, 0 or 1) differ by one letter."""
+    x, y = wide_a[i], wide_b[j]
+    same = x == y
+    ok = np.count_nonzero(same, axis=1) == same.shape[1] - 1
+    more = np.flatnonzero(gap)
     first = np.argmin(same[more], axis=1)
-    shifted = pa_[i[more], :-1] == pb[j[more], 1:]
-    ok[more] = (shifted | (k[:-1] < first[:, None])).all(1)
-    for x in np.flatnonzero((lb > WIDE) & (lb - la <= 1) & (lb >= la)):
-        ok[x] = differ_by_one(a[i[x]], b[j[x]])
+    ok[more] = ((x[more, :-1] == y[more, 1:]) | (np.arange(x.shape[1] - 1) < first[:, None])).all(1)
+    for k in np.flatnonzero(long):
+        ok[k] = differ_by_one(a[i[k]], b[j[k]])
     return ok
 
 
+def _spent(d: np.ndarray, level: int, more: np.ndarray, less: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which of the searches go on at a node with d letters more, and which have spent the letter more and the letter less."""
+    if level == 0:  # of all letters: as many or, which leaves none less, one more
+        return (d == 0) | (d == 1), more, less | (d == 1)
+    return (d == 0) | (d == 1) & ~more | (d == -1) & ~less, more | (d == 1), less | (d == -1)
+
+
 def found(searching: list[bytes], words: list[bytes]):
     """(i, j) arrays of the searching words' places and those of the words that differ by one letter, each pair from its shorter or smaller word."""
     counts, own = vectors(words), vectors(searching)
     order = np.lexsort(counts.T[::-1])
     words = [words[x] for x in order]
     counts = counts[order]
-    wide_s, wide_w = _padded(searching), _padded(words)
-    size_s, size_w = own.sum(1), counts.sum(1)
-    rank = np.unique(np.array(searching + words, dtype=object), return_inverse=True)[1]
+    size_s, size_w = own[:, 0], counts[:, 0]
+    width = int(min(WIDE, size_w.max()))
+    wide_s, wide_w = _padded(searching, width), _padded(words, width)
+    kind = f"S{width + 1}"
+    rank = np.unique(np.concatenate([wide_s.view(kind).ravel(), wide_w.view(kind).ravel()]), return_inverse=True)[1]
     rank_s, rank_w = rank[: len(searching)], rank[len(searching) :]
+    if max(own.max(), counts.max()) < 100:
+        counts, own = counts.astype(np.int8), own.astype(np.int8)
 
     def leaf(level, low, high, at, more, less):
-        for a in range(0, len(at), max(1, (1 << 18) // (high - low))):
-            some = slice(a, a + max(1, (1 << 18) // (high - low)))
-            i, j = np.repeat(at[some], high - low), np.tile(np.arange(low, high), len(at[some]))
-            gap = size_w[j] - size_s[i]
-            ok = (gap == 1) | (gap == 0) & (rank_w[j] > rank_s[i])
-            i, j, m, l_ = i[ok], j[ok], np.repeat(more[some], high - low)[ok], np.repeat(less[some], high - low)[ok]
+        step = max(1, (1 << 18) // (high - low))
+        for a in range(0, len(at), step):
+            some = at[a : a + step]
+            # of two equally long words the smaller one searches; cut ones are told apart when verified
+            ok = (size_w[low:high] > size_s[some, None]) | (rank_w[low:high] >= rank_s[some, None])
+            for k in range(level, N, 9):  # most differ in the next groups already
+                i, j = np.nonzero(ok)
+                ok[i, j] = np.count_nonzero(counts[j + low, k : k + 9] != own[some[i], k : k + 9], axis=1) <= 2
+            i, j = np.nonzero(ok)
             if level < N:
-                d = counts[j, level:] - own[i, level:]
-                ok = (np.maximum(d, 0).sum(1) + m <= 1) & (np.maximum(-d, 0).sum(1) + l_ <= 1)
-                i, j = i[ok], j[ok]
+                d = counts[j + low, level:] - own[some[i], level:]
+                fits = (np.maximum(d, 0).sum(1) + more[a + i] <= 1) & (np.maximum(-d, 0).sum(1) + less[a + i] <= 1)
+                i, j = i[fits], j[fits]
+            i, j = some[i], j + low
+            gap = size_w[j] - size_s[i]
             for c in range(0, len(i), 1 << 16):
-                ok = _verified(searching, words, wide_s, wide_w, i[c : c + (1 << 16)], j[c : c + (1 << 16)])
-                yield i[c : c + (1 << 16)][ok], order[j[c : c + (1 << 16)][ok]]
+                cut = slice(c, c + (1 << 16))
+                ok = _verified(searching, words, wide_s, wide_w, i[cut], j[cut], gap[cut], size_w[j[cut]] > width)
+                x, y = i[cut][ok], j[cut][ok]
+                real = np.array([len(searching[p]) < len(words[q]) or searching[p] < words[q] for p, q in zip(x, y)], bool)
+                yield x[real], order[y[real]]
 
     def walk(level, low, high, at, more, less):
         while level < N and high - low > FEW:
             column = counts[low:high, level]
             if column[0] != column[-1]:
                 break
-            d = column[0] - own[at, level]
-            ok = (d == 0) | (d == 1) & ~more | (d == -1) & ~less
-            at, more, less, d = at[ok], more[ok], less[ok], d[ok]
-            more, less, level = more | (d == 1), less | (d == -1), level + 1
+            ok, more, less = _spent(column[0] - own[at, level], level, more, less)
+            at, more, less, level = at[ok], more[ok], less[ok], level + 1
         if not len(at):
             return
         if level == N or high - low <= FEW:
@@ -269,10 +284,9 @@ def found(searching: list[bytes], words: list[bytes]):
             return
         values, first = np.unique(column, return_index=True)
         for value, a, b in zip(values, first, np.append(first[1:], high - low)):
-            d = value - own[at, level]
-            ok = (d == 0) | (d == 1) & ~more | (d == -1) & ~less
+            ok, m, l_ = _spent(value - own[at, level], level, more, less)
             if ok.any():
-                yield from walk(level + 1, low + a, low + b, at[ok], (more | (d == 1))[ok], (less | (d == -1))[ok])
+                yield from walk(level + 1, low + a, low + b, at[ok], m[ok], l_[ok])
 
     none = np.zeros(len(searching), bool)
     yield from walk(0, 0, len(words), np.arange(len(searching)), none, none)
