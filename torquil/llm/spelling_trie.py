@@ -154,10 +154,14 @@ def reached(top: list, counts: np.ndarray):
         for low, high, child in node:
             have = counts[at, level]
             gain, loss = low > have, high < have
-            ok = ~((low > have + 1) | (high < have - 1) | (gain & more) | (loss & less))
+            inside = own & ~gain & ~loss
+            if level == 0:  # of all letters: as many or, which leaves none less, one more
+                ok, gain, loss = ~((low > have + 1) | loss), loss, gain
+            else:
+                ok = ~((low > have + 1) | (high < have - 1) | (gain & more) | (loss & less))
             if not ok.any():
                 continue
-            inside = (own & ~gain & ~loss)[ok]
+            inside = inside[ok]
             if isinstance(child, list):
                 yield from walk(child, level + 1, at[ok], (more | gain)[ok], (less | loss)[ok], inside)
             else:
@@ -271,7 +275,7 @@ def found(searching: list[bytes], words: list[bytes]):
                 yield x[real], order[y[real]]
 
     def walk(level, low, high, at, more, less):
-        while level < N and high - low > FEW:
+        while level == 0 or level < N and high - low > FEW:
             column = counts[low:high, level]
             if column[0] != column[-1]:
                 break
@@ -279,7 +283,7 @@ def found(searching: list[bytes], words: list[bytes]):
             at, more, less, level = at[ok], more[ok], less[ok], level + 1
         if not len(at):
             return
-        if level == N or high - low <= FEW:
+        if level == N or level > 0 and high - low <= FEW:
             yield from leaf(level, low, high, at, more, less)
             return
         values, first = np.unique(column, return_index=True)
