@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: Latin letters with accents and what they fold to.
 ACCENTED, FOLDED = "áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ", "aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN"
@@ -26,6 +26,15 @@ def exceeded(gap: Column, limit: float | None) -> Column:
     return F.lit(False) if limit is None else F.coalesce(gap > limit, F.lit(False))
 
 
+def joined_on(left: DataFrame, right: DataFrame, keys: tuple[str, ...], how: str = "inner") -> DataFrame:
+    """left and right's other columns where the keys are the same, null as null."""
+    if not keys:
+        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+    names = {k: f"__{i}_{k}" for i, k in enumerate(keys)}
+    renamed = right.withColumnsRenamed(names)
+    return left.join(renamed, all_of([F.col(f"`{k}`").eqNullSafe(F.col(f"`{n}`")) for k, n in names.items()]), how).drop(*names.values())
+
+
 def cleaned(c: str) -> Column:
     """NaN as null, so that aggregates skip it."""
     return F.when(~F.isnan(c), F.col(c))

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from torquil.operators.quantiles import with_quantiles
+from torquil.operators.timeline import Timeline
+
 STATISTICS = ("median", "std", "slope", "range", "spread")
 
 
@@ -50,7 +53,8 @@ def summarised(windows: DataFrame, keys: tuple[str, ...], columns: tuple[str, ..
 
 def event_coverage(sizes: DataFrame, size: int, family: str = "family") -> DataFrame:
     """sizes (family, event, n): events of each family, those a window fits in, the share lost, and the median size."""
-    return sizes.groupBy(family).agg(F.count("*").alias("events"), F.count_if(F.col("n") >= size).alias("used"), (100 * F.count_if(F.col("n") < size) / F.count("*")).alias("lost_pct"), F.percentile("n", F.lit(0.5)).alias("median_n"))
+    out = sizes.groupBy(family).agg(F.count("*").alias("events"), F.count_if(F.col("n") >= size).alias("used"), (100 * F.count_if(F.col("n") < size) / F.count("*")).alias("lost_pct"))
+    return with_quantiles(out, sizes, (family,), {"median_n": 0.5}, "n")
 
 
 def _hashed(seed: int, *columns: str) -> Column:
@@ -66,8 +70,8 @@ def event_folds(samples: DataFrame, label: str, event: str, folds: int, seed: in
 
 def random_folds(samples: DataFrame, label: str, keys: tuple[str, ...], folds: int, seed: int = 0) -> DataFrame:
     """samples with fold: single samples are dealt in turn by hash within their class."""
-    w = Window.partitionBy(label).orderBy(_hashed(seed, *keys))
-    return samples.withColumn("fold", (F.row_number().over(w) - 1) % folds)
+    dealt = Timeline.within((label,), "__hash").row_number(samples.withColumn("__hash", _hashed(seed, *keys)), "__at")
+    return dealt.withColumn("fold", ((F.col("__at") - 1) % folds).cast("int")).drop("__hash", "__at")
 
 
 def leaks(samples: DataFrame, event: str) -> DataFrame:

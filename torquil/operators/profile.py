@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from torquil import functions as X
 from torquil.config import DEFAULTS
+from torquil.operators.quantiles import quantiles, with_quantiles
 from torquil.operators.timeline import Timeline
+from torquil.sources import shared as T
 
 
 def long(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
@@ -48,15 +50,21 @@ def time_span(df: DataFrame, position: str, time: str = DEFAULTS.time) -> DataFr
 def sampling_rate(df: DataFrame, time: str = DEFAULTS.time, tie: str = DEFAULTS.tie, cadence_s: float = DEFAULTS.cadence_s, slack_s: float = DEFAULTS.cadence_slack_s, cut_s: float = DEFAULTS.session_gap_s) -> DataFrame:
     """Median, 5th and 95th percentile gap, share on the cadence, cuts, sessions and the largest gap, in time order."""
     gaps = Timeline.by_time(time, tie).previous(df.select(time, tie), __pt=time).select(X.seconds("__pt", time).alias("g"))
-    p = F.percentile("g", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95)))
-    out = gaps.agg(p.alias("p"), F.count("g").alias("n"), F.count_if(F.abs(F.col("g") - cadence_s) <= slack_s).alias("on"), F.count_if(F.col("g") > cut_s).alias("cuts"), F.max("g").alias("largest_s"))
-    return out.select(F.col("p")[0].alias("median_s"), F.col("p")[1].alias("p05_s"), F.col("p")[2].alias("p95_s"), (100 * F.try_divide("on", "n")).alias("on_cadence_pct"), "cuts", (F.col("cuts") + 1).alias("sessions"), "largest_s")
+    gaps = T.written(gaps.where("g is not null").groupBy("g").agg(F.count("*").alias("k")), "gaps")
+    count = lambda ok: F.coalesce(F.sum(F.when(ok, F.col("k"))), F.lit(0))
+    out = gaps.agg(F.sum("k").alias("n"), count(F.abs(F.col("g") - cadence_s) <= slack_s).alias("on"), count(F.col("g") > cut_s).alias("cuts"), F.max("g").alias("largest_s"))
+    out = out.crossJoin(quantiles(gaps, (), {"median_s": 0.5, "p05_s": 0.05, "p95_s": 0.95}, "g", "k", whole=True))
+    return out.select("median_s", "p05_s", "p95_s", (100 * F.try_divide("on", "n")).alias("on_cadence_pct"), "cuts", (F.col("cuts") + 1).alias("sessions"), "largest_s")
+
 
 
 def file_jumps(df: DataFrame, position: str, time: str = DEFAULTS.time) -> DataFrame:
     """Steps back in file order: count, share, worst, and the median step forward."""
     steps = Timeline.by_position(position).previous(df.select(position, time), __pt=time).select(X.seconds("__pt", time).alias("d"))
-    return steps.agg(F.count_if(F.col("d") < 0).alias("backward"), (100 * F.try_divide(F.count_if(F.col("d") < 0), F.count("d"))).alias("backward_pct"), F.min(F.when(F.col("d") < 0, F.col("d"))).alias("worst_s"), F.percentile(F.when(F.col("d") >= 0, F.col("d")), F.lit(0.5)).alias("median_forward_s"))
+    steps = T.written(steps.where("d is not null").groupBy("d").agg(F.count("*").alias("k")), "steps")
+    back = F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("k"))), F.lit(0))
+    out = steps.agg(back.alias("backward"), (100 * F.try_divide(back, F.sum("k"))).alias("backward_pct"), F.min(F.when(F.col("d") < 0, F.col("d"))).alias("worst_s"))
+    return out.crossJoin(quantiles(steps.where("d >= 0"), (), {"median_forward_s": 0.5}, "d", "k", whole=True))
 
 
 def dominant_values(df: DataFrame, columns: tuple[str, ...]) -> DataFrame:
@@ -89,11 +97,10 @@ def repeated_times(df: DataFrame, time: str, label: str, id: str, measures: tupl
 
 def tukey_outliers(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = (), mild: float = DEFAULTS.tukey, extreme: float = DEFAULTS.tukey_extreme) -> DataFrame:
     """(keys, column, n, low, high, moderate, extreme): values beyond the fences of their column, in all or in each key. Value counts come first, so quartiles take no row twice."""
-    counts = long(df, columns, keys).where("value is not null").groupBy(*keys, "column", "value").agg(F.count("*").alias("k"))
+    counts = T.written(long(df, columns, keys).where("value is not null").groupBy(*keys, "column", "value").agg(F.count("*").alias("k")), "value-counts")
     by = [*keys, "column"]
-    q = counts.groupBy(*by).agg(F.percentile("value", F.lit(0.25), F.col("k")).alias("q1"), F.percentile("value", F.lit(0.75), F.col("k")).alias("q3"))
-    q = q.withColumn("i", F.col("q3") - F.col("q1"))
-    out = counts.join(F.broadcast(q) if not keys else q, by)
+    q = quantiles(counts, tuple(by), {"q1": 0.25, "q3": 0.75}, "value", "k").withColumn("i", F.col("q3") - F.col("q1"))
+    out = counts.join(T.if_small(q), by)
     far = lambda f: (F.col("value") < F.col("q1") - f * F.col("i")) | (F.col("value") > F.col("q3") + f * F.col("i"))
     return out.groupBy(*by).agg(F.sum("k").alias("n"), F.first(F.col("q1") - mild * F.col("i")).alias("low"), F.first(F.col("q3") + mild * F.col("i")).alias("high"), F.sum(F.when(far(mild), F.col("k")).otherwise(0)).alias("moderate"), F.sum(F.when(far(extreme), F.col("k")).otherwise(0)).alias("extreme"))
 
@@ -109,27 +116,31 @@ def droppable(df: DataFrame, columns: tuple[str, ...], pairs: list[tuple[str, st
 
 def signatures(df: DataFrame, columns: tuple[str, ...], label: str = DEFAULTS.label, least: int = 1) -> DataFrame:
     """Medians of each label with `least` rows or more."""
-    return df.groupBy(label).agg(F.count("*").alias("n"), *[F.percentile(c, F.lit(0.5)).alias(c) for c in columns]).where(F.col("n") >= least)
+    enough = df.groupBy(label).agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    medians = quantiles(long(df, columns, (label,)), (label, "column"), {"median": 0.5})
+    wide = medians.groupBy(label).agg(*[F.max(F.when(F.col("column") == c, F.col("median"))).alias(c) for c in columns])
+    return X.joined_on(enough, wide, (label,), "left").select(label, "n", *columns)
 
 
 def described(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...] = ()) -> DataFrame:
     """(keys, column, n, median, q1, q3, mean, std, cv, min, max); std is of a sample."""
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.25), F.lit(0.75)))
-    out = long(df, columns, keys).groupBy(*keys, "column").agg(F.count("value").alias("n"), p.alias("p"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return out.select(*keys, "column", "n", F.col("p")[0].alias("median"), F.col("p")[1].alias("q1"), F.col("p")[2].alias("q3"), "mean", "std", F.try_divide("std", F.abs("mean")).alias("cv"), "min", "max")
+    values = long(df, columns, keys)
+    out = values.groupBy(*keys, "column").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    out = with_quantiles(out, values, (*keys, "column"), {"median": 0.5, "q1": 0.25, "q3": 0.75})
+    return out.select(*keys, "column", "n", "median", "q1", "q3", "mean", "std", F.try_divide("std", F.abs("mean")).alias("cv"), "min", "max")
 
 
 def against_global(df: DataFrame, columns: tuple[str, ...], label: str = DEFAULTS.label) -> DataFrame:
     """(label, column, median, global_median, deviation_pct)."""
-    own = long(df, columns, (label,)).groupBy(label, "column").agg(F.percentile("value", F.lit(0.5)).alias("median"))
-    whole = long(df, columns).groupBy("column").agg(F.percentile("value", F.lit(0.5)).alias("global_median"))
-    return own.join(F.broadcast(whole), "column").select(label, "column", "median", "global_median", (100 * F.try_divide(F.col("median") - F.col("global_median"), F.abs("global_median"))).alias("deviation_pct"))
+    own = with_quantiles(long(df, columns, (label,)).select(label, "column").distinct(), long(df, columns, (label,)), (label, "column"), {"median": 0.5})
+    whole = quantiles(long(df, columns), ("column",), {"global_median": 0.5}).select("column", "global_median")
+    return own.join(F.broadcast(whole), "column", "left").select(label, "column", "median", "global_median", (100 * F.try_divide(F.col("median") - F.col("global_median"), F.abs("global_median"))).alias("deviation_pct"))  # a row for each column
 
 
 def downsampled(df: DataFrame, columns: tuple[str, ...], keys: tuple[str, ...], time: str, tie: str, factor: int) -> DataFrame:
     """(keys, block, column, time, median, low, high): runs of `factor` rows of each key, long."""
-    at = F.floor((F.row_number().over(Window.partitionBy(*keys).orderBy(time, tie)) - 1) / factor)
-    cut = df.withColumn("block", at).select(*keys, "block", F.col(time).alias("time"), *[F.col(c).cast("double").alias(c) for c in columns])
+    placed = Timeline.within(keys, time, tie).row_number(df, "__at").withColumn("block", F.floor((F.col("__at") - 1) / factor))
+    cut = placed.select(*keys, "block", F.col(time).alias("time"), *[F.col(c).cast("double").alias(c) for c in columns])
     return cut.unpivot([*keys, "block", "time"], list(columns), "column", "value").groupBy(*keys, "block", "column").agg(F.min("time").alias("time"), F.percentile("value", F.lit(0.5)).alias("median"), F.min("value").alias("low"), F.max("value").alias("high"))
 
 
@@ -157,7 +168,7 @@ def event_profiles(df: DataFrame, columns: tuple[str, ...], group: str, time: st
 
 def file_blocks(df: DataFrame, position: str, label: str = DEFAULTS.label) -> DataFrame:
     """(block, label, first, last, n, next_first, centre): runs in file order, cut where the label changes or the position jumps."""
-    line = Timeline.by_position(position)
+    line = Timeline.by_position(position).over(df)
     out = line.previous(df.select(position, label), __pl=label, __pp=position)
     opens = F.col("__first") | X.changed(F.col(label), F.col("__pl")) | (F.col(position) - F.col("__pp") > 1)
     out = line.running_sum(out, opens, "block")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from torquil import functions as X
 from torquil.config import DEFAULTS
+from torquil.operators.quantiles import quantiles, with_quantiles
 from torquil.operators.timeline import Timeline
+from torquil.sources import shared as T
 
 
 def numbered(df: DataFrame, line: Timeline, breaks: tuple[str, ...], time: str, gap_s: float | None = None, name: str = "event", start: int = 1) -> DataFrame:
     """df with the number of its group: a group opens where a break column changes (null always does) or after a gap beyond gap_s. Also gap_s: seconds since the row before, null in the first row."""
+    line = line.over(df)
     out = line.previous(df, **{f"__p{i}": c for i, c in enumerate(breaks)}, __pt=time)
     out = out.withColumn("gap_s", X.seconds("__pt", time))
     opens = F.col("__first")
@@ -28,13 +31,12 @@ def events(df: DataFrame, breaks: tuple[str, ...] = DEFAULTS.breaks, time: str =
 
 def events_split_first(df: DataFrame, breaks: tuple[str, ...] = DEFAULTS.breaks, time: str = DEFAULTS.time, tie: str = DEFAULTS.tie, gap_s: float | None = None) -> DataFrame:
     """Split first: rows of each combination of break columns in time order, cut at gaps only. Numbers follow the combinations' order; a row with a null break is an event of its own kind like any other."""
-    inner = numbered(df, Timeline.within(breaks, time, tie), (), time, gap_s, "__k")
-    keys = inner.groupBy(*breaks).agg(F.max("__k").alias("__last"))
-    offsets = keys.withColumn("__o", F.coalesce(F.sum("__last").over(Window.orderBy(*[F.asc_nulls_last(b) for b in breaks]).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__last")
-    offsets = offsets.select("__o", *[F.col(b).alias(f"__b{i}") for i, b in enumerate(breaks)])  # a row for each combination
-    same = X.all_of([F.col(b).eqNullSafe(F.col(f"__b{i}")) for i, b in enumerate(breaks)])
-    out = inner.join(F.broadcast(offsets), same).withColumn("event", F.col("__k") + F.col("__o"))
-    return out.drop("__k", "__o", *[f"__b{i}" for i in range(len(breaks))])
+    kinds = tuple(x for b in breaks for x in (f"`{b}` IS NULL", f"`{b}`"))  # null combinations come last
+    line = Timeline.within(kinds, time, tie).over(df)
+    out = line.previous(df, __pt=time)
+    out = out.withColumn("gap_s", X.seconds("__pt", time))
+    out = out.withColumn("opens", F.col("__first") | X.exceeded(F.col("gap_s"), gap_s))
+    return Timeline((*kinds, time, tie), splitters=line.splitters).running_sum(out, F.col("opens"), "event").drop("__pt", "__first")
 
 
 def summary(df: DataFrame, group: str = "event", time: str = DEFAULTS.time, tie: str = DEFAULTS.tie, firsts: tuple[str, ...] = DEFAULTS.breaks) -> DataFrame:
@@ -62,6 +64,12 @@ def same_label_gaps(df: DataFrame, label: str = DEFAULTS.label, time: str = DEFA
     return out.select(*df.columns, X.seconds("__pt", time).alias("gap_s"), F.coalesce(F.col(label) == F.col("__pl"), F.lit(False)).alias("same"), F.col("__first").alias("first"))
 
 
+def gap_stats(gaps: DataFrame, pause_s: float, gap: str = "gap_s") -> DataFrame:
+    """(gaps, median_s, largest_s, mean_s, paused_s): paused_s sums the gaps beyond pause_s."""
+    out = gaps.agg(F.count("*").alias("gaps"), F.max(gap).alias("largest_s"), F.avg(gap).alias("mean_s"), F.sum(F.when(F.col(gap) > pause_s, F.col(gap))).alias("paused_s"))
+    return out.crossJoin(quantiles(gaps, (), {"median_s": 0.5}, gap, whole=True))
+
+
 def episode_counts(gaps: DataFrame, cuts: list[float]) -> DataFrame:
     """(cut_s, episodes) for every cut at once: a group opens at another label or beyond the cut."""
     counts = gaps.agg(*[F.count_if(~F.col("same") | X.exceeded(F.col("gap_s"), c)).alias(f"c{i}") for i, c in enumerate(cuts)])
@@ -86,21 +94,20 @@ def cut_effects(inside: DataFrame, cuts: list[float], group: str = "event") -> D
 
 
 def automatic_cuts(gaps: DataFrame, gap: str = "gap_s") -> DataFrame:
-    """(rule, cut_s): Tukey's fences, median and scaled deviation, the 99.8th percentile, and the largest relative jump."""
-    g = gaps.where(F.col(gap) > 0).select(F.col(gap).alias("g"))
-    q = g.agg(F.percentile("g", F.lit(0.25)).alias("q1"), F.percentile("g", F.lit(0.75)).alias("q3"), F.percentile("g", F.lit(0.5)).alias("m"), F.percentile("g", F.lit(0.998)).alias("p"))
-    mad = g.crossJoin(F.broadcast(q.select("m"))).agg(F.percentile(F.abs(F.col("g") - F.col("m")), F.lit(0.5)).alias("mad"))
-    jump = largest_jumps(g, "g", 1).select(F.col("low_s").alias("cut_s"))
-    one = q.crossJoin(mad)
+    """(rule, cut_s): Tukey's fences, median and scaled deviation, the 99.8th percentile, and the largest relative jump. The gaps are stored once, as values with counts."""
+    g = T.written(gaps.where(F.col(gap) > 0).groupBy(F.col(gap).alias("g")).agg(F.count("*").alias("k")), "gaps")
+    q = quantiles(g, (), {"q1": 0.25, "q3": 0.75, "m": 0.5, "p": 0.998}, "g", "k")
+    away = g.crossJoin(F.broadcast(q.select("m"))).select(F.abs(F.col("g") - F.col("m")).alias("d"), "k")  # one row
+    one = q.crossJoin(quantiles(away, (), {"mad": 0.5}, "d", "k").select("mad"))
     rules = [("tukey", "q3 + 1.5D * (q3 - q1)"), ("tukey_extreme", "q3 + 3D * (q3 - q1)"), ("deviation", "m + 10D * mad / 0.6745D"), ("percentile", "p")]
     out = one.select(F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), F.expr(e).cast("double").alias("cut_s")) for r, e in rules])).alias("x")).select("x.*")
-    return out.unionByName(jump.withColumn("rule", F.lit("jump")))
+    return out.unionByName(largest_jumps(g, "g", 1).select(F.lit("jump").alias("rule"), F.col("low_s").alias("cut_s")))
 
 
 def largest_jumps(gaps: DataFrame, gap: str, k: int = 5) -> DataFrame:
     """(low_s, high_s, ratio) of the k largest ratios between neighbours among the distinct positive gaps."""
     distinct = gaps.where(F.col(gap) > 0).select(F.col(gap).alias("low_s")).distinct()
-    line = Timeline(("__neg",), "floor(log2(low_s)) * -1")
+    line = Timeline(("__neg",))
     pairs = line.previous(distinct.withColumn("__neg", -F.col("low_s")), high_s="low_s").where("high_s is not null")
     return pairs.select("low_s", "high_s", (F.col("high_s") / F.col("low_s")).alias("ratio")).orderBy(F.desc("ratio"), "low_s").limit(k)
 
@@ -133,7 +140,7 @@ def invariants(df: DataFrame, group: str = "event", label: str = DEFAULTS.label,
 
 def disorder(df: DataFrame, position: str, time: str = DEFAULTS.time, tie: str = DEFAULTS.tie) -> DataFrame:
     """(rows, backward, worst_s, misplaced, groups_unsorted): how far the file order is from the time order."""
-    filed = Timeline.by_position(position)
+    filed = Timeline.by_position(position).over(df)
     rows = filed.row_number(filed.previous(df, __pt=time).withColumn("delta", X.seconds("__pt", time)).drop("__first"), "__at")
     placed = Timeline.by_time(time, tie).row_number(rows, "__rank")
     return placed.agg(F.count("*").alias("rows"), F.count_if(F.col("delta") < 0).alias("backward"), F.least(F.min("delta"), F.lit(0.0)).alias("worst_s"), F.count_if(F.col("__at") != F.col("__rank")).alias("misplaced"))
@@ -147,4 +154,5 @@ def worst_backward(df: DataFrame, position: str, time: str = DEFAULTS.time, k: i
 
 def per_label(event_table: DataFrame, label: str = DEFAULTS.label) -> DataFrame:
     """Events and readings of each label, with median minutes, total hours, first start, last end and readings an event."""
-    return event_table.groupBy(label).agg(F.count("*").alias("events"), F.sum("n").alias("readings"), F.percentile("duration_min", F.lit(0.5)).alias("median_min"), (F.sum("duration_s") / 3600).alias("hours"), F.min("start").alias("first"), F.max("end").alias("last"), (F.sum("n") / F.count("*")).alias("readings_per_event"))
+    out = event_table.groupBy(label).agg(F.count("*").alias("events"), F.sum("n").alias("readings"), (F.sum("duration_s") / 3600).alias("hours"), F.min("start").alias("first"), F.max("end").alias("last"), (F.sum("n") / F.count("*")).alias("readings_per_event"))
+    return with_quantiles(out, event_table, (label,), {"median_min": 0.5}, "duration_min")

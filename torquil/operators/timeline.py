@@ -1,66 +1,102 @@
 """Ordered scans: the row before, running sums and row numbers along one order, without one task seeing all rows.
 
-With an entity, each entity is a window partition. Without one, rows are dealt into buckets of the order (a day, a
-range of positions); windows run inside buckets, and a table with one row for each bucket carries values across.
+Rows are dealt into buckets of the order, as many as there are shuffle partitions (MOST at most), between splitters
+taken from a sample, so a bucket has about the same number of rows wherever they crowd: one day, one entity or one time
+may hold nearly all of them. Windows run inside buckets, and a table with one row for each bucket carries the last row and the
+sum of an entity that goes on across buckets.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+#: Buckets at most, which bounds the splitters and the carried rows, and sampled rows for each.
+MOST, SAMPLED = 4096, 40
+
 
 @dataclass(frozen=True)
 class Timeline:
-    """Order of rows; ties must be broken by the last columns. bucket must not decrease along the order."""
+    """Order of rows, in all or of each entity; ties must be broken by the last columns. Order and entity are columns or SQL expressions; nulls come first."""
 
     order: tuple[str, ...]
-    bucket: str | None = None
     entity: tuple[str, ...] = ()
+    buckets: int | None = None
+    splitters: tuple[tuple, ...] | None = None
 
     @classmethod
     def by_time(cls, time: str, *ties: str) -> Timeline:
-        return cls((time, *ties), f"date_trunc('DAY', `{time}`)")
+        return cls((time, *ties))
 
     @classmethod
-    def by_position(cls, position: str, width: int = 10_000) -> Timeline:
-        return cls((position,), f"floor(`{position}` / {width})")
+    def by_position(cls, position: str, buckets: int | None = None) -> Timeline:
+        return cls((position,), (), buckets)
 
     @classmethod
     def within(cls, entity: tuple[str, ...], *order: str) -> Timeline:
-        return cls(order, None, entity)
+        return cls(order, entity)
 
-    def _window(self) -> WindowSpec:
-        return Window.partitionBy(*(self.entity if self.bucket is None else ["__bucket"])).orderBy(*self.order)
+    def _key(self) -> Column:
+        return F.struct(*[F.expr(c).alias(f"k{i}") for i, c in enumerate((*self.entity, *self.order))])
+
+    def over(self, df: DataFrame) -> Timeline:
+        """This order with splitters for the rows of df: equal shares of a sample of SAMPLED rows a bucket."""
+        if self.splitters is not None:
+            return self
+        n = min(MOST, self.buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        rows = df.select(self._key().alias("k")).orderBy(F.rand(0)).limit(n * SAMPLED).groupBy().agg(F.sort_array(F.collect_list("k")).alias("k"))
+        places = [F.element_at("k", F.greatest(F.lit(1), F.ceil(F.size("k") * i / n).cast("int"))) for i in range(1, n)]
+        found = rows.where(F.size("k") > 0).select(F.array_distinct(F.array(*places)).alias("s")).first() if n > 1 else None
+        return replace(self, splitters=tuple(tuple(r) for r in found.s) if found else ())
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
-        return df if self.bucket is None else df.withColumn("__bucket", F.expr(self.bucket))
+        """df with __bucket, the number of splitters not beyond the row: a binary search in a fixed array."""
+        if not self.splitters:
+            return df.withColumn("__bucket", F.lit(0))
+        kinds = df.select(self._key().alias("k")).schema["k"].dataType
+        typed = F.array(*[F.struct(*[F.lit(x).cast(f.dataType).alias(f.name) for x, f in zip(s, kinds.fields)]) for s in self.splitters])
+        steps = [1 << i for i in reversed(range(len(self.splitters).bit_length()))]
+        n = len(self.splitters)
+        at = lambda low, step: F.when((low + step <= n) & (F.get("__splitters", low + step - 1) <= F.col("__key")), low + step).otherwise(low)
+        found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), at)
+        return df.withColumns({"__key": self._key(), "__splitters": typed}).withColumn("__bucket", found).drop("__key", "__splitters")
+
+    def _window(self) -> WindowSpec:
+        return Window.partitionBy("__bucket").orderBy(*[F.expr(c) for c in (*self.entity, *self.order)])
+
+    def _owner(self) -> Column:
+        """The row's entity; of one type whether there is any or not."""
+        return F.struct(F.lit(0).alias("e"), *[F.expr(c).alias(f"e{i}") for i, c in enumerate(self.entity)])
 
     def previous(self, df: DataFrame, **columns: str) -> DataFrame:
-        """df with new columns: name=column gives the value in the row before; __first says that there is none."""
-        df = self._bucketed(df)
-        w = self._window()
-        if self.bucket is None:
-            return df.withColumns({**{n: F.lag(c).over(w) for n, c in columns.items()}, "__first": F.row_number().over(w) == 1})
-        last = df.groupBy("__bucket").agg(F.max_by(F.struct(*[F.col(c).alias(n) for n, c in columns.items()]), F.struct(*self.order)).alias("__last"))
-        carried = last.select("__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__carried"), F.lag("__bucket").over(Window.orderBy("__bucket")).isNull().alias("__start"))
-        df = df.withColumn("__n", F.row_number().over(w)).withColumns({n: F.lag(c).over(w) for n, c in columns.items()})
-        df = df.join(carried, "__bucket")  # a row for each bucket; Spark broadcasts it by its size
-        head = F.col("__n") == 1
-        return df.withColumns({**{n: F.when(head, F.col(f"__carried.{n}")).otherwise(F.col(n)) for n in columns}, "__first": head & F.col("__start")}).drop("__n", "__carried", "__start", "__bucket")
+        """df with new columns: name=column gives the value in the row before of the same entity; __first says that there is none."""
+        line = self.over(df)
+        df = line._bucketed(df)
+        whole = F.struct(*[F.col(c).alias(n) for n, c in columns.items()], line._owner().alias("__owner"))
+        last = df.groupBy("__bucket").agg(F.max_by(whole, line._key()).alias("__last"))
+        along = Window.orderBy("__bucket")  # MOST rows at most
+        carried = F.broadcast(last.select("__bucket", F.lag("__last").over(along).alias("__carried")))
+        df = df.withColumn("__before", F.lag(whole).over(line._window())).join(carried, "__bucket")
+        df = df.withColumn("__before", F.coalesce("__before", "__carried"))
+        same = F.coalesce(F.col("__before.__owner").eqNullSafe(line._owner()) & F.col("__before").isNotNull(), F.lit(False))
+        return df.withColumn("__first", ~same).withColumns({n: F.when(~F.col("__first"), F.col(f"__before.{n}")) for n in columns}).drop("__before", "__carried", "__bucket")
 
     def running_sum(self, df: DataFrame, value: Column, name: str) -> DataFrame:
-        df = self._bucketed(df).withColumn("__v", value.cast("long"))
-        w = self._window().rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn(name, F.sum("__v").over(w))
-        if self.bucket is not None:
-            totals = df.groupBy("__bucket").agg(F.sum("__v").alias("__t"))
-            before = Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-            offsets = totals.select("__bucket", F.coalesce(F.sum("__t").over(before), F.lit(0)).alias("__o"))
-            df = df.join(offsets, "__bucket").withColumn(name, F.col(name) + F.col("__o")).drop("__o", "__bucket")
-        return df.drop("__v")
+        """df with the sum of value over the entity's rows up to this one."""
+        line = self.over(df)
+        df = line._bucketed(df).withColumns({"__v": value.cast("long"), "__owner": line._owner()})
+        sums = df.groupBy("__bucket", "__owner").agg(F.sum("__v").alias("t"))
+        # only a bucket's first and last entity can reach over its ends
+        ends = sums.groupBy("__bucket").agg(F.array_distinct(F.array(F.min_by(F.struct("__owner", "t"), "__owner"), F.max_by(F.struct("__owner", "t"), "__owner"))).alias("e"), F.min("__owner").alias("first"))
+        ends = ends.select("__bucket", "first", F.explode("e").alias("e")).select("__bucket", "first", "e.*")
+        before = Window.partitionBy("__owner").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # two rows a bucket at most
+        carried = ends.withColumn("__o", F.sum("t").over(before)).where(F.col("__owner") == F.col("first")).select("__bucket", F.col("first").alias("__head"), "__o")
+        inside = Window.partitionBy("__bucket", "__owner").orderBy(*[F.expr(c) for c in line.order]).rowsBetween(Window.unboundedPreceding, 0)
+        df = df.withColumn(name, F.sum("__v").over(inside)).join(F.broadcast(carried), "__bucket")
+        on = F.when(F.col("__owner") == F.col("__head"), F.coalesce("__o", F.lit(0))).otherwise(0)
+        return df.withColumn(name, F.col(name) + on).drop("__v", "__owner", "__head", "__o", "__bucket")
 
     def row_number(self, df: DataFrame, name: str) -> DataFrame:
-        """Numbers from 1 along the order."""
+        """Numbers from 1 along the order, in all or in each entity."""
         return self.running_sum(df, F.lit(1), name)

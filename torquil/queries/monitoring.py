@@ -92,7 +92,7 @@ GAPS = "g AS (SELECT *, date_diff('microsecond', lag(created_at) OVER w, created
 def same_label_gap_stats(spark, d):
     """D-09: statistics."""
     g = S.same_label_gaps(readings(spark, d)).where("same")
-    return g.agg(F.count("*").alias("gaps"), F.round(F.percentile("gap_s", F.lit(0.5)), 6).alias("median_s"), F.round(F.max("gap_s"), 6).alias("largest_s"), F.round(F.avg("gap_s"), 6).alias("mean_s"), F.round(F.sum(F.when(F.col("gap_s") > 600, F.col("gap_s"))), 6).alias("paused_s"))
+    return S.gap_stats(g, 600.0).select("gaps", *R6("median_s", "largest_s", "mean_s", "paused_s"))
 
 
 @query("WITH {r}, " + GAPS + " SELECT CAST(c AS DOUBLE) AS cut_s, count(*) FILTER (NOT same OR coalesce(gap_s > c, false)) AS episodes FROM g, (SELECT unnest([60.0,120.0,300.0,600.0,900.0,1200.0]) AS c) GROUP BY c")
