@@ -168,10 +168,8 @@ def event_profiles(df: DataFrame, columns: tuple[str, ...], group: str, time: st
 
 def file_blocks(df: DataFrame, position: str, label: str = DEFAULTS.label) -> DataFrame:
     """(block, label, first, last, n, next_first, centre): runs in file order, cut where the label changes or the position jumps."""
-    line = Timeline.by_position(position).over(df)
-    out = line.previous(df.select(position, label), __pl=label, __pp=position)
-    opens = F.col("__first") | X.changed(F.col(label), F.col("__pl")) | (F.col(position) - F.col("__pp") > 1)
-    out = line.running_sum(out, opens, "block")
+    opens = lambda rows: rows.withColumn("__opens", F.col("__first") | X.changed(F.col(label), F.col("__pl")) | (F.col(position) - F.col("__pp") > 1))
+    out = Timeline.by_position(position).scan(df.select(position, label), {"__pl": label, "__pp": position}, opens, "__opens", "block")
     bands = out.groupBy("block").agg(F.first(label).alias(label), F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n"))
     follow = Timeline.by_position("__neg").previous(bands.withColumn("__neg", -F.col("block")), next_first="first")
     return follow.select("block", label, "first", "last", "n", "next_first", ((F.col("first") + F.col("last")) / 2).alias("centre"))

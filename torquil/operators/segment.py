@@ -13,15 +13,15 @@ from torquil.sources import shared as T
 
 def numbered(df: DataFrame, line: Timeline, breaks: tuple[str, ...], time: str, gap_s: float | None = None, name: str = "event", start: int = 1) -> DataFrame:
     """df with the number of its group: a group opens where a break column changes (null always does) or after a gap beyond gap_s. Also gap_s: seconds since the row before, null in the first row."""
-    line = line.over(df)
-    out = line.previous(df, **{f"__p{i}": c for i, c in enumerate(breaks)}, __pt=time)
-    out = out.withColumn("gap_s", X.seconds("__pt", time))
-    opens = F.col("__first")
-    for i, c in enumerate(breaks):
-        opens = opens | X.changed(F.col(c), F.col(f"__p{i}"))
-    out = out.withColumn("opens", opens | X.exceeded(F.col("gap_s"), gap_s))
-    out = line.running_sum(out, F.col("opens"), name).withColumn(name, F.col(name) + F.lit(start - 1))
-    return out.drop("__pt", "__first", *[f"__p{i}" for i in range(len(breaks))])
+    def cut(rows: DataFrame) -> DataFrame:
+        opens = F.col("__first")
+        for i, c in enumerate(breaks):
+            opens = opens | X.changed(F.col(c), F.col(f"__p{i}"))
+        rows = rows.withColumn("gap_s", X.seconds("__pt", time))
+        return rows.withColumn("opens", opens | X.exceeded(F.col("gap_s"), gap_s))
+
+    out = line.scan(df, {f"__p{i}": c for i, c in enumerate(breaks)} | {"__pt": time}, cut, "opens", name)
+    return out.withColumn(name, F.col(name) + F.lit(start - 1)).drop("__pt", "__first", *[f"__p{i}" for i in range(len(breaks))])
 
 
 def events(df: DataFrame, breaks: tuple[str, ...] = DEFAULTS.breaks, time: str = DEFAULTS.time, tie: str = DEFAULTS.tie, gap_s: float | None = None) -> DataFrame:
@@ -32,11 +32,12 @@ def events(df: DataFrame, breaks: tuple[str, ...] = DEFAULTS.breaks, time: str =
 def events_split_first(df: DataFrame, breaks: tuple[str, ...] = DEFAULTS.breaks, time: str = DEFAULTS.time, tie: str = DEFAULTS.tie, gap_s: float | None = None) -> DataFrame:
     """Split first: rows of each combination of break columns in time order, cut at gaps only. Numbers follow the combinations' order; a row with a null break is an event of its own kind like any other."""
     kinds = tuple(x for b in breaks for x in (f"`{b}` IS NULL", f"`{b}`"))  # null combinations come last
-    line = Timeline.within(kinds, time, tie).over(df)
-    out = line.previous(df, __pt=time)
-    out = out.withColumn("gap_s", X.seconds("__pt", time))
-    out = out.withColumn("opens", F.col("__first") | X.exceeded(F.col("gap_s"), gap_s))
-    return Timeline((*kinds, time, tie), splitters=line.splitters).running_sum(out, F.col("opens"), "event").drop("__pt", "__first")
+
+    def cut(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("gap_s", X.seconds("__pt", time))
+        return rows.withColumn("opens", F.col("__first") | X.exceeded(F.col("gap_s"), gap_s))
+
+    return Timeline.within(kinds, time, tie).scan(df, {"__pt": time}, cut, "opens", "event", whole=True).drop("__pt", "__first")
 
 
 def summary(df: DataFrame, group: str = "event", time: str = DEFAULTS.time, tie: str = DEFAULTS.tie, firsts: tuple[str, ...] = DEFAULTS.breaks) -> DataFrame:
@@ -140,8 +141,8 @@ def invariants(df: DataFrame, group: str = "event", label: str = DEFAULTS.label,
 
 def disorder(df: DataFrame, position: str, time: str = DEFAULTS.time, tie: str = DEFAULTS.tie) -> DataFrame:
     """(rows, backward, worst_s, misplaced, groups_unsorted): how far the file order is from the time order."""
-    filed = Timeline.by_position(position).over(df)
-    rows = filed.row_number(filed.previous(df, __pt=time).withColumn("delta", X.seconds("__pt", time)).drop("__first"), "__at")
+    step = lambda rows: rows.withColumns({"delta": X.seconds("__pt", time), "__one": F.lit(1)})
+    rows = Timeline.by_position(position).scan(df.select(position, time, tie), {"__pt": time}, step, "__one", "__at")
     placed = Timeline.by_time(time, tie).row_number(rows, "__rank")
     return placed.agg(F.count("*").alias("rows"), F.count_if(F.col("delta") < 0).alias("backward"), F.least(F.min("delta"), F.lit(0.0)).alias("worst_s"), F.count_if(F.col("__at") != F.col("__rank")).alias("misplaced"))
 

@@ -8,10 +8,13 @@ sum of an entity that goes on across buckets.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from torquil.sources import shared as T
+
 #: Buckets at most, which bounds the splitters and the carried rows, and sampled rows for each.
 MOST, SAMPLED = 4096, 40
 
@@ -45,10 +48,10 @@ class Timeline:
         if self.splitters is not None:
             return self
         n = min(MOST, self.buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-        rows = df.select(self._key().alias("k")).orderBy(F.rand(0)).limit(n * SAMPLED).groupBy().agg(F.sort_array(F.collect_list("k")).alias("k"))
-        places = [F.element_at("k", F.greatest(F.lit(1), F.ceil(F.size("k") * i / n).cast("int"))) for i in range(1, n)]
-        found = rows.where(F.size("k") > 0).select(F.array_distinct(F.array(*places)).alias("s")).first() if n > 1 else None
-        return replace(self, splitters=tuple(tuple(r) for r in found.s) if found else ())
+        sample = df.select(self._key().alias("k")).orderBy(F.rand(0)).limit(n * SAMPLED).collect() if n > 1 else []
+        # as Spark orders them: null, numbers, NaN
+        keys = sorted((tuple(r.k) for r in sample), key=lambda k: [(x is not None, x != x, 0 if x is None or x != x else x) for x in k])
+        return replace(self, splitters=tuple(dict.fromkeys(keys[len(keys) * i // n] for i in range(1, n) if keys)))
 
     def _bucketed(self, df: DataFrame) -> DataFrame:
         """df with __bucket, the number of splitters not beyond the row: a binary search in a fixed array."""
@@ -73,14 +76,46 @@ class Timeline:
         """df with new columns: name=column gives the value in the row before of the same entity; __first says that there is none."""
         line = self.over(df)
         df = line._bucketed(df)
-        whole = F.struct(*[F.col(c).alias(n) for n, c in columns.items()], line._owner().alias("__owner"))
+        whole = line._whole(columns)
         last = df.groupBy("__bucket").agg(F.max_by(whole, line._key()).alias("__last"))
-        along = Window.orderBy("__bucket")  # MOST rows at most
-        carried = F.broadcast(last.select("__bucket", F.lag("__last").over(along).alias("__carried")))
-        df = df.withColumn("__before", F.lag(whole).over(line._window())).join(carried, "__bucket")
-        df = df.withColumn("__before", F.coalesce("__before", "__carried"))
-        same = F.coalesce(F.col("__before.__owner").eqNullSafe(line._owner()) & F.col("__before").isNotNull(), F.lit(False))
-        return df.withColumn("__first", ~same).withColumns({n: F.when(~F.col("__first"), F.col(f"__before.{n}")) for n in columns}).drop("__before", "__carried", "__bucket")
+        df = df.withColumn("__before", F.lag(whole).over(line._window())).join(F.broadcast(_lagged(last)), "__bucket", "left")
+        return line._told(df.withColumn("__before", F.coalesce("__before", "__carried")), columns).drop("__before", "__carried", "__bucket")
+
+    def _whole(self, columns: dict[str, str]) -> Column:
+        return F.struct(*[F.col(c).alias(n) for n, c in columns.items()], self._owner().alias("__owner"))
+
+    def _told(self, df: DataFrame, columns: dict[str, str]) -> DataFrame:
+        """df with the columns of previous() from __before, a row of any entity or null."""
+        same = F.coalesce(F.col("__before.__owner").eqNullSafe(self._owner()), F.lit(False))
+        return df.withColumn("__first", ~same).withColumns({n: F.when(~F.col("__first"), F.col(f"__before.{n}")) for n in columns})
+
+    def scan(self, df: DataFrame, columns: dict[str, str], more: Callable[[DataFrame], DataFrame], value: str, name: str, whole: bool = False) -> DataFrame:
+        """previous(), then more(df), which may use it, then the running sum of a column `value` that more() gives, for each entity or for the whole order.
+
+        Rows are shuffled and sorted once, into a table with sums inside buckets; the first and the last row of each bucket
+        then tell what to add. more() looks at a row alone.
+        """
+        line = self.over(df)
+        wide = line._bucketed(df).withColumns({"__before": F.lag(line._whole(columns)).over(line._window()), "__tail": F.lead(F.lit(1)).over(line._window()).isNull()})
+        wide = wide.withColumn("__head", F.col("__before").isNull())
+        first = more(line._told(wide, columns))
+        cut = [*([] if whole else [F.expr(c) for c in line.entity])]
+        inside = Window.partitionBy("__bucket", *cut).orderBy(*[F.expr(c) for c in (*(line.entity if whole else ()), *line.order)]).rowsBetween(Window.unboundedPreceding, 0)
+        # a bucket's first row counts once it is known what comes before it
+        table = T.written(first.withColumn("__run", F.sum(F.when(F.col("__head"), 0).otherwise(F.col(value).cast("long"))).over(inside)), "scan")
+        owner = F.struct(F.lit(0).alias("e")) if whole else line._owner()
+        tails = table.where("__tail").select("__bucket", line._whole(columns).alias("__last"), owner.alias("__of"), F.col("__run").alias("t"))
+        heads = table.where("__head").select(*df.columns, "__bucket").join(F.broadcast(_lagged(tails)), "__bucket", "left").withColumn("__before", F.col("__carried"))
+        heads = more(line._told(heads, columns)).select("__bucket", "__carried", owner.alias("__of"), F.col(value).cast("long").alias("__v"))
+        # of an entity that reaches over a bucket's end: what its last row has, and the first one's value if it began there too
+        ends = tails.join(F.broadcast(heads.select("__bucket", F.col("__of").alias("__o"), "__v")), "__bucket").select("__bucket", "__of", (F.col("t") + F.when(F.col("__o") == F.col("__of"), F.col("__v")).otherwise(0)).alias("t"), F.lit(None).cast("long").alias("__v"))
+        asked = heads.select("__bucket", "__of", F.lit(0).cast("long").alias("t"), "__v")
+        before = Window.partitionBy("__of").orderBy("__bucket").rangeBetween(Window.unboundedPreceding, -1)  # two rows a bucket
+        sums = ends.unionByName(asked).withColumn("__o", F.coalesce(F.sum("t").over(before), F.lit(0))).where("__v is not null").select("__bucket", F.col("__of").alias("__mine"), (F.col("__o") + F.col("__v")).alias("__o"))
+        carried = heads.select("__bucket", "__carried").join(F.broadcast(sums), "__bucket")
+        out = table.drop(*columns, "__first").join(F.broadcast(T.written(carried, "carried")), "__bucket", "left").withColumn("__before", F.coalesce("__before", "__carried"))
+        out = more(line._told(out, columns)).withColumn(name, F.col("__run") + F.when(owner == F.col("__mine"), F.col("__o")).otherwise(0))
+        return out.drop("__bucket", "__before", "__tail", "__head", "__run", "__carried", "__mine", "__o")
 
     def running_sum(self, df: DataFrame, value: Column, name: str) -> DataFrame:
         """df with the sum of value over the entity's rows up to this one."""
@@ -93,10 +128,15 @@ class Timeline:
         before = Window.partitionBy("__owner").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)  # two rows a bucket at most
         carried = ends.withColumn("__o", F.sum("t").over(before)).where(F.col("__owner") == F.col("first")).select("__bucket", F.col("first").alias("__head"), "__o")
         inside = Window.partitionBy("__bucket", "__owner").orderBy(*[F.expr(c) for c in line.order]).rowsBetween(Window.unboundedPreceding, 0)
-        df = df.withColumn(name, F.sum("__v").over(inside)).join(F.broadcast(carried), "__bucket")
+        df = df.withColumn(name, F.sum("__v").over(inside)).join(F.broadcast(carried), "__bucket", "left")
         on = F.when(F.col("__owner") == F.col("__head"), F.coalesce("__o", F.lit(0))).otherwise(0)
         return df.withColumn(name, F.col(name) + on).drop("__v", "__owner", "__head", "__o", "__bucket")
 
     def row_number(self, df: DataFrame, name: str) -> DataFrame:
         """Numbers from 1 along the order, in all or in each entity."""
         return self.running_sum(df, F.lit(1), name)
+
+
+def _lagged(last: DataFrame) -> DataFrame:
+    """(__bucket, __carried): the bucket before's last row, of (__bucket, __last), MOST rows at most."""
+    return last.select("__bucket", F.lag("__last").over(Window.orderBy("__bucket")).alias("__carried"))
