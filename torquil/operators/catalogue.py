@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from torquil.config import DEFAULTS
 from torquil.functions import first_match
 
 
@@ -73,8 +74,9 @@ class Catalogue:
         return got.select("document", name.alias("name"), F.when(F.size("f") == 1, F.col("f")[0]).alias("family"))
 
 
-def field_matrix(sections: DataFrame, document: str, field: str, number: str, documents: list[str]) -> DataFrame:
-    """A row for each field, a column for each of the documents: its section numbers; and how many documents have the field."""
+def field_matrix(sections: DataFrame, document: str, field: str, number: str, documents: list[str] | None = None) -> DataFrame:
+    """A row for each field, a column for each document, or for those given: its section numbers; and how many documents have the field. Each document is a column, so there must be few."""
+    documents = documents or sorted(str(r[0]) for r in sections.select(document).where(F.col(document).isNotNull()).distinct().collect())
     cells = sections.groupBy(field).pivot(document, documents).agg(F.array_join(F.sort_array(F.collect_list(F.col(number).cast("string"))), ","))
     counted = sections.groupBy(field).agg(F.count_distinct(document).alias("n_documents"))
     return cells.na.fill("", documents).join(counted, field)
@@ -98,3 +100,38 @@ def suggested_families(labels: DataFrame, label: str, patterns: list[tuple[str,
 def last_turns(turns: DataFrame, conversation: str, turn: str, n: int) -> DataFrame:
     w = Window.partitionBy(conversation).orderBy(F.desc(turn))
     return turns.withColumn("back", F.row_number().over(w)).where(F.col("back") <= n)
+
+
+def history(turns: DataFrame, excerpts: DataFrame, conversation: str, turn: str, n: int = DEFAULTS.history) -> DataFrame:
+    """The last n turns of each conversation that were not refused, with what a later turn may see of them: (conversation, turn, back, author, content).
+
+    turns: (conversation, turn, answer, refused, classified, verified, degraded, reason). A verified answer stands as it
+    is. One that was not verified, or degraded, gives way to the first two of its excerpts (conversation, turn, rank,
+    reference, text), or without any to its reason; a classification's text stands, though the author is the system
+    unless it was verified.
+    """
+    kept = last_turns(turns.where(~F.coalesce("refused", F.lit(False))), conversation, turn, n)
+    source = excerpts.where(F.col("rank") <= 2).groupBy(conversation, turn).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.concat(F.lit("["), "reference", F.lit("] "), F.trim("text")).alias("t")))), lambda x: x["t"]), "\n\n").alias("__source"))
+    good = F.coalesce(F.col("verified") & ~F.col("degraded"), F.lit(False))
+    content = F.when(good | F.coalesce("classified", F.lit(False)), F.col("answer")).otherwise(F.coalesce("__source", "reason", F.lit("(nothing verified in this turn)")))
+    return kept.join(source, [conversation, turn], "left").select(conversation, turn, "back", F.when(good, "assistant").otherwise("system").alias("author"), content.alias("content"))
+
+
+def drawn_entity(df: DataFrame, entity: str, order: tuple[str, ...], least: int, first: int, seed: int = DEFAULTS.seed) -> DataFrame:
+    """The first rows of one entity with `least` rows or more, drawn by the seed."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(entity).cast("string")))
+    one = df.groupBy(entity).agg(F.count("*").alias("__n")).where(F.col("__n") >= least).orderBy(digest).limit(1)
+    return df.join(F.broadcast(one.select(entity)), entity).orderBy(*order).limit(first)  # one row
+
+
+def first_of(df: DataFrame, by: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """One row for each value of `by`, null among them: the first in the order. Only that row of each task is shuffled."""
+    whole = F.min_by(F.struct(*[F.col(f"`{c}`") for c in df.columns]), F.struct(*order)).alias("__row")
+    return df.groupBy(*by).agg(whole).select("__row.*")
+
+
+def prepared(events: DataFrame, catalogue: Catalogue, label: str = DEFAULTS.label, problems_only: bool = False) -> DataFrame:
+    """Readings numbered by event with their family; labels that no family has go, and with problems_only those of states."""
+    aliases = catalogue.aliases.select(F.col("label").alias(label), "family").join(F.broadcast(catalogue.families.select("family", "is_problem")), "family")
+    out = events.join(F.broadcast(aliases), label)
+    return (out.where("is_problem") if problems_only else out).drop("is_problem")

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, replace
+from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -12,6 +16,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from torquil.config import DEFAULTS
 from torquil.operators import features as M
+from torquil.sources import shared as T
 
 
 @dataclass(frozen=True)
@@ -21,8 +26,12 @@ class Forest:
     trees: int = DEFAULTS.trees
     depth: int = 10
     seed: int = DEFAULTS.seed
+    pool: int = 4
 
     def fit(self, samples: DataFrame) -> PipelineModel:
+        """A forest that depends on the samples' values and the seed alone: rows are dealt and ordered by their values, as each part draws its own rows."""
+        parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        samples = samples.select(self.label, *self.columns).repartition(parts, self.label, *self.columns).sortWithinPartitions(self.label, *self.columns)
         forest = RandomForestClassifier(labelCol="__label", featuresCol="__x", numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=self.seed)
         return Pipeline(stages=[StringIndexer(inputCol=self.label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(self.columns), outputCol="__x"), forest]).fit(samples)
 
@@ -34,12 +43,11 @@ class Forest:
 
     def blocks(self, model: PipelineModel, samples: DataFrame, block: str) -> DataFrame:
         """(block, class, p, rank): mean over the block's windows, ranked; ties by name."""
-        mean = self.probabilities(model, samples, (block,)).groupBy(block, "class").agg(F.avg("p").alias("p"))
-        return mean.withColumn("rank", F.row_number().over(Window.partitionBy(block).orderBy(F.desc("p"), "class")))
+        return ranked(self.probabilities(model, samples, (block,)), block)
 
     def classified(self, model: PipelineModel, samples: DataFrame, block: str, operator: DataFrame, least: int = DEFAULTS.least_readings) -> DataFrame:
         """Each block's family, confidence, windows, whether it is short of data, and whether operator (block, readings, operator_family) says another family."""
-        top = self.blocks(model, samples, block).where("rank = 1").select(block, F.col("class").alias("family"), F.col("p").alias("confidence"))
+        top = top_family(self.blocks(model, samples, block), block)
         n = samples.groupBy(block).agg(F.count("*").alias("windows"))
         out = top.join(n, block).join(operator, block, "left")
         return out.withColumn("short", F.col("readings") < least).withColumn("diverges", F.coalesce(F.col("operator_family") != F.col("family"), F.lit(False)))
@@ -48,21 +56,48 @@ class Forest:
         """The ranking of one event by a forest that never saw it."""
         return self.blocks(self.fit(samples.where(F.col(event) != one)), samples.where(F.col(event) == one), event)
 
+    def left_out(self, samples: DataFrame, event: str, groups: int | None = None) -> DataFrame:
+        """(event, label, class, p, rank) of every event, by forests that never saw it: one for each event, or one for each group of events, all of which it leaves out.
+
+        The samples are stored once, and a fit only leaves rows out. An event has no ranking if no other samples are left.
+        """
+        stored = T.written(samples.select(event, self.label, *self.columns), "samples")
+        events = stored.select(event).distinct()
+        if groups:
+            dealt = events.withColumn("__group", (F.row_number().over(Window.orderBy(F.md5(F.concat_ws(":", F.lit(str(self.seed)), F.col(event).cast("string"))))) - 1) % groups)  # a row for each event
+        else:
+            dealt = events.withColumn("__group", F.row_number().over(Window.orderBy(event)))
+        dealt = T.written(dealt, "groups")
+        grouped = stored.join(dealt, event)
+
+        def ranked(k: int) -> DataFrame | None:
+            rest = grouped.where(F.col("__group") != k)
+            return self.blocks(self.fit(rest), grouped.where(F.col("__group") == k), event) if rest.take(1) else None
+
+        parts = side_by_side([lambda k=r[0]: ranked(k) for r in dealt.select("__group").distinct().orderBy("__group").collect()], self.pool)
+        kinds = f"{event} {dict(samples.dtypes)[event]}, class string, p double, rank int"
+        out = parts if parts is not None else samples.sparkSession.createDataFrame([], kinds)
+        return out.join(stored.groupBy(event).agg(F.first(self.label).alias(self.label)), event).select(event, self.label, "class", "p", "rank")
+
     def cross_validated(self, folded: DataFrame, keys: tuple[str, ...], folds: int) -> DataFrame:
-        """(keys, label, fold, predicted): each fold by a forest fitted on the others; one fit a fold."""
-        out = None
-        for k in range(folds):
-            test = folded.where(F.col("fold") == k)
-            p = self.probabilities(self.fit(folded.where(F.col("fold") != k)), test, (*keys, self.label, "fold"))
-            best = p.groupBy(*keys, self.label, "fold").agg(F.max_by("class", F.struct("p", "class")).alias("predicted"))
-            out = best if out is None else out.unionByName(best)
-        return out
+        """(keys, label, fold, predicted): each fold by a forest fitted on the others; fits run side by side."""
+        return side_by_side([lambda k=k: self._fold(folded, keys, k) for k in range(folds)], self.pool)
+
+    def _fold(self, folded: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame | None:
+        test, rest = folded.where(F.col("fold") == k), folded.where(F.col("fold") != k)
+        if not rest.take(1):
+            return None
+        p = self.probabilities(self.fit(rest), test, (*keys, self.label, "fold"))
+        return p.groupBy(*keys, self.label, "fold").agg(F.max_by("class", F.struct("p", "class")).alias("predicted"))
+
+    def _folded(self, samples: DataFrame, event: str, keys: tuple[str, ...], folds: int) -> dict[str, DataFrame]:
+        dealt = {"random": M.random_folds(samples, self.label, keys, folds, self.seed), "by event": M.event_folds(samples, self.label, event, folds, self.seed)}
+        return {name: T.written(df, "folds") for name, df in dealt.items()}  # each fit reads it again
 
     def validated(self, samples: DataFrame, event: str, keys: tuple[str, ...], folds: int = DEFAULTS.folds) -> DataFrame:
         """(strategy, accuracy, macro_f1, leaked) with samples dealt singly and with events whole."""
         out = None
-        for strategy, folded in (("random", M.random_folds(samples, self.label, keys, folds, self.seed)), ("by event", M.event_folds(samples, self.label, event, folds, self.seed))):
-            folded = folded.persist()  # each fit reads it again
+        for strategy, folded in self._folded(samples, event, keys, folds).items():
             leaked = M.leaks(folded, event).agg(F.sum("leaked").alias("leaked"))
             row = M.scores(self.cross_validated(folded, keys, folds), self.label, "predicted").crossJoin(leaked).withColumn("strategy", F.lit(strategy))
             out = row if out is None else out.unionByName(row)
@@ -72,3 +107,57 @@ class Forest:
         """(feature, column, importance): as many rows as features."""
         rows = [(c, c.split("__")[0], float(v)) for c, v in zip(self.columns, model.stages[2].featureImportances.toArray())]
         return spark.createDataFrame(rows, "feature string, column string, importance double")
+
+
+def ranked(probabilities: DataFrame, block: str) -> DataFrame:
+    """(block, class, p, rank) of probabilities (block, class, p), a row for each window: their mean, ranked; ties by name."""
+    mean = probabilities.groupBy(block, "class").agg(F.avg("p").alias("p"))
+    return mean.withColumn("rank", F.row_number().over(Window.partitionBy(block).orderBy(F.desc("p"), "class")))
+
+
+def top_family(ranking: DataFrame, block: str) -> DataFrame:
+    return ranking.where("rank = 1").select(block, F.col("class").alias("family"), F.col("p").alias("confidence"))
+
+
+def side_by_side(jobs: list[Callable[[], DataFrame | None]], pool: int) -> DataFrame | None:
+    """The union of what the jobs give, `pool` of them at a time, each written as it comes: Spark deals their tasks to the same executors."""
+    if not jobs:
+        return None
+    session = T.active()
+    run = inheritable_thread_target(session)(lambda job: (lambda df: None if df is None else T.written(df, "fit"))(job()))
+    with ThreadPoolExecutor(pool) as threads:
+        parts = [df for df in threads.map(run, jobs) if df is not None]
+    return reduce(DataFrame.unionByName, parts) if parts else None
+
+
+def experiment(events: DataFrame, forest: Forest, sizes: tuple[int, ...], columns: tuple[str, ...], regime: tuple[str, ...], with_regime: tuple[bool, ...], event: str, order: tuple[str, ...], folds: int = DEFAULTS.folds) -> DataFrame:
+    """(size, regime, samples, events, lost_pct, classes, by_event, random, inflation): accuracy by window size, with and without the regime's columns as features.
+
+    Windows of all sizes are summarised once, into one table. Classes with fewer events than folds are left out; a size
+    that leaves fewer than two classes has no accuracy. All fits of the grid share one pool.
+    """
+    spark, label = events.sparkSession, forest.label
+    parts = [M.summarised(M.windowed(events, event, order, size), (label, event), (*columns, *regime)).withColumn("size", F.lit(size)) for size in sizes]
+    windows = T.written(reduce(DataFrame.unionByName, parts), "windows")
+    per_class = windows.groupBy("size", label).agg(F.count_distinct(event).alias("__events")).where(F.col("__events") >= folds).drop("__events")
+    kept = T.written(windows.join(per_class, ["size", label]), "windows")
+    counts = {r["size"]: r for r in kept.groupBy("size").agg(F.count("*").alias("samples"), F.count_distinct(event).alias("events"), F.count_distinct(label).alias("classes")).collect()}  # a row for each size
+    total = events.select(event).distinct().count()
+    jobs = []
+    for size in sizes:
+        if size not in counts or counts[size].classes < 2:
+            continue
+        for strategy, folded in forest._folded(kept.where(F.col("size") == size), event, (event, "k"), folds).items():
+            for on in with_regime:
+                names = tuple(f"{c}__{s}" for c in (*columns, *(regime if on else ())) for s in M.STATISTICS)
+                for k in range(folds):
+                    tag = lambda df, size=size, on=on, strategy=strategy: df.withColumns({"size": F.lit(size), "regime": F.lit(on), "strategy": F.lit(strategy)})
+                    jobs.append(lambda f=replace(forest, columns=names), folded=folded, k=k, tag=tag: (lambda df: None if df is None else tag(df))(f._fold(folded, (event, "k"), k)))
+    said = side_by_side(jobs, forest.pool)
+    cells = spark.createDataFrame([(size, on, *((counts[size].samples, counts[size].events, counts[size].classes) if size in counts else (0, 0, 0))) for size in sizes for on in with_regime], "size int, regime boolean, samples long, events long, classes long")
+    cells = cells.withColumn("lost_pct", 100 * (1 - F.try_divide(F.col("events"), F.lit(total))))
+    if said is None:
+        return cells.withColumns({c: F.lit(None).cast("double") for c in ("by_event", "random", "inflation")})
+    right = F.avg((F.col(label) == F.col("predicted")).cast("double"))
+    wide = said.groupBy("size", "regime", "strategy").agg(right.alias("a")).groupBy("size", "regime").agg(*[F.max(F.when(F.col("strategy") == s, F.col("a"))).alias(n) for s, n in (("by event", "by_event"), ("random", "random"))])
+    return cells.join(wide, ["size", "regime"], "left").withColumn("inflation", F.col("random") - F.col("by_event"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from torquil import functions as X
-from torquil.config import DEFAULTS
+from torquil.config import DEFAULTS, FIELD_RANGES, REQUIRED_FIELDS
+from torquil.operators.catalogue import Catalogue
 
 
 def input_verdicts(records: DataFrame, json: str, required: tuple[str, ...], ranges: dict[str, tuple[float, float]]) -> DataFrame:
@@ -73,6 +74,28 @@ def first_failure(rules: list[tuple[str, Column]]) -> Column:
     return F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules])
 
 
+def admitted(records: DataFrame, id: str, json: str, label: str, classified: DataFrame, catalogue: Catalogue, required: tuple[str, ...] = REQUIRED_FIELDS, ranges: dict[str, tuple[float, float]] = FIELD_RANGES) -> DataFrame:
+    """records with family, confidence, failed (the first rule that fails, or null) and diverges.
+
+    G0 holds the JSON record against required fields and ranges, G1 the confidence, G2 whether the family is a problem,
+    G3 whether it has a document. The family is the model's, of classified (id, family, confidence); the operator's label
+    counts only where there is none, and diverges says that it tells of another family.
+    """
+    checked = input_verdicts(records, json, required, ranges).withColumnsRenamed({"passed": "__g0", "reason": "__reason"})
+    told = checked.join(classified.select(id, F.col("family").alias("__family"), "confidence"), id, "left")
+    named = catalogue.situation(told, label).withColumnRenamed("family", "__labelled").drop("is_problem", "situation")
+    out = catalogue.situation(named.withColumn("__asked", F.coalesce("__family", label)), "__asked")
+    rules = [("G0", F.col("__g0")), ("G1", confident(F.col("confidence"))), ("G2", F.col("situation").isin("no_document", "ok")), ("G3", F.col("situation") == "ok")]
+    out = out.withColumn("failed", first_failure(rules)).withColumn("diverges", F.coalesce(F.col("__family") != F.col("__labelled"), F.lit(False)))
+    return out.select(*records.columns, F.coalesce("__family", "family").alias("family"), "confidence", "failed", "diverges")
+
+
+def sentences(df: DataFrame, family: str, value: str) -> DataFrame:
+    """(family, sentence): the facts of each block, its readings and their mean to one decimal, as a sentence."""
+    facts = df.groupBy(family).agg(F.count("*").alias("n"), F.round(F.avg(value), 1).cast("decimal(18,1)").alias("mean"))
+    return facts.select(family, F.concat_ws("", F.lit("Family "), family, F.lit(": "), F.col("n").cast("string"), F.lit(" readings, mean "), F.col("mean").cast("string"), F.lit(".")).alias("sentence"))
+
+
 def cleaned_symptoms(cases: DataFrame, id: str, source: str, items: str, most: int = 6) -> DataFrame:
     """(id, symptoms): listed symptoms that share a content word with the source, each once whatever its case, the first `most`; the source if none is left."""
     listed = cases.select(id, source, F.posexplode_outer(items).alias("at", "item")).withColumn("item", F.trim("item"))

@@ -5,22 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from torquil import functions as X
-from torquil.config import DEFAULTS
+from torquil.config import DEFAULTS, FIELD_PATTERNS
 from torquil.sources import shared as T
 
 #: Numbers of any size and depth with a title of any length; no group repeats, as Java's stack grows with those.
 _HEADING = r"^(\d[\d.]*+)\s++(\S.*+)$"
 
 
-def sections(docs: DataFrame, id: str, text: str) -> DataFrame:
-    """(id, number, title, level, body, first_line): numbered sections of each text.
+def sections(docs: DataFrame, id: str, text: str, pages: str | None = None, fields: tuple[tuple[str, str], ...] = FIELD_PATTERNS) -> DataFrame:
+    """(id, number, title, level, field, first_page, last_page, first_line, body): numbered sections of each text.
+
+    field is the first whose pattern the title has, without accents. pages names a column with the page of each line:
+    a section begins on its heading's page and ends on that of its last line that isn't blank and has one.
 
     A line with a number is a heading only if its title does not end a sentence and its number is the next top one
     or lies under the open top one; the fold over a document's lines is an aggregate over its candidates.
     """
-    lines = docs.select(id, F.posexplode(F.split(text, "\n")).alias("line", "s"))
+    paged = F.col(pages).cast("array<int>") if pages else F.lit(None).cast("array<int>")
+    lines = docs.select(id, paged.alias("__pages"), F.posexplode(F.split(text, "\n")).alias("line", "s"))
+    lines = lines.select(id, "line", "s", F.get("__pages", F.col("line")).alias("page"))
     bare = F.btrim("s", F.lit(" \t\r\f\v"))
-    cut = lines.select(id, "line", "s", F.regexp_replace(F.regexp_extract(bare, _HEADING, 1), r"\.$", "").alias("number"), F.regexp_extract(bare, _HEADING, 2).alias("title"))
+    cut = lines.select(id, "line", F.regexp_replace(F.regexp_extract(bare, _HEADING, 1), r"\.$", "").alias("number"), F.regexp_extract(bare, _HEADING, 2).alias("title"))
     candidate = (F.col("number") != "") & ~F.col("number").contains("..") & ~F.col("number").endswith(".") & ~F.col("title").rlike(r"[.;:]$")
     listed = cut.where(candidate).groupBy(id).agg(F.sort_array(F.collect_list(F.struct("line", "number", "title"))).alias("c"))
     top = lambda x: F.split_part(x["number"], F.lit("."), F.lit(1)).try_cast("long")
@@ -34,10 +39,18 @@ def sections(docs: DataFrame, id: str, text: str) -> DataFrame:
     heads = listed.select(id, F.explode(F.aggregate("c", start, step, lambda s: s["kept"])).alias("h")).select(id, "h.*")
     marked = lines.join(heads, [id, "line"], "left")
     w = Window.partitionBy(id).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    owned = marked.withColumn("head", F.last(F.when(F.col("number").isNotNull(), F.struct("line", "number", "title")), ignorenulls=True).over(w)).where("head is not null")
+    owned = marked.withColumn("head", F.last(F.when(F.col("number").isNotNull(), F.struct("line", "number", "title", "page")), ignorenulls=True).over(w)).where("head is not null")
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.when(F.col("number").isNull(), F.struct("line", "s")))), lambda x: x["s"]), "\n")
-    out = owned.groupBy(id, "head").agg(body.alias("body"))
-    return out.select(id, "head.number", "head.title", F.size(F.split("head.number", r"\.")).alias("level"), F.col("head.line").alias("first_line"), reflowed(F.col("body")).alias("body"))
+    written = F.col("number").isNull() & (F.btrim("s", F.lit(" \t\r\f\v")) != "") & F.col("page").isNotNull()
+    out = owned.groupBy(id, "head").agg(body.alias("body"), F.max_by("page", F.when(written, F.col("line"))).alias("last_page"))
+    field = X.first_match(F.lower(X.folded(F.col("head.title"))), [(p, name) for name, p in fields]) if fields else F.lit(None).cast("string")
+    level = F.size(F.split("head.number", r"\."))
+    return out.select(id, "head.number", "head.title", level.alias("level"), field.alias("field"), F.col("head.page").alias("first_page"), F.coalesce("last_page", "head.page").alias("last_page"), F.col("head.line").alias("first_line"), reflowed(F.col("body")).alias("body"))
+
+
+def sections_of_fields(sections: DataFrame, allowed: DataFrame, fields: tuple[str, ...], document: str = "document", field: str = "field") -> DataFrame:
+    """Every section of the fields in the allowed documents (document): an exact filter without a score."""
+    return sections.where(F.col(field).isin(*fields)).join(allowed.select(document).distinct(), document, "left_semi")
 
 
 def reflowed(body: Column) -> Column:
@@ -193,11 +206,48 @@ def balanced(sections: DataFrame, by: str, field: str, id: str, k: int, fields:
     return some.withColumn("rank", F.row_number().over(Window.partitionBy(by).orderBy(field, id))).where(F.col("rank") <= k)
 
 
-def scope(hits: DataFrame, least: float, query: str = "query") -> DataFrame:
+def scope(hits: DataFrame, least: float = DEFAULTS.scope_score, query: str = "query") -> DataFrame:
     """(query, best, in_scope): whether a query's best score reaches the least one."""
     return hits.groupBy(query).agg(F.max("score").alias("best"), (F.max("score") >= least).alias("in_scope"))
 
 
+def scope_of_document(queries: DataFrame, chunks: DataFrame, least: float = DEFAULTS.scope_score) -> DataFrame:
+    """(query, document, best, in_scope) of queries (query, document, model, qvec), each held against all sections of its one document; without any to compare it is out of scope, with 0."""
+    asked = queries.withColumnRenamed("document", "family").withColumn("field", F.lit(None).cast("string"))
+    own = queries.select(F.col("document").alias("family"), "document").distinct()
+    best = scope(filtered_scores(asked, own, chunks.withColumn("field", F.lit(None).cast("string"))), least)
+    return queries.select("query", "document").join(best, "query", "left").select("query", "document", F.coalesce("best", F.lit(0.0)).alias("best"), F.coalesce("in_scope", F.lit(False)).alias("in_scope"))
+
+
+def symptom_scores(symptoms: DataFrame, chunks: DataFrame, k: int, known: DataFrame | None = None, case: str = "case") -> DataFrame:
+    """(case, chunk, document, score): best scores of the cases' symptoms (case, query, qvec), added to those known before.
+
+    A section that is among a case's k best is among the k best of the symptom that gives it its score, so only those
+    are kept, and a symptom added later is scored alone and comes in by the maximum.
+    """
+    new = free_search(symptoms, chunks, k).join(symptoms.select("query", case), "query").select(case, "chunk", "document", "score")
+    both = new if known is None else known.select(case, "chunk", "document", "score").unionByName(new)
+    return both.groupBy(case, "chunk").agg(F.first("document").alias("document"), F.max("score").alias("score"))
+
+
+def triage(scores: DataFrame, k: int, least: float = DEFAULTS.least_score, case: str = "case") -> DataFrame:
+    """(case, best, outcome, document) of symptom_scores: `no_procedure` without a section of the least score, `fixed` if one document decides, else `choose`."""
+    hits = top_k(scores, case, "chunk", k)
+    enough = hits.groupBy(case).agg(F.max("score").alias("best"), (F.max("score") >= least).alias("__passed"))
+    votes = decided(document_votes(hits, case), case).select(case, "document", "decision")
+    outcome = F.when(~F.col("__passed"), "no_procedure").otherwise(F.when(F.col("decision") == "fixed", "fixed").otherwise("choose"))
+    out = enough.join(votes, case).withColumn("outcome", outcome)
+    return out.select(case, "best", "outcome", F.when(F.col("outcome") == "fixed", F.col("document")).alias("document"))
+
+
+def raw_answers(hits: DataFrame, sections: DataFrame, query: str = "query") -> DataFrame:
+    """(query, raw) of hits (query, chunk, rank, score): the sections (chunk, document, number, title, pages, body) found, each under its address, in the order of their ranks."""
+    page = F.when(F.col("pages") != "", F.concat(F.lit(", p. "), "pages")).otherwise("")
+    head = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] "), F.col("document").cast("string"), F.lit(", section "), F.col("number").cast("string"), F.coalesce(page, F.lit("")), F.lit(" - "), F.coalesce("title", F.lit("")), F.lit("\n"), F.btrim(F.coalesce("body", F.lit(""))))
+    found = hits.select(query, "chunk", "rank").join(sections.select("chunk", "document", "number", "title", "pages", "body"), "chunk")
+    return joined_sections(found.withColumn("__text", head), "__text", query, "\n\n")
+
+
 def joined_sections(hits: DataFrame, body: str, query: str = "query", between: str = " ") -> DataFrame:
     """(query, raw): the sections of a query's k hits in their order, as one text."""
     return hits.groupBy(query).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", F.col(body).cast("string").alias("body")))), lambda x: x["body"]), between).alias("raw"))

@@ -9,18 +9,28 @@ from pyspark.sql import DataFrame, Observation, functions as F
 from torquil import sources
 from torquil.config import DEFAULTS
 from torquil.operators import features as M, profile as P, segment as S
+from torquil.sources import snapshot
 
 
-def rebuild(readings: DataFrame, path: str, columns: tuple[str, ...]) -> dict[str, int]:
-    """Writes readings and both versions' events with dispersion and gaps; returns row counts. Idempotent."""
+def rebuild(readings: DataFrame, path: str, columns: tuple[str, ...], documents: DataFrame | None = None, sections: DataFrame | None = None, time: str = DEFAULTS.time) -> dict[str, int]:
+    """Replaces readings (in parts by day), both versions' events with dispersion and gaps, and, if given, documents and sections; returns row counts.
+
+    All tables change at once at the end (sources/snapshot.py): a job that dies on the way leaves the old ones. Running it again gives the same tables.
+    """
+    spark = readings.sparkSession
+    old = snapshot.latest(spark, path)
     seen = Observation("readings")
-    sources.write_readings(readings.observe(seen, F.count("*").alias("n")), f"{path}/readings")
-    versions = {}
-    for name, df in (("A", S.events(readings)), ("B", S.events_split_first(readings))):
-        versions[name] = S.summary(df).join(S.cohesion(df, columns), "event", "left")
-    sources.write_events(versions, f"{path}/events")
-    written = readings.sparkSession.read.parquet(f"{path}/events")
-    return {"readings": seen.get["n"], "events": written.count()}
+    dated = readings.observe(seen, F.count("*").alias("n")).withColumn("day", F.to_date(time))
+    tables = {"readings": snapshot.staged(dated, path, "readings", "day")}
+    versions = [S.summary(df).join(S.cohesion(df, columns), "event", "left").withColumn("version", F.lit(name)) for name, df in (("A", S.events(readings)), ("B", S.events_split_first(readings)))]
+    tables["events"] = snapshot.staged(versions[0].unionByName(versions[1]).withColumn("part", F.col("version")), path, "events", "part")
+    for name, df in (("documents", documents), ("sections", sections)):
+        if df is not None:
+            tables[name] = snapshot.staged(df, path, name)
+        elif old and name in old.tables:
+            tables[name] = old.tables[name]
+    now = snapshot.commit(spark, path, tables, None, old)
+    return {"readings": seen.get["n"]} | {name: now.read(name).count() for name in tables if name != "readings"}
 
 
 def quality_report(df: DataFrame, columns: tuple[str, ...], pairs: list[tuple[str, str, float, float]], position: str, label: str = DEFAULTS.label, time: str = DEFAULTS.time, id: str = DEFAULTS.tie) -> dict[str, DataFrame]:

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from torquil import functions as X
-from torquil.operators import catalogue as K, profile as P
+from torquil.operators import catalogue as K, profile as P, rules as H, segment as S
+from torquil.operators.search import sections_of_fields
 from torquil.queries import query, readings, table
+from torquil.queries.monitoring import EVENTS
 
 FAMILIES = [
     {"name": "fault_click", "is_problem": True, "coverage": "full", "aliases": ["click", "clk"], "documents": ["src1", "src2"]},
@@ -64,11 +66,11 @@ def document_names(spark, d):
     return texts.join(F.broadcast(_catalogue(spark).document_names()), "document")
 
 
-@query("SELECT lang, coalesce(string_agg(CASE WHEN source='src1' THEN n END, ',' ORDER BY n), '') AS src1, coalesce(string_agg(CASE WHEN source='src2' THEN n END, ',' ORDER BY n), '') AS src2, count(DISTINCT source) AS n_documents FROM (SELECT DISTINCT lang, source, CAST(doc_id%7 AS VARCHAR) AS n FROM documents) GROUP BY lang")
+@query("WITH t AS (SELECT DISTINCT lang, source, CAST(doc_id%7 AS VARCHAR) AS n FROM documents), c AS (SELECT lang, source, string_agg(n, ',' ORDER BY n) AS cell FROM t GROUP BY ALL), p AS (SELECT lang, count(DISTINCT source) AS n_documents FROM t GROUP BY lang), f AS (SELECT p.lang, p.n_documents, s.source, coalesce(cell, '') AS cell FROM p CROSS JOIN (SELECT DISTINCT source FROM t) s LEFT JOIN c ON c.lang = p.lang AND c.source = s.source) PIVOT f ON source USING any_value(cell) GROUP BY lang, n_documents")
 def field_matrix(spark, d):
-    """G-A25."""
+    """G-A25: a column for each document."""
     df = table(spark, d, "documents").select("lang", "source", (F.col("doc_id") % 7).cast("string").alias("n")).distinct()
-    return K.field_matrix(df, "source", "lang", "n", ["src1", "src2"])
+    return K.field_matrix(df, "source", "lang", "n")
 
 
 @query("WITH s AS (SELECT DISTINCT source, concat(lang, '-', CAST(CAST(floor(n_chars/2000) AS BIGINT) AS VARCHAR)) AS field FROM documents) SELECT a.source, b.field FROM (SELECT DISTINCT source FROM s) a, (SELECT DISTINCT field FROM s) b WHERE (a.source, b.field) NOT IN (SELECT (source, field) FROM s)")
@@ -112,10 +114,42 @@ def authorised_sections(spark, d):
     """J-09, R-12: semi-filter by documents, and fields in a set."""
     docs = table(spark, d, "documents")
     allowed = docs.where("lang = 'es'").select("source").distinct()
-    return docs.where(F.col("lang").isin("en", "fr")).join(allowed, "source", "left_semi").select("doc_id", F.length("text").cast("long").alias("n"))
+    return sections_of_fields(docs, allowed, ("en", "fr"), "source", "lang").select("doc_id", F.length("text").cast("long").alias("n"))
 
 
 @query("SELECT conv_id, turn, role, back FROM (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations WHERE role <> 'system') WHERE back <= 4")
 def last_turns(spark, d):
     """T-04: the last four turns that were not refused (top-k is the feature)."""
     return K.last_turns(table(spark, d, "conversations").where("role <> 'system'").select("conv_id", "turn", "role"), "conv_id", "turn", 4)
+
+
+_HISTORY = """a AS (SELECT conv_id, turn, text, turn%5 = 4 AS refused, turn%7 = 3 AS classified, turn%4 <> 3 AS verified, conv_id%6 = 5 AS degraded FROM conversations WHERE role = 'assistant'),
+k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM a WHERE NOT refused),
+s AS (SELECT k.conv_id, k.turn, string_agg(concat('[Doc', k.conv_id%3, ', section ', k.turn - c.turn, '] ', trim(c.text)), chr(10) || chr(10) ORDER BY c.turn DESC) AS source FROM k JOIN conversations c ON c.conv_id = k.conv_id AND c.turn IN (k.turn - 1, k.turn - 2) GROUP BY ALL)"""
+
+
+@query("WITH " + _HISTORY + " SELECT conv_id, turn, back, CASE WHEN verified AND NOT degraded THEN 'assistant' ELSE 'system' END AS author, md5(CASE WHEN verified AND NOT degraded OR classified THEN concat(text, ' (Doc', conv_id%3, ', section ', turn%4, ')') ELSE coalesce(source, 'nothing found') END) AS content FROM k LEFT JOIN s USING (conv_id, turn) WHERE back <= 4")
+def history(spark, d):
+    """T-04: the last four turns that were not refused (top-k is the feature), unverified answers replaced by their sources."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    cited = F.concat("text", F.lit(" (Doc"), (F.col("conv_id") % 3).cast("string"), F.lit(", section "), (F.col("turn") % 4).cast("string"), F.lit(")"))
+    turns = c.where("role = 'assistant'").select("conv_id", "turn", F.concat_ws(":", "conv_id", "turn").alias("key"), cited.alias("answer"), (F.col("turn") % 5 == 4).alias("refused"), (F.col("turn") % 7 == 3).alias("classified"), (F.col("conv_id") % 6 == 5).alias("degraded"), F.lit("nothing found").alias("reason"))
+    supplied = turns.select("key", F.concat(F.lit("Doc"), (F.col("conv_id") % 3).cast("string")).alias("document"), F.explode(F.array(F.lit("0"), F.lit("1"), F.lit("2"))).alias("section"))
+    verdicts = H.citations(turns, "key", "answer", supplied).select("key", F.col("passed").alias("verified"))
+    back = c.select("conv_id", F.col("turn").alias("at"), "text")
+    excerpts = turns.select("conv_id", "turn").join(back, "conv_id").withColumn("rank", F.col("turn") - F.col("at")).where("rank in (1, 2)")
+    excerpts = excerpts.withColumn("reference", F.concat(F.lit("Doc"), (F.col("conv_id") % 3).cast("string"), F.lit(", section "), F.col("rank").cast("string")))
+    return K.history(turns.join(verdicts, "key"), excerpts, "conv_id", "turn", 4).withColumn("content", F.md5("content"))
+
+
+@query("WITH {r}, " + EVENTS + ", " + CAT + " SELECT event, family, count(*) AS n FROM e1 JOIN ali ON label = event_type JOIN fam USING (family) WHERE is_problem GROUP BY ALL")
+def prepared_events(spark, d):
+    """M-01: readings numbered by event, of catalogued problems only."""
+    return K.prepared(S.events(readings(spark, d)), _catalogue(spark), "event_type", True).groupBy("event", "family").agg(F.count("*").alias("n"))
+
+
+@query("WITH {r}, x AS (SELECT CASE WHEN machine%5 = 0 THEN NULL ELSE machine END AS m, id, created_at FROM r) SELECT m, arg_min(id, (created_at, id)) AS id FROM x GROUP BY m")
+def first_readings(spark, d):
+    """U-04: the first reading of each machine, those without one as one."""
+    df = readings(spark, d).select(F.when(F.col("machine") % 5 != 0, F.col("machine")).alias("m"), "id", "created_at")
+    return K.first_of(df, ("m",), ("created_at", "id")).select("m", "id")

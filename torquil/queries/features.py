@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from torquil.operators import features as M, segment as S
-from torquil.operators.model import Forest
+from torquil.operators.model import Forest, experiment
 from torquil.queries import query, readings
 from torquil.queries.monitoring import EVENTS, R6
+from torquil.sources import shared as T
 
 SIZE, STEP = 20, 10
 COLUMNS = ("m1", "m2")
@@ -148,19 +149,17 @@ def accuracy_and_f1(spark, d):
     return M.scores(_predicted(spark, d), "fault", "said").select(*R6("accuracy", "macro_f1"))
 
 
-def _forest():
-    return Forest(NAMES, "fault", trees=20, depth=6)
+SIZES = (20, 50, 60, 90, 180)
 
 
-def _training(spark, d):
-    """Windows of a size that every scale's events hold."""
-    return M.summarised(M.windowed(_events(spark, d), "event", ("created_at", "id"), 2, 1), ("fault", "event"), COLUMNS)
+def _forest():
+    return Forest(NAMES, "fault")
 
 
 @query()
 def forest_blocks(spark, d):
-    """M-06..M-08: families of events by a forest, with confidence and divergence."""
-    samples, forest = _training(spark, d), _forest()
+    """M-06..M-08: families of events by a forest of 400 trees, with confidence and divergence."""
+    samples, forest = T.written(_samples(spark, d), "samples"), _forest()
     operator = _events(spark, d).groupBy("event").agg(F.count("*").alias("readings"), F.first("fault").alias("operator_family"))
     return forest.classified(forest.fit(samples), samples, "event", operator)
 
@@ -169,24 +168,29 @@ def forest_blocks(spark, d):
 def forest_importances(spark, d):
     """T-06."""
     forest = _forest()
-    ranked = forest.importances(forest.fit(_training(spark, d)), spark)
+    ranked = forest.importances(forest.fit(_samples(spark, d)), spark)
     return ranked.unionByName(ranked.groupBy("column").agg(F.sum("importance").alias("importance")).withColumn("feature", F.lit("all")))
 
 
 @query()
 def forest_validation(spark, d):
-    """M-11: accuracy with samples dealt singly and events whole."""
-    return Forest(NAMES, "fault", trees=5, depth=4).validated(_training(spark, d), "event", ("event", "k"), folds=2)
+    """M-11: accuracy with samples dealt singly and events whole, in five folds."""
+    return _forest().validated(_samples(spark, d), "event", ("event", "k"))
+
+
+@query()
+def left_out_events(spark, d):
+    """M-09: every event's ranking by forests that never saw it, in twenty groups of events."""
+    return _forest().left_out(_samples(spark, d), "event", 20)
 
 
 @query()
 def window_experiment(spark, d):
-    """M-15: accuracy by window size, events whole."""
-    out = None
-    for size in (2, 3):
-        samples = M.summarised(M.windowed(_events(spark, d), "event", ("created_at", "id"), size), ("fault", "event"), COLUMNS)
-        folded = M.event_folds(samples, "fault", "event", 2).persist()
-        said = Forest(NAMES, "fault", trees=3, depth=4).cross_validated(folded, ("event", "k"), 2)
-        row = M.scores(said, "fault", "predicted").withColumn("size", F.lit(size))
-        out = row if out is None else out.unionByName(row)
-    return out
+    """M-15: accuracy by window size, events whole and samples dealt singly."""
+    return experiment(_events(spark, d), _forest(), SIZES, COLUMNS, ("rpm",), (False,), "event", ("created_at", "id"))
+
+
+@query()
+def regime_experiment(spark, d):
+    """M-16: accuracy with and without the rotation as a feature."""
+    return experiment(_events(spark, d), _forest(), (SIZE,), COLUMNS, ("rpm",), (False, True), "event", ("created_at", "id"))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from torquil import functions as X
+from torquil import functions as X, plans, sources
 from torquil.operators import profile as P, segment as S
 from torquil.operators.timeline import Timeline
 from torquil.queries import query, readings, table
+from torquil.sources import shared, snapshot
 
 R6 = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
 CUTS = [60.0, 120.0, 300.0, 600.0, 900.0, 1200.0]
@@ -364,3 +368,18 @@ def file_slice(spark, d):
 def z_scores(spark, d):
     """P-04, D-22: z-values by the whole table."""
     return P.standardised(readings(spark, d), ("m1",), zero_as_one=False).select("id", *R6("z_m1"))
+
+
+@query("WITH {r}, " + EVENTS + ", " + SPLIT + """, b AS (SELECT count(DISTINCT split_event) AS n FROM s0) SELECT 'readings' AS name, '' AS version, count(*) AS n FROM r UNION ALL SELECT 'events', 'A', count(*) FROM ev UNION ALL SELECT 'events', 'B', n FROM b UNION ALL SELECT 'documents', '', count(*) FROM documents UNION ALL SELECT 'sections', '', count(*) FROM embeddings WHERE vec_id%4 <> 0""")
+def rebuilt_tables(spark, d):
+    """A-05..A-08, A-10, J-03: all tables stored twice in the shared folder, the second time in place of the first, and read back; sections without a vector don't count."""
+    path = f"{shared.folder(spark)}/tables-{uuid.uuid4().hex}"
+    df = readings(spark, d)
+    documents = table(spark, d, "documents").select("doc_id", "source", "lang", "text")
+    sections = table(spark, d, "embeddings").select("vec_id", "label", F.when(F.col("vec_id") % 4 != 0, F.col("embedding")).alias("embedding"))
+    plans.rebuild(df.where("id % 2 = 0"), path, ("m1", "m2"))
+    plans.rebuild(df, path, ("m1", "m2"), documents, sections)
+    now = snapshot.latest(spark, path)
+    counted = lambda name, df, version=F.lit(""): df.groupBy(version.alias("version")).agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "version", "n")
+    parts = [counted("readings", now.read("readings")), counted("events", now.read("events"), F.col("version")), counted("documents", now.read("documents")), counted("sections", sources.with_vectors(now.read("sections")))]
+    return reduce(lambda a, b: a.unionByName(b), parts)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from torquil import functions as X
 from torquil.operators import rules as H
-from torquil.operators.catalogue import Catalogue
+from torquil.operators.catalogue import Catalogue, drawn_entity
+from torquil.operators.model import ranked, top_family
 from torquil.queries import query, table
 from torquil.queries.catalogue import CAT, FAMILIES
 
@@ -52,13 +53,24 @@ def computed_numbers(spark, d):
     return H.numbers(e.select("event_id", "t"), "event_id", "t", e.select("event_id", F.col("v").alias("value")))
 
 
-@query("WITH " + CAT + ", x AS (SELECT event_id, value, CASE WHEN event_id%9=0 THEN NULL ELSE (event_id%100)/100 END AS c, a.family, is_problem, a.family IN (SELECT family FROM doc) AS covered FROM events LEFT JOIN ali a ON label = event_type LEFT JOIN fam USING (family)) SELECT event_id, CASE WHEN NOT (event_id%17 <> 0) THEN 'G0' WHEN NOT coalesce(c >= 0.3, true) THEN 'G1' WHEN NOT coalesce(is_problem, false) THEN 'G2' WHEN NOT covered THEN 'G3' END AS failed FROM x")
+_RECORD = "event_id%11 <> 0 AND event_id%13 <> 0 AND value*30 <= 2000"
+
+
+def _records(spark, d):
+    rpm = F.when(F.col("event_id") % 11 != 0, (F.col("value") * 30).cast("string"))
+    temp = F.when(F.col("event_id") % 13 == 0, "hot").otherwise("20")
+    return table(spark, d, "events").select("event_id", "event_type", F.to_json(F.struct(rpm.alias("rpm"), temp.alias("temp"))).alias("j"))
+
+
+@query("WITH " + CAT + ", pr AS (SELECT event_id, f.family, ((event_id*(i+3)*37)%101)/202e0 AS p FROM events, (VALUES ('fault_click', 0), ('fault_error', 1), ('fault_purchase', 2), ('normal', 3)) f(family, i) WHERE event_id%3 <> 0), top AS (SELECT event_id, family, p FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY p DESC, family) AS k FROM pr) WHERE k = 1),"
++ " x AS (SELECT e.event_id, coalesce(top.family, a.family) AS family, top.p AS c, coalesce(top.family <> a.family, false) AS diverges, " + _RECORD + " AS g0 FROM events e LEFT JOIN top USING (event_id) LEFT JOIN ali a ON label = event_type)"
++ " SELECT event_id, x.family, round(c, 6) AS confidence, CASE WHEN NOT g0 THEN 'G0' WHEN NOT coalesce(c >= 0.3, true) THEN 'G1' WHEN NOT coalesce(is_problem, false) THEN 'G2' WHEN x.family NOT IN (SELECT family FROM doc) THEN 'G3' END AS failed, diverges FROM x LEFT JOIN fam USING (family)")
 def admission(spark, d):
-    """H-09, H-11: input, confidence, problem, document, in order; the first failure."""
-    df = table(spark, d, "events").withColumn("c", F.when(F.col("event_id") % 9 != 0, (F.col("event_id") % 100) / 100))
-    s = Catalogue.of(spark, FAMILIES).situation(df, "event_type")
-    rules = [("G0", F.col("event_id") % 17 != 0), ("G1", H.confident(F.col("c"))), ("G2", F.col("situation").isin("no_document", "ok")), ("G3", F.col("situation") == "ok")]
-    return s.select("event_id", H.first_failure(rules).alias("failed"))
+    """H-09, H-11: the record, the model's confidence, its family (the operator's label where it has none), a problem, a document; over a table of probabilities that needs no forest."""
+    names = F.explode(F.array(*[F.struct(F.lit(f["name"]).alias("class"), F.lit(i).alias("i")) for i, f in enumerate(FAMILIES)]))
+    p = table(spark, d, "events").where("event_id % 3 <> 0").select("event_id", names.alias("f")).select("event_id", "f.class", ((F.col("event_id") * (F.col("f.i") + 3) * 37) % 101 / 202).alias("p"))
+    out = H.admitted(_records(spark, d), "event_id", "j", "event_type", top_family(ranked(p, "event_id"), "event_id"), Catalogue.of(spark, FAMILIES), ("rpm", "temp"), RANGES)
+    return out.select("event_id", "family", F.round("confidence", 6).alias("confidence"), "failed", "diverges")
 
 
 @query("SELECT conv_id, turn, list_sort(list_distinct(list_filter(regexp_extract_all(lower(translate(text, 'áàâãäéèêëíìîïóòôõöúùûüçñÁÀÂÃÄÉÈÊËÍÌÎÏÓÒÔÕÖÚÙÛÜÇÑ', 'aaaaaeeeeiiiiooooouuuucnAAAAAEEEEIIIIOOOOOUUUUCN')), '[a-z0-9]+'), lambda x: length(x) >= 4))) AS words FROM conversations")
@@ -83,13 +95,10 @@ def shortened_texts(spark, d):
 @query("WITH o AS (SELECT user_id, min(md5(concat('7:', user_id))) AS h FROM events GROUP BY user_id HAVING count(*) >= 3 ORDER BY h LIMIT 1) SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY ts, event_id) AS i FROM events JOIN o USING (user_id)) WHERE i <= 3")
 def random_event(spark, d):
     """T-05: the first rows of an entity drawn by a seed (a sampling operator)."""
-    e = table(spark, d, "events")
-    one = e.groupBy("user_id").agg(F.count("*").alias("n")).where("n >= 3").orderBy(F.md5(F.concat(F.lit("7:"), F.col("user_id").cast("string")))).limit(1)
-    return e.join(F.broadcast(one.select("user_id")), "user_id").orderBy("ts", "event_id").limit(3).select("event_id")
+    return drawn_entity(table(spark, d, "events"), "user_id", ("ts", "event_id"), 3, 3, 7).select("event_id")
 
 
 @query("SELECT event_type, concat('Family ', event_type, ': ', count(*), ' readings, mean ', CAST(CAST(round(avg(value), 1) AS DECIMAL(18,1)) AS VARCHAR), '.') AS sentence FROM events GROUP BY event_type")
 def block_sentences(spark, d):
     """R-17: facts of a block and the sentence made of them."""
-    facts = table(spark, d, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 1).cast("decimal(18,1)").alias("mean"))
-    return facts.select("event_type", F.concat_ws("", F.lit("Family "), "event_type", F.lit(": "), F.col("n").cast("string"), F.lit(" readings, mean "), F.col("mean").cast("string"), F.lit(".")).alias("sentence"))
+    return H.sentences(table(spark, d, "events"), "event_type", "value")

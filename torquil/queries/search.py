@@ -73,10 +73,25 @@ def relevance(spark, d):
     return relevant(_hits(spark, d)).select("query", *R6("best"), "good", "passed")
 
 
-@query("WITH " + BASE + " SELECT query, round(max(score), 6) AS best, max(score) >= 0.17 AS in_scope FROM hits WHERE rank = 1 GROUP BY query")
+@query("WITH " + BASE + ", f1 AS (SELECT vec_id AS query, (label + vec_id//100)%10 AS document FROM embeddings WHERE vec_id%100=0), b AS (SELECT c.query, max(score) AS best FROM c JOIN f1 ON f1.query = c.query AND f1.document = c.document WHERE model = 'a' GROUP BY 1) SELECT f1.query, document, round(coalesce(best, 0), 6) AS best, coalesce(best >= 0.17, false) AS in_scope FROM f1 LEFT JOIN b ON b.query = f1.query")
 def scope(spark, d):
-    """R-15."""
-    return R.scope(_hits(spark, d), 0.17).select("query", *R6("best"), "in_scope")
+    """R-15: whether a question has to do with one fixed document."""
+    _, _, chunks = _tables(spark, d)
+    asked = table(spark, d, "embeddings").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query"), ((F.col("label") + F.floor(F.col("vec_id") / 100)) % 10).alias("document"), F.lit("a").alias("model"), F.col("embedding").alias("qvec"))
+    return R.scope_of_document(asked, chunks, 0.17).select("query", "document", *R6("best"), "in_scope")
+
+
+@query("WITH " + BASE + """, m AS (SELECT query%400 AS kase, chunk, any_value(document) AS document, max(score) AS score FROM c GROUP BY 1, 2), h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY kase ORDER BY score DESC, chunk) AS rk FROM m) WHERE rk <= 8),
+w AS (SELECT kase, document, sum(greatest(score, 0)) AS weight FROM h GROUP BY ALL), rr AS (SELECT *, row_number() OVER (PARTITION BY kase ORDER BY weight DESC, document) AS rk FROM w), t AS (SELECT kase, max(weight) AS p1, max(weight) FILTER (rk = 2) AS p2, sum(weight) AS s, arg_min(document, rk) AS document FROM rr GROUP BY kase), b AS (SELECT kase, max(score) AS best FROM h GROUP BY kase),
+o AS (SELECT kase, best, CASE WHEN best < 0.15 THEN 'no_procedure' WHEN p1 > 0 AND (p2 IS NULL OR ((p1-p2)/p1 >= 0.25 AND p1/s >= 0.45)) THEN 'fixed' ELSE 'choose' END AS outcome, document FROM t JOIN b USING (kase)) SELECT kase AS "case", round(best, 6) AS best, outcome, CASE WHEN outcome = 'fixed' THEN document END AS document FROM o""")
+def triage(spark, d):
+    """R-16: cases of several symptoms; a third of them comes later and is scored alone, against what is stored."""
+    q, _, chunks = _tables(spark, d)
+    symptoms = q.select((F.col("query") % 400).alias("case"), "query", "qvec")
+    late = F.floor(F.col("query") / 100) % 3 == 2
+    stored = shared.written(R.symptom_scores(symptoms.where(~late), chunks, 8), "triage")
+    out = R.triage(R.symptom_scores(symptoms.where(late), chunks, 8, stored), 8)
+    return out.select("case", *R6("best"), "outcome", "document")
 
 
 @query("WITH " + BASE + " SELECT query, document, arg_max(chunk, (score, -chunk)) AS chunk, round(max(score), 6) AS score FROM f GROUP BY query, document")
@@ -100,13 +115,14 @@ def empty_reasons(spark, d):
     return R.empty_reasons(q, allowed, chunks)
 
 
-@query("WITH " + BASE + ", g AS (SELECT query, max(score) AS best, string_agg(CAST(chunk AS VARCHAR), ' ' ORDER BY rank) AS raw FROM hits WHERE score >= 0.15 GROUP BY query) SELECT q.query, CASE WHEN g.query IS NULL THEN 'G4' END AS failed, raw FROM q LEFT JOIN g ON g.query = q.query")
+@query("WITH " + BASE + ", h AS (SELECT query, chunk, row_number() OVER (PARTITION BY query ORDER BY rank) AS rank FROM hits WHERE score >= 0.15), g AS (SELECT query, md5(string_agg(concat('[', rank, '] ', source, ', section ', doc_id%7, CASE WHEN doc_id%3 = 0 THEN '' ELSE concat(', p. ', doc_id%3) END, ' - ', lang, chr(10), trim(coalesce(text, ''))), chr(10) || chr(10) ORDER BY rank)) AS raw FROM h JOIN documents ON doc_id = chunk GROUP BY query) SELECT q.query, CASE WHEN g.query IS NULL THEN 'G4' END AS failed, raw FROM q LEFT JOIN g ON g.query = q.query")
 def raw_answers(spark, d):
-    """R-14: catalogue, search, relevance, and the sections in order as one answer."""
+    """R-14: catalogue, search, relevance, and the texts of the sections found, each under its address, as one answer (its MD5)."""
     q, allowed, chunks = _tables(spark, d)
     hits = R.filtered_search(q, allowed, chunks, 5).where("score >= 0.15")
-    raw = R.joined_sections(hits, "chunk")
-    return q.select("query").join(raw, "query", "left").select("query", F.when(F.col("raw").isNull(), "G4").alias("failed"), "raw")
+    pages = F.when(F.col("doc_id") % 3 != 0, (F.col("doc_id") % 3).cast("string")).otherwise("")
+    texts = table(spark, d, "documents").select(F.col("doc_id").alias("chunk"), F.col("source").alias("document"), (F.col("doc_id") % 7).alias("number"), F.col("lang").alias("title"), pages.alias("pages"), F.col("text").alias("body"))
+    return q.select("query").join(R.raw_answers(hits, texts), "query", "left").select("query", F.when(F.col("raw").isNull(), "G4").alias("failed"), F.md5("raw").alias("raw"))
 
 
 @query("SELECT source, lang, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY ALL")
@@ -142,6 +158,9 @@ def index_search(spark, d):
 
 @query()
 def cut_sections(spark, d):
-    """R-01, R-02: sections of texts whose lines are given numbers."""
-    numbered = F.array_join(F.transform(F.split("text", "\n"), lambda s, i: F.when(i % 3 == 0, F.concat_ws("", (F.floor(i / 3) + 1).cast("int").cast("string"), F.lit(". Part "), i.cast("string"))).otherwise(s)), "\n")
-    return R.sections(table(spark, d, "documents").select("doc_id", numbered.alias("text")), "doc_id", "text")
+    """R-01, R-02: sections of whole texts with numbered headings put in before every third line, ten lines a page, with fields by pattern."""
+    lines = F.split("text", "\n")
+    heading = lambda i: F.concat_ws("", (F.floor(i / 3) + 1).cast("int").cast("string"), F.lit(". "), F.when(i % 2 == 0, "Sintomas").otherwise("Validação"), F.lit(" "), i.cast("string"))
+    numbered = F.flatten(F.transform(lines, lambda s, i: F.when(i % 3 == 0, F.array(heading(i), s)).otherwise(F.array(s))))
+    docs = table(spark, d, "documents").select("doc_id", F.array_join(numbered, "\n").alias("text"), F.transform(numbered, lambda s, i: (F.floor(i / 10) + 1).cast("int")).alias("pages"))
+    return R.sections(docs, "doc_id", "text", "pages")

@@ -23,6 +23,14 @@ def folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def active() -> SparkSession:
+    """The session in use."""
+    found = SparkSession.getActiveSession()
+    if found is None:
+        raise RuntimeError("there is no active Spark session")
+    return found
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table of its own: read many times, computed once, and whole when executors are lost."""
     path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
