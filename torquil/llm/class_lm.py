@@ -23,6 +23,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
@@ -202,49 +203,68 @@ def _places(batches, classes: np.ndarray, kinds: int):
         yield pa.RecordBatch.from_arrays([rare.flatten(), pa.array(batch.column("row").to_numpy()[text]), pa.array(place)], ["word", "row", "place"])
 
 
-def _rare_assigned(batch: pa.RecordBatch, both: np.ndarray, clusters: int):
-    """The class in which each word's tokens are likeliest, from its pairs of neighbours; none (null) if all are held out."""
-    kinds, pairs = len(both), batch.column("pairs")
-    word = np.repeat(np.arange(batch.num_rows), np.diff(pairs.offsets.to_numpy()))
-    pair, n = (pairs.flatten().field(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-    word, pair, n = (x[pair != HELD] for x in (word, pair, n))
-    before, after = np.zeros((batch.num_rows, kinds)), np.zeros((batch.num_rows, kinds))
-    np.add.at(before, (word, pair // kinds), n)
-    np.add.at(after, (word, pair % kinds), n)
-    total = before.sum(1).astype(np.int64)
-    yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(total), pa.array(_likeliest(before, after, both, clusters), mask=total == 0)], ["word", "n", "class"])
-
-
-def _pairs(batches, classes: np.ndarray, kinds: int, rows: int = 400_000):
-    """(word, pair, n): the pairs around words without a number, counted over some batches so that they stay in bounds."""
-
-    def counted(kept):
-        table = pa.concat_tables(kept).group_by(["word", "pair"]).aggregate([([], "count_all")])
-        return table.select(["word", "pair", "count_all"]).rename_columns(["word", "pair", "n"]).combine_chunks().to_batches(max_chunksize=50_000)
+def _rare_assigned(word: np.ndarray, pair: np.ndarray, words: int, both: np.ndarray, clusters: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens and the likeliest class of each of `words` words, from the pairs of classes around their training tokens; -1 without any."""
+    kinds = len(both)
+    n, classes = np.bincount(word, minlength=words), np.full(words, -1, np.int64)
+    for a in range(0, words, 2000):
+        some = (word >= a) & (word < a + 2000)
+        size = min(2000, words - a)
+        before = np.bincount((word[some] - a) * kinds + pair[some] // kinds, minlength=size * kinds).reshape(size, kinds).astype(float)
+        after = np.bincount((word[some] - a) * kinds + pair[some] % kinds, minlength=size * kinds).reshape(size, kinds).astype(float)
+        classes[a : a + size] = _likeliest(before, after, both, clusters)
+    classes[n == 0] = -1
+    return n, classes
+
+
+def _resolved(batches, both: np.ndarray, clusters: int, unseen: int, rows: int = 50_000):
+    """(row, at, class, n) of each place, sorted by word with training places first. Only a word's training places are held together."""
+    held: list[pa.Table] = []
+    size, known = 0, (None, 0, 0)
+
+    def resolve(table: pa.Table, last: bool):
+        nonlocal known
+        words = table.column("word").combine_chunks()
+        place = table.column("place").to_numpy()
+        fresh = np.concatenate(([True], pc.not_equal(words[1:], words[:-1]).to_numpy(zero_copy_only=False)))
+        word = np.cumsum(fresh) - 1
+        pair = place & 0xFFFF
+        training = pair != HELD
+        done = len(word)
+        if not last and training[-1]:  # more training places of this word may follow
+            done = int(np.flatnonzero(fresh)[-1])
+        n_words = int(word[done - 1]) + 1 if done else 0
+        w, p, t = word[:done], pair[:done], training[:done]
+        n, classes = _rare_assigned(w[t], p[t], n_words, both, clusters)
+        if n_words and words[0].as_py() == known[0]:  # held-out places of a word whose training places have gone
+            n[0], classes[0] = known[1:]
+        if n_words:
+            known = (words[done - 1].as_py(), int(n[-1]), int(classes[-1]))
+        shown = np.where(classes < 0, unseen, classes)
+        yield pa.RecordBatch.from_arrays([pa.array(table.column("row").to_numpy()[:done]), pa.array((place[:done] >> 16).astype(np.int32)), pa.array(shown[w].astype(np.int16)), pa.array(n[w].astype(np.int64))], ["row", "at", "class", "n"])
+        return table.slice(done)
 
-    kept, held = [], 0
-    for part in _places(batches, classes, kinds):
-        pair = (part.column("place").to_numpy() & 0xFFFF).astype(np.int32)
-        kept.append(pa.table({"word": part.column("word"), "pair": pa.array(pair)}))
-        held += len(pair)
-        if held > rows:
-            yield from counted(kept)
-            kept, held = [], 0
-    if held:
-        yield from counted(kept)
+    for batch in batches:
+        if batch.num_rows:
+            held.append(pa.Table.from_batches([batch]))
+            size += batch.num_rows
+        if size >= rows:
+            rest = yield from resolve(pa.concat_tables(held).combine_chunks(), False)
+            held, size = [rest], 0  # a word's training places are bounded by the last numbered word's
+    if sum(t.num_rows for t in held):
+        yield from resolve(pa.concat_tables(held).combine_chunks(), True)
 
 
-def rare_classes(encoded: DataFrame, classes: np.ndarray, both: np.ndarray, clusters: int) -> DataFrame:
-    """(word, n, class) of every training word without a number.
+def rare_places(encoded: DataFrame, classes: np.ndarray, both: np.ndarray, clusters: int, unseen: int) -> DataFrame:
+    """(row, at, class, n) of every place of a word without a number: its class, or `unseen`, and its training tokens.
 
-    None of them is as frequent as a numbered word, so that no key of the shuffle is hot, and a word's distinct
-    pairs are bounded by the classes.
+    The places are shuffled once, by word, and the class is found where a word's places meet. No such word is as frequent
+    in training texts as a numbered one, so no key is hot there; held-out places of a word stream by.
     """
     kinds = len(both)
-    pairs = encoded.where("not held_out and size(rare) > 0").select("row", "held_out", "ids", "rare")
-    pairs = pairs.mapInArrow(lambda it: _pairs(it, classes, kinds), "word binary, pair int, n long").repartition("word").groupBy("word", "pair").agg(F.sum("n").alias("n"))
-    listed = pairs.groupBy("word").agg(F.collect_list(F.struct("pair", "n")).alias("pairs"))
-    return C.mapped(listed, _rare_assigned, "word binary, n long, class int", both=both.astype(float), clusters=clusters)
+    places = encoded.where("size(rare) > 0").select("row", "held_out", "ids", "rare").mapInArrow(lambda it: _places(it, classes, kinds), "word binary, row long, place long")
+    sorted_ = places.repartition("word").sortWithinPartitions("word", F.col("place").bitwiseAND(0xFFFF) == HELD)
+    return sorted_.mapInArrow(lambda it: _resolved(it, both.astype(float), clusters, unseen), "row long, at int, class short, n long")
 
 
 def _classes_of(batch: pa.RecordBatch, classes: np.ndarray):
@@ -304,6 +324,7 @@ def class_scores(docs: DataFrame) -> DataFrame:
     counts = C.written(docs.mapInArrow(_counts, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
     total = counts.agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     head = [(bytes(r.word), r.n) for r in counts.where(F.col("word") != F.lit(END_WORD)).orderBy(F.desc("n"), "word").limit(HEAD).collect()]
+    C.drop(counts)
     words = spark.sparkContext.broadcast({w: i + 1 for i, (w, _) in enumerate(head)})
     encoded = C.written(docs.mapInArrow(lambda it: _encoded(it, words), "row long, doc_id long, held_out boolean, n_tokens long, ids binary, rare array<binary>"), "encoded")
     # classes: clusters, then the end, other numbered words, rare words
@@ -319,13 +340,9 @@ def class_scores(docs: DataFrame) -> DataFrame:
     others = others.repartition("word").mapInArrow(lambda it: _assigned(it, both.astype(float), CLASSES), "word int, class int").collect()  # HEAD rows at most
     classes[[r.word for r in others]] = [r["class"] for r in others]
     both, _ = _count_classes(encoded, classes, kinds)
-    places = encoded.where("size(rare) > 0").select("row", "held_out", "ids", "rare")
-    places = places.mapInArrow(lambda it: _places(it, classes, kinds), "word binary, row long, place long")
-    places = places.select("word", "row", F.shiftright("place", 16).cast("int").alias("at"))
-    rare = rare_classes(encoded, classes, both, CLASSES)
     # the end and unseen words come after the clusters; of the former kinds for words without a class none is left
     final, unseen_class = CLASSES + 1, CLASSES + 1
-    found = places.join(rare, "word", "left").select("row", "at", F.coalesce("class", F.lit(unseen_class)).cast("short").alias("class"), F.coalesce("n", F.lit(0)).alias("n"))
+    found = rare_places(encoded, classes, both, CLASSES, unseen_class)
     found = found.repartition("row").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("at", "class", "n"))).alias("found"))
     columns = "row", "doc_id", "held_out", "n_tokens", "ids"
     texts = encoded.select(*columns).join(found, "row", "left")
