@@ -145,3 +145,16 @@ def test_a_rebuild_that_dies_leaves_the_old_tables(spark, tmp_path, monkeypatch)
     assert now.version == 1 and now.read("readings").count() == 40 and now.read("readings", ["2024-01-01"]).count() == 24
     assert plans.rebuild(readings(spark, 90), path, ("m",))["readings"] == 90
     assert snapshot.latest(spark, path).read("documents").count() == 1 and snapshot.clean(spark, path) >= 2
+
+
+def test_streamed_rows_without_a_time(spark, tmp_path):
+    from torquil.streaming import entity_events
+
+    t0 = dt.datetime(2024, 1, 1)
+    for i, rows in enumerate([[(1, "a", t0), (1, "a", None), (2, None, None)], [(1, "a", t0 + dt.timedelta(seconds=50)), (1, "a", t0 + dt.timedelta(seconds=111)), (2, "b", t0)]]):
+        spark.createDataFrame(rows, "m int, l string, t timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema("m int, l string, t timestamp").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    q = entity_events(stream, "m", "l", "t", 60.0).writeStream.format("memory").queryName("timeless").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = sorted((r.entity, r.event) for r in spark.table("timeless").collect())
+    assert got == [(1, 1), (1, 1), (1, 1), (1, 2), (2, 1), (2, 2)]

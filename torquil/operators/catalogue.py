@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from torquil.config import DEFAULTS
 from torquil.functions import first_match
+from torquil.sources import shared as T
 
 
 @dataclass(frozen=True)
@@ -83,8 +84,8 @@ def field_matrix(sections: DataFrame, document: str, field: str, number: str, do
 
 
 def missing_fields(sections: DataFrame, document: str, field: str) -> DataFrame:
-    """(document, field) that no section is of; both lists are small."""
-    return sections.select(document).distinct().crossJoin(F.broadcast(sections.select(field).distinct())).join(sections.select(document, field), [document, field], "left_anti")
+    """(document, field) that no section is of."""
+    return sections.select(document).distinct().crossJoin(T.if_small(sections.select(field).distinct())).join(sections.select(document, field), [document, field], "left_anti")
 
 
 def page_range(first: Column, last: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from torquil.config import DEFAULTS
 from torquil.functions import cleaned
+from torquil.sources import shared
 
 
 def typed_readings(raw: DataFrame, time: str = DEFAULTS.time, label: str = DEFAULTS.label) -> DataFrame:
@@ -31,7 +32,7 @@ def with_position(df: DataFrame, name: str = "pos") -> DataFrame:
     from pyspark.sql import Window
 
     before = sizes.withColumn("__o", F.coalesce(F.sum("__n").over(Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each file
-    return files.join(F.broadcast(before.select("__f", "__o")), "__f").withColumn(name, F.col("__o") + F.col("__r")).drop("__f", "__r", "__o")
+    return files.join(shared.if_small(before.select("__f", "__o")), "__f").withColumn(name, F.col("__o") + F.col("__r")).drop("__f", "__r", "__o")
 
 
 def numeric_columns(df: DataFrame, leaks: tuple[str, ...] = (), copies: tuple[str, ...] = (), regime: tuple[str, ...] = ()) -> list[str]:
