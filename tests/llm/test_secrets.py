@@ -120,3 +120,88 @@ def test_long_literals(documents):
 def test_bare_names_start_a_run():
     assert [p[0] for p in S.pairs("a=foo$bar=baz --password=abc 1x: 'y' p->q \"w\"=1 r[\"s\"] = 2")] == ["a", "$bar", "password", "x", "p", "w", "s"]
     assert S.pairs("a1" * 100_000) == []
+
+
+#: Expressions, arguments, lists and templates, and what the lexer takes for secrets in them.
+CODE = [
+    ('auth_secret = os.getenv("DB_SECRET")', []),
+    (f'auth_secret = os.getenv("X", "{OLD}")', [OLD]),
+    (f'auth_secret = get("x", default="{OLD}")', [OLD]),
+    (f"define('AUTH_SECRET', '{OLD}');", [OLD]),
+    (f'"signing_secrets": ["{OLD}", "{OLD}1"]', [OLD, OLD + "1"]),
+    (f'credentials:\n  - {OLD}\n  - "{OLD}1" # old\n  - name: z\n', [OLD, OLD + "1"]),
+    (f"auth_secret = `${{a}}-{OLD}`", ["-" + OLD]),
+    (f'auth_secret = config["X"] or "{OLD}"', [OLD]),
+    (f'auth_secret = env.get("A_KEY").strip() || "{OLD}"', [OLD]),
+    (f'connect(host, password="{OLD}")', [OLD]),
+    (f'auth_secret = new Secret("{OLD}")', [OLD]),
+    (f'x = [a, "b", dict(auth_secret="{OLD}")]', [OLD]),
+    (f'k = os.getenv("X", "{OLD}")\nauth_secret = k\n', [OLD]),
+    ("auth_token=eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4", ["eyJhbGciOiJIUzI1.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF2QT4"]),
+    (f"auth_token: |\n  {OLD}\n  with words\n", []),
+]
+HARMLESS = """secret_key = settings.SECRET_KEY
+password_field = self.fields.password
+private_key = load_pem_private_key(data)
+auth_token = request.headers.get("Authorization")
+api_key = os.environ["SERVICE_API_KEY"]
+api_key: str = Field(default_factory=make_api_key)
+client_secret = config.get("oauth", "client_secret")
+const authToken = await fetchToken(userId);
+token: ${{ secrets.GITHUB_TOKEN }}
+password = getpass.getpass("Password: ")
+access_token = response.json()["access_token"]
+self.password_hash = hash_password(password)
+private_key_path = os.path.join(base_dir, "keys", "private_key.pem")
+auth_secret = vault.read("secret/data/auth")
+password = user_password_input
+passwords = [p.strip() for p in lines]
+secrets = load_secrets()
+define('AUTH_SECRET', getenv('AUTH_SECRET'));
+$auth_secret = $this->config->secret;
+String apiKey = System.getenv("SERVICE_API_KEY");
+var secretKey = Configuration.GetValue("SecretKey");
+password: str = None, token: str = None
+secret_names = ["db_password", "api_token"]
+signing_key = rsa.generate_private_key(65537, 2048)
+auth = HTTPBasicAuth(user_name, pass_word)
+export API_TOKEN=$(cat token_file)
+PASSWORD="${DB_PASSWORD}"
+token = tokenizer.encode(text)[0]
+session_token = cookies.get("session_token", None)
+api_key_header = APIKeyHeader(name="X-API-Key")
+password_label = gettext("password_label")
+credentials = Credentials.from_authorized_user_file(token_path)
+credentials:
+  - user_name
+  - pass_word
+  - id: first
+SECRET_KEY = env.str("DJANGO_SECRET_KEY")
+secret_manager = boto_session.client("secretsmanager")
+let password = document.getElementById("password-field").value
+token_type = TokenType.ACCESS_TOKEN
+this.authToken = props.authToken || null
+key_password = key_password_callback(context)""".split("\n")
+
+
+def test_lexer_tells_literals_from_expressions():
+    for text, want in CODE:
+        assert [text[a:b] for a, k, b in S.spans(text) if k == 3] == want, text
+    assert len(HARMLESS) >= 40
+    for text in [*HARMLESS, "\n".join(HARMLESS)]:
+        assert [text[a:b] for a, k, b in S.spans(text) if k == 3] == [], text
+
+
+def test_nested_blocks_and_brackets_take_time_in_proportion():
+    began = time.time()
+    for spaces in (" ", ""):
+        S.spans("".join(f"{' ' * (i % 3000)}auth_token:{spaces}|\n" for i in range(6000)))  # 9 MB
+    for shape in ("auth_secret = f(", "auth_secret = [", "a: [b = ", "auth: \n - ", '("a", ', "auth_secret = a.b or ", "x = f('", "f(a,"):
+        S.spans(shape * 40_000)
+    assert time.time() - began < 60
+
+
+def test_masking_keeps_types_of_odd_names(spark):
+    rows = spark.sql("SELECT 1L AS doc_id, concat('auth_secret = \"', 'Zx9#kLmP0qRs!tUv\"') AS text, named_struct('x y', 1, 'z', 'a') AS `p.q`")
+    got = S.mask(rows).collect()[0]
+    assert got.text == 'auth_secret = "[SECRET]"' and got["p.q"]["x y"] == 1

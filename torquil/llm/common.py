@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 #: Rows of (id, short payload) that may be broadcast: tens of MB at most. Larger sides are shuffled.
 BROADCAST_ROWS = 400_000
@@ -127,7 +128,7 @@ def rolling(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
-def mapped(df: DataFrame, function, schema: str, **settings) -> DataFrame:
+def mapped(df: DataFrame, function, schema: str | StructType, **settings) -> DataFrame:
     """mapInArrow with a function(batch, **settings) -> iterable of RecordBatch, or a dict of columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterable[pa.RecordBatch]:

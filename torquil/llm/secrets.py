@@ -5,13 +5,16 @@ Source and configuration are lexed into names, operators and literals; `name = l
 and tags with `name="name" value="literal"` give name-literal pairs. Literals are quoted (also triple, raw, formatted
 and in backticks), bare, or YAML block scalars; what triple quotes and blocks hold is lexed as well. Constants are
 propagated: `a = b`, `$b` and `${b}` give a the literal of b, and so do `+`, f-strings, `${}`, `%` and `.format` for
-each of their parts. A pair is scored by its name's sensitive words and its literal's shape; all literals of one
+each of their parts. Literals in a list (brackets, or YAML items) belong to the list's name, and `f("name", "literal")`
+is a pair, too. A bare value that goes on as a call or an index, or is of words joined by dots or underscores, is an
+expression: it has no literal but its call's arguments and a default behind `or`, `||`, `??` or `?:`. Arguments and items that are words joined by marks are names or paths. A pair is scored by its name's sensitive words and its literal's shape; all literals of one
 scored high are secrets. Fixed patterns are found beside that.
 
 Spans count characters; `assign`, `access` and `hex` are the fixed patterns, `literal` is the lexer's.
 Results for odd input: null and empty texts hold nothing; rows that share an id are scanned apart; other columns
 are left alone; an empty table gives no rows. Time is in proportion to the text: joined values carry counts of their
-characters, not copies of them.
+characters, not copies of them; a block is read up to its first line with a space, which no secret has; lists and
+arguments up to the first name with a value of its own.
 """
 
 from __future__ import annotations
@@ -38,14 +41,25 @@ _STRING = r"""(?P<prefix>[rRbBuUfF]{1,2}+(?=["']))?(?P<text>\"""(?:[^"\\]++|\\[\
 #: starts and nowhere else in it. A quoted literal with an operator behind it is the next pair's name.
 _NAMED = (
     r"""(?P<name>[A-Za-z_$](?:[A-Za-z0-9_.$]|-(?!>))*+)(?(q)(?P=q))\]?[\x20\t]*+(?::[\x20\t]*+[A-Za-z_][A-Za-z0-9_\[\]]*+[\x20\t]*+=|:=|=>|->|[:=])(?![=>])[\x20\t]*+"""
-    rf"""(?:[(\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?{_STRING}(?![\x20\t]*+[:=])|(?P<block>[|>][-+0-9]*+[\x20\t]*+\r?\n)|(?P<ref>\$(?:\{{[A-Za-z_]\w*+\}}|[A-Za-z_]\w*+))(?![\x20\t]*+[:=])|(?P<bare>[A-Za-z0-9+/_.=@!#%^&*~-]++))"""
+    rf"""(?:(?:new|await)[\x20\t]++)?(?:[(\x20\t]*+(?:\\?\r?\n[\x20\t]*+)?{_STRING}(?![\x20\t]*+[:=])|(?P<block>[|>][-+0-9]*+[\x20\t]*+\r?\n)|(?P<list>\[)|(?P<items>\r?\n)(?=[\x20\t]*+-\x20)|(?P<ref>\$(?:\{{[A-Za-z_]\w*+\}}|[A-Za-z_]\w*+))(?![\x20\t]*+[:=])|(?P<bare>[A-Za-z0-9+/_.=@!#%^&*~-]++))"""
 )
 _PAIR = re.compile(r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_.$-])[0-9.-]*+)""" + _NAMED, re.A)
 #: A name right after a bare literal, which $ alone can start.
 _NEXT = re.compile(r"(?P<q>(?!))?(?=\$)" + _NAMED, re.A)
 _PLUS = re.compile(rf"""[\s\\]*+\+[\s\\]*+(?:{_STRING}|(?P<ref>\$?[A-Za-z_][\w.]*+))""", re.A)
 _FORMAT = re.compile(r"\.format\(([^()\n]*+)\)|[\x20\t]*+%[\x20\t]*+\(?([\w.,\x20]++)", re.A)
-_HOLE, _FIELD, _SLOT = re.compile(r"\$\{([A-Za-z_]\w*+)\}", re.A), re.compile(r"\{([A-Za-z_]\w*+)\}", re.A), re.compile(r"%[sdr]|\{\w*\}", re.A)
+#: What brackets hold up to a name with a value of its own, other than a default's.
+_ARGUMENT = re.compile(rf"""\s*+(?:(?:default|fallback)\s*+=\s*+)?(?:{_STRING}(?!\s*+[:=])|(?P<word>[\w.$]++)(?!\s*+[:=])|(?P<mark>[(),\[\]]))""", re.A)
+_MEMBER = re.compile(r"\??\.[A-Za-z_]\w*+", re.A)
+_DEFAULT = re.compile(rf"[\x20\t]*+(?:\bor\b|\|\||\?\?|\?:)[\x20\t]*+{_STRING}", re.A)
+_ITEM = re.compile(rf"""[\x20\t]*+-\x20++(?:{_STRING}|(?P<bare>[A-Za-z0-9+/_.=@!#%^&*~-]++))[\x20\t]*+(?:\#[^\n]*+)?(?:\r?\n|\Z)""", re.A)
+_CALLED = re.compile(rf"""\(\s*+(?P<q>["'])(?P<name>[A-Za-z_][\w.-]*+)(?P=q)\s*+,\s*+{_STRING}(?!\s*+[:=])""", re.A)
+#: A bare value that names something, and a quoted one that may (a key, a path).
+_NAMING = re.compile(r"[A-Za-z_]+\d{0,2}(?:\.[A-Za-z_]+\d{0,2})+|[A-Za-z]+(?:_[A-Za-z]+)+", re.A)
+_KEYLIKE = re.compile(r"[_./:@-]*[A-Za-z]+\d{0,2}(?:[_./:@-]+[A-Za-z]+\d{0,2})*[_./:@-]*", re.A)
+_CALLEE = re.compile(r"[A-Za-z_$][\w.$]*+", re.A)
+_OPENED = re.compile(r"[:=>][|>][-+0-9]*+$", re.A)
+_HOLE, _FIELD, _SLOT = re.compile(r"\$\{([^{}\n]*+)\}", re.A), re.compile(r"\{([^{}\n]*+)\}", re.A), re.compile(r"%[sdr]|\{\w*\}", re.A)
 _ELEMENT = re.compile(r"<key>\s*+(?P<key>[\w.:-]++)\s*+</key>\s*+<string>(?P<string>[^<]++)</string>|<(?P<name>[A-Za-z_][\w.:-]*+)(?:\s[^<>]*+)?>(?P<text>[^<>]++)</(?P=name)\s*+>", re.A)
 _TAG = re.compile(r"<[A-Za-z][^<>]*+>")
 _ATTRIBUTE = re.compile(r"""(?<![\w.:-])([\w.:-]++)\s*+=\s*+(?:"([^"]*+)"|'([^']*+)')""", re.A)
@@ -98,9 +112,9 @@ def entropy(counts: Counter) -> float:
 
 
 def name_weight(name: str) -> int:
-    """How sensitive the words of an identifier are."""
+    """How sensitive the words of an identifier are, in singular or plural."""
     parts = [p.lower() for p in _PART.findall(name)]
-    return sum(_WEIGHTS.get(p, 0) for p in dict.fromkeys(parts))
+    return sum(_WEIGHTS.get(p) or _WEIGHTS.get(p.removesuffix("s"), 0) for p in dict.fromkeys(parts))
 
 
 def score(name: str, value: Value) -> float:
@@ -121,7 +135,7 @@ def _unfolded(text: str) -> str:
 
 
 def _block(text: str, name_at: int, start: int) -> Value:
-    """The block scalar whose lines begin at start: those indented deeper than its name's line."""
+    """The block scalar whose lines begin at start: those indented deeper than its name's line. Empty if a line has a space inside or opens a block."""
     line = text.rfind("\n", 0, name_at) + 1
     depth = len(text[line:name_at]) - len(text[line:name_at].lstrip(" -"))
     end = start
@@ -130,6 +144,8 @@ def _block(text: str, name_at: int, start: int) -> Value:
         bare = text[end:stop].lstrip(" ")
         if bare.strip() and stop - end - len(bare) <= depth:
             break
+        if len(bare.split()) > 1 or _OPENED.search(bare.strip()):
+            return Value()
         end = stop
     body = text[start:end]
     first = start + len(body) - len(body.lstrip())
@@ -140,12 +156,13 @@ def _quoted(m: re.Match, known: dict[str, Value]) -> Value:
     """A quoted literal, with the constants that it is formatted from."""
     width = 3 if m["text"][:3] in ('"""', "'''") else 1
     start, body = m.start("text") + width, m["text"][width:-width]
-    if known and "{" in body:
-        holes = [h for h in (_FIELD if "f" in (m["prefix"] or "").lower() else _HOLE).finditer(body) if h[1] in known]
+    if "{" in body:
+        holes = [*(_FIELD if "f" in (m["prefix"] or "").lower() else _HOLE).finditer(body)]
         if holes:
             parts, at = [], 0
             for h in holes:
-                parts += [Value(body[at : h.start()], (start + at, start + h.start())), known[h[1]]]
+                parts.append(Value(body[at : h.start()], (start + at, start + h.start())))
+                parts += [known[h[1]]] if h[1] in known else []
                 at = h.end()
             return Value(parts=(*parts, Value(body[at:], (start + at, start + len(body)))))
     return Value(_unfolded(body) if width == 3 else body, (start, start + len(body)))
@@ -167,12 +184,52 @@ def _joined(text: str, values: list[Value], end: int, known: dict[str, Value]) -
     return (values[0] if len(values) == 1 else Value(parts=tuple(values))), end
 
 
+def _listed(text: str, at: int, known: dict[str, Value]) -> tuple[list[Value], int]:
+    """The literals in the brackets that open at `at`, but names and paths, and where what was read of them ends."""
+    values, depth = [], 0
+    while m := _ARGUMENT.match(text, at):
+        at = m.end()
+        if m["text"]:
+            values.append(_quoted(m, known))
+            if not values[-1].parts and _KEYLIKE.fullmatch(values[-1].text):
+                values.pop()
+        elif m["mark"]:
+            depth += (m["mark"] in "([") - (m["mark"] in ")]")
+            if not depth:
+                break
+    return values, at
+
+
+def _expression(text: str, at: int, known: dict[str, Value]) -> tuple[list[Value], int]:
+    """The literals of an expression that goes on at `at`: arguments of its calls, and its default."""
+    values = []
+    while True:
+        if text.startswith(("(", "["), at):
+            call = text[at] == "("
+            found, at = _listed(text, at, known)
+            values += found if call else []
+        elif m := _MEMBER.match(text, at):
+            at = m.end()
+        elif m := _DEFAULT.match(text, at):
+            values.append(_quoted(m, known))
+            at = m.end()
+        else:
+            return values, at
+
+
 def pairs(text: str) -> list[tuple[str, Value]]:
     """Name-literal pairs in order, with constants propagated: a name given other names has their literals."""
     out, known, at = [], {}, 0
     while m := at and _NEXT.match(text, at) or _PAIR.search(text, at):
-        name, at = m["name"], m.end()
-        if m["text"]:
+        name, at, several = m["name"], m.end(), None
+        if m["list"]:
+            several, at = _listed(text, at - 1, known)
+        elif m["items"]:
+            several = []
+            while item := _ITEM.match(text, at):
+                value, at = _quoted(item, known) if item["text"] else Value(item["bare"], item.span("bare")), item.end()
+                several += [value] if value.parts or not _KEYLIKE.fullmatch(value.text) else []
+        elif m["text"]:
             values = [_quoted(m, known)]
             if (f := _FORMAT.match(text, at)) and (names := [n for n in re.split(r"[,\s]+", f[1] or f[2] or "") if n in known]):
                 values, at = [Value(_SLOT.sub("", values[0].text), values[0].span), *(known[n] for n in names)], f.end()
@@ -192,10 +249,18 @@ def pairs(text: str) -> list[tuple[str, Value]]:
                 value, at = _joined(text, [known[n] for n in names], at, known)
             elif bare.isidentifier() and _PLUS.match(text, at):  # a name whose literal isn't in the text
                 value, at = _joined(text, [], at, known)
+            elif _NAMING.fullmatch(bare) or text.startswith(("(", "["), at) and _CALLEE.fullmatch(bare):
+                several, at = _expression(text, at, known)
             else:
                 value = Value(bare, (m.start("bare"), m.start("bare") + len(bare)))
+        if several is not None:
+            value = Value(parts=tuple(several))
         known[name.lstrip("$")] = value
-        out.append((name, value))
+        out += [(name, v) for v in ([value] if several is None else several or [Value()])]
+    for m in _CALLED.finditer(text) if "(" in text else ():
+        value = _quoted(m, known)
+        if value.parts or not _KEYLIKE.fullmatch(value.text):
+            out.append((m["name"], value))
     return out
 
 
@@ -226,7 +291,7 @@ def spans(text: str) -> list[tuple[int, int, str]]:
     if "AKIA" in text:
         found += [(m.start(), 1, m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= 18]
     found += [(m.start(), 2, m.end()) for m in _HEX.finditer(text)]
-    named = pairs(text) if "=" in text or ":" in text or "->" in text else []
+    named = pairs(text) if "=" in text or ":" in text or "->" in text or "(" in text else []
     named += marked_up(text) if "</" in text or "/>" in text or "value" in text and "<" in text else []
     literals = set()
     for name, value in named:
@@ -260,9 +325,9 @@ def _scan(batch: pa.RecordBatch):
     yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([r[i] for r in rows], t) for i, t in enumerate(types))], ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"])
 
 
-def _mask(batch: pa.RecordBatch):
-    texts = [t if t is None else masked(t, spans(t)) for t in batch.column("text").to_pylist()]
-    yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+def _mask(batch: pa.RecordBatch, column: str):
+    texts = [t if t is None else masked(t, spans(t)) for t in batch.column(column).to_pylist()]
+    yield batch.set_column(batch.schema.get_field_index(column), column, pa.array(texts, pa.string()))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -275,7 +340,8 @@ def scan(docs: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """docs with its secrets replaced in the text; nothing else changes."""
     C.tune(docs.sparkSession)
-    return C.mapped(docs, _mask, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema))
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])  # whatever the names hold
+    return C.mapped(plain, _mask, plain.schema, column=f"c{docs.columns.index('text')}").toDF(*docs.columns)
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
