@@ -27,3 +27,9 @@ def test_base_phrases_and_templates(documents):
     labels = {r.doc_id: (r.labels, r.score) for r in L.license_scan(documents(rows)).collect()}
     assert labels[3] == ("mit", 1.0) and labels[4][0] == "mit" and 0.7 <= labels[4][1] < 1 and labels[901] == ("", 0.0)
     assert L.license_scan(documents([])).count() == 0
+
+
+def test_rows_without_or_with_the_same_id(documents):
+    odd = [(None, "under the mit license"), (None, "x cc by nc"), (5, "nothing"), (5, "cc by nc"), (None, "x cc by nc")]
+    got = sorted((r.doc_id or 0, r.n_words, r.n_base, r.first_word or 0, r.labels) for r in L.license_scan(documents([*odd, (None, L.TEMPLATES["mit"])])).collect())
+    assert got == sorted([(0, 4, 1, 0, "mit"), (0, 4, 1, 1, "cc-by-nc"), (0, 4, 1, 1, "cc-by-nc"), (5, 1, 0, 0, ""), (5, 3, 1, 0, "cc-by-nc"), (0, len(L.words(L.TEMPLATES["mit"].encode())), 0, 0, "mit")])

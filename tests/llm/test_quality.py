@@ -65,3 +65,11 @@ def test_cutoff_rejects_junk_and_keeps_clean_texts(spark):
     junk, clean = ([r.kept for r in rows if r.quality == q] for q in (0, 1))
     assert len(junk) > 250 and sum(junk) <= 0.1 * len(junk)
     assert len(clean) > 3000 and len(clean) - sum(clean) <= 0.0025 * len(clean)
+
+
+def test_columns_with_names_that_operators_use_stay(spark):
+    rows = spark.sql("SELECT id AS doc_id, concat_ws(' ', transform(sequence(1, 60), i -> concat('word', i * (id + 3)))) AS text, 'en' AS lang, 's' AS source, 'mine' AS __row, named_struct('x y', id) AS `a.b` FROM range(40)")
+    got = Q.kept_documents(rows)
+    assert got.columns == rows.columns and {r["__row"] for r in got.collect()} <= {"mine"}
+    whole = Q.quality(rows).collect()
+    assert len(whole) == 40 and {r["a.b"]["x y"] for r in whole} == set(range(40))

@@ -17,6 +17,7 @@ import unicodedata
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from torquil.llm import common as C
 
@@ -418,8 +419,8 @@ def _render(batch: pa.RecordBatch, column: str):
 def html_text(pages: DataFrame, column: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
     """The kept columns of pages and text: the rendered page."""
     C.tune(pages.sparkSession)
-    schema = ", ".join(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in keep)
-    return C.mapped(pages.select(*keep, F.col(f"`{column}`").cast("string").alias("__html")), _render, schema + ", text string", column="__html")
+    schema = StructType([pages.schema[c] for c in keep]).add("text", "string")
+    return C.mapped(pages.select(*keep, F.col(f"`{column}`").cast("string").alias("__html")), _render, schema, column="__html")
 
 
 def op8_html_text(spark, sf_dir: str) -> DataFrame:

@@ -15,7 +15,6 @@ import difflib
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from torquil.llm import common as C
@@ -53,17 +52,13 @@ def grams(ws: list[bytes], k: int = K) -> np.ndarray:
     return C.rolling(C.WORDS.of(ws), k) if len(ws) >= k else np.zeros(0, np.uint64)
 
 
-def _row(text: bytes) -> int:
-    return xxhash.xxh3_64_intdigest(text) >> 1
-
-
 def _grams(batch: pa.RecordBatch):
     texts = C.texts_of(batch)
     hashes = [grams(words(t)) for t in texts]
     sizes = [len(h) for h in hashes]
     ids = pa.array(np.arange(len(texts)).repeat(sizes))
     at = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
-    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(ids), pa.array([_row(t) for t in texts]).take(ids), pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "row", "at", "gram"])
+    yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(ids), batch.column("row").take(ids), pa.array(at), pa.array(np.concatenate(hashes).view(np.int64))], ["doc_id", "row", "at", "gram"])
 
 
 def _templates(phrases: dict[str, str], templates: dict[str, str]) -> list[tuple[str, str, bool, list[bytes]]]:
@@ -84,9 +79,8 @@ def _verify(batch: pa.RecordBatch, all_templates: list):
     out = []
     for text, found in zip(C.texts_of(batch), batch.column("found").to_pylist()):
         ws = words(text)
-        row = _row(text) if found else None
         base, labels, best, spans = [], set(), 0.0, []
-        for f in sorted((f for f in found or [] if f["row"] == row), key=lambda f: (f["start"], f["template"])):
+        for f in sorted(found or [], key=lambda f: (f["start"], f["template"])):
             label, phrase, want = known[f["template"]]
             if phrase:
                 if ws[f["start"] : f["start"] + len(want)] == want:
@@ -113,18 +107,20 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     """(doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans) of each row of docs (doc_id, text). Phrases have K words or more."""
     spark = docs.sparkSession
     C.tune(spark)
-    docs = C.with_text(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    docs = C.with_text(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("row", F.xxhash64("text"))  # tells texts of one id, or of none, apart
     all_templates = _templates(phrases, templates)
     hits = C.mapped(docs, _grams, "doc_id long, row long, at int, gram long").join(F.broadcast(places(spark, all_templates)), "gram")
     key = ["doc_id", "row", "template"]
-    votes = hits.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*key, "diagonal", "whole", "phrase").agg(F.count_distinct("place").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last"))
+    votes = C.written(hits.withColumn("diagonal", F.col("at") - F.col("place")).groupBy(*key, "diagonal", "whole", "phrase").agg(F.count_distinct("place").alias("votes"), F.min("place").alias("first"), F.max("place").alias("last")), "votes")
     phrase = votes.where("phrase and votes = whole").select(*key, F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("whole") + K - 1).alias("end"))
     along = Window.partitionBy(*key).orderBy("diagonal")
     merged = votes.where("not phrase").withColumn("new", F.coalesce((F.col("diagonal") - F.lag("diagonal").over(along) > NEAR).cast("int"), F.lit(1))).withColumn("run", F.sum("new").over(along))
     merged = merged.groupBy(*key, "run", "whole").agg(F.sum("votes").alias("votes"), F.min("diagonal").alias("start"), (F.max("diagonal") + F.col("whole") + K - 1).alias("end")).where(F.col("votes") >= VOTES * F.col("whole"))
     found = phrase.union(merged.select(*key, "start", "end"))
-    lists = C.written(found.groupBy("doc_id").agg(F.collect_set(F.struct("row", "template", "start", "end")).alias("found")), "candidates")
-    joined = docs.join(C.if_small(lists, C.BROADCAST_ROWS // 4).withColumnRenamed("doc_id", "id"), F.col("doc_id").eqNullSafe(F.col("id")), "left").drop("id")
+    lists = C.written(found.groupBy("doc_id", "row").agg(F.collect_set(F.struct("template", "start", "end")).alias("found")), "candidates")
+    C.drop(votes)
+    same = F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("hash"))
+    joined = docs.join(C.if_small(lists, C.BROADCAST_ROWS // 4).toDF("id", "hash", "found"), same, "left").select("doc_id", "text", "found")
     schema = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans string"
     return C.mapped(joined, _verify, schema, all_templates=all_templates)
 

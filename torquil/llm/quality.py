@@ -20,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from torquil.llm import common as C
 
@@ -185,8 +186,15 @@ def quality(docs: DataFrame) -> DataFrame:
     own = [f"c{i}" for i in range(len(rest))]  # names that can't clash
     named = lambda *c: F.to_json(F.struct(*c), {"ignoreNullFields": "false"})
     plain = docs.select(*[F.col(f"`{f.name}`").alias(c) for f, c in zip(rest, own)], F.col("text").cast("string"), named("lang", "source").alias("grp"), named("lang").alias("lang_"))
-    schema = ", ".join(f"{c} {f.dataType.simpleString()}" for f, c in zip(rest, own)) + ", grp string, lang_ string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
-    stats = C.written(C.mapped(plain, _stats, schema + ", x array<double>"), "stats")
+
+    def schema(*more: str) -> StructType:
+        out = StructType()
+        for f, c in zip(rest, own):
+            out.add(c, f.dataType)
+        return StructType(out.fields + StructType.fromDDL(", ".join(more)).fields)
+
+    figures = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean"
+    stats = C.written(C.mapped(plain, _stats, schema("grp string, lang_ string", figures, "x array<double>")), "stats")
     x = stats.select(F.explode(F.array("grp", "lang_")).alias("grp"), "x")  # estimates of groups and of languages side by side
     params = x.mapInArrow(_histograms, "grp string, feature int, bin long, n long").groupBy("grp", "feature", "bin").agg(F.sum("n").alias("n")).groupBy("grp").applyInPandas(_start, _PARAMS)
     for _ in range(STEPS):
@@ -197,7 +205,7 @@ def quality(docs: DataFrame) -> DataFrame:
     languages = params.select(F.col("grp").alias("lang_"), *[F.col(c).alias(f"lang_{c}") for c in ("n", "center", "inverse", "scale")])
     both = stats.select("grp", "lang_").distinct().join(params, "grp").join(languages, "lang_")
     blended = C.written(both.mapInPandas(_blended, "grp string, center array<double>, inverse array<double>, scale double"), "blended")
-    out = stats.drop("lang_").join(C.if_small(blended, 20_000), "grp").mapInArrow(_verdicts, schema.replace(", lang_ string", "").replace(", grp string", "") + ", kept boolean, distance double")
+    out = stats.drop("lang_").join(C.if_small(blended, 20_000), "grp").mapInArrow(_verdicts, schema(figures, "kept boolean, distance double"))
     more = [c for c in out.columns if c not in own]
     return out.select(*[F.col(c).alias(f.name) for f, c in zip(rest, own) if f.name not in more], *more)
 
@@ -209,9 +217,12 @@ def op6_quality(spark, sf_dir: str) -> DataFrame:
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The rows of docs that quality() keeps, with all their columns. The text is read again instead of carried through every step."""
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text", "lang", "source")]).alias("__row")
-    verdicts = quality(docs.select("doc_id", "text", "lang", "source", row)).where("not kept").select("doc_id", F.col("__row")).distinct()
+    name = "__row"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text", "lang", "source")]).alias(name)
+    verdicts = quality(docs.select("doc_id", "text", "lang", "source", row)).where("not kept").select("doc_id", name).distinct()
     bad = C.written(verdicts, "rejected")
-    named = docs.withColumn("__row", row)
-    match = named["doc_id"].eqNullSafe(bad["doc_id"]) & (named["__row"] == bad["__row"])
-    return named.join(C.if_small(bad), match, "left_anti").drop("__row")
+    named = docs.withColumn(name, row)
+    match = named["doc_id"].eqNullSafe(bad["doc_id"]) & (named[name] == bad[name])
+    return named.join(C.if_small(bad), match, "left_anti").drop(name)

@@ -28,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from torquil.llm import common as C
 
@@ -386,7 +387,7 @@ def suffix_dedup(docs: DataFrame, length: int = 400) -> DataFrame:
     rows = C.stored(docs, "documents")
     text = f"c{docs.columns.index('text')}"
     places = repeated_places(rows.select("row", F.col(text).cast("string").alias("text")), (length,))
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema if f.name != "row")
+    schema = StructType([f for f in rows.schema if f.name != "row"])
     return C.mapped(rows.join(places.hint("shuffle_hash"), "row", "left"), _texts_left, schema, text=text, length=length).toDF(*docs.columns)
 
 
