@@ -48,7 +48,9 @@ STAGES = [("quality rules", quality_rules), ("near duplicates", near_duplicates)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = C.written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        C.drop(*([last] if last else []))  # the next table holds all that it gave
+        last = docs
     return docs
