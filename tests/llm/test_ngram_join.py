@@ -62,6 +62,15 @@ def test_rows_of_one_id_are_one_node(spark):
     assert got == {(1, 1), (2, 1), (3, 1), (9, 9)}
 
 
+@pytest.mark.parametrize("every", [False, True])
+@pytest.mark.parametrize(("left", "right"), [([1, 6], [3, 7]), ([3, 7], [1, 6]), ([1, 6], [1, 6])])
+def test_a_tile_holds_each_pair_whichever_block_has_the_smaller_row(left, right, every):
+    bits = J.bitmap(np.arange(1, 9, dtype=np.uint64))
+    found = []
+    J._tile([(0, side, d, d, 8, bits) for side, docs in enumerate((left, right)) for d in docs], 80, every, found)
+    assert sorted(f[:2] for f in found) == sorted({(min(a, b), max(a, b)) for a in left for b in right if a != b})
+
+
 def test_bits_never_bound_too_low():
     g = np.random.default_rng(1)
     for _ in range(200):

@@ -230,16 +230,17 @@ def _exact(batch: pa.RecordBatch, percent: int):
 
 
 def _tile(rows: list[tuple], percent: int, every: bool, found: list[tuple]) -> None:
-    """Adds (a, b, one, other, score) of pairs of different components, one of the tile's first block and one of its second, that bitmaps leave: every one, or the best of each two components."""
+    """Adds (a, b, one, other, score) of pairs of different components, one of the tile's first block and one of its second, that bitmaps leave: every one, or the best of each two components. The two blocks are the same one or have no row in common."""
     left, right = ([r for r in rows if r[1] == side] for side in (0, 1))
     if not left or not right or len({r[3] for r in rows}) == 1:
         return
     size = min(len(r[5]) for r in rows)
     y = np.stack([fold(r[5], size) for r in right])
     docs, comps, ny = (np.array([r[k] for r in right], np.int64) for k in (2, 3, 4))
+    across = left[0][2] not in docs  # in one block alone both sides hold each pair
     best: dict[tuple[int, int], tuple] = {}
     for _, _, doc, comp, nx, bits in left:
-        at = np.flatnonzero((docs > doc) & (comps != comp))
+        at = np.flatnonzero(((docs > doc) | across) & (comps != comp))
         if not len(at):
             continue
         x, z = fold(bits, size), y[at]
@@ -247,13 +248,13 @@ def _tile(rows: list[tuple], percent: int, every: bool, found: list[tuple]) -> N
         keep = (bound > 0) & (100 * bound >= percent * (nx + ny[at] - bound))
         at, score = at[keep], bound[keep] / (nx + ny[at[keep]] - bound[keep])
         for j, p in zip(at.tolist(), score.tolist()):
-            d, c = int(docs[j]), int(comps[j])
+            pair, c = tuple(sorted((doc, int(docs[j])))), int(comps[j])
             if every:
-                found.append((doc, d, doc, d, p))
+                found.append((*pair, *pair, p))
             else:
                 key = (min(comp, c), max(comp, c))
                 if key not in best or best[key][4] < p:
-                    best[key] = (doc, d, *key, p)
+                    best[key] = (*pair, *key, p)
     found += best.values()
 
 
