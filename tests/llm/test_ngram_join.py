@@ -71,6 +71,14 @@ def test_a_tile_holds_each_pair_whichever_block_has_the_smaller_row(left, right,
     assert sorted(f[:2] for f in found) == sorted({(min(a, b), max(a, b)) for a in left for b in right if a != b})
 
 
+def test_components_go_on_from_known_ones(spark):
+    links = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    known = J.C.components(links([(5, 4), (4, 9), (2, 3), (20, 21)]))
+    got = J.C.components(links([(9, 3), (30, 31), (1, 20), (4, 5), (7, 7)]), known)
+    assert sorted(map(tuple, got.collect())) == [(1, 1), (2, 2), (3, 2), (4, 2), (5, 2), (9, 2), (20, 1), (21, 1), (30, 30), (31, 30)]
+    assert sorted(map(tuple, J.C.components(links([]), known).collect())) == sorted(map(tuple, known.collect()))
+
+
 def test_bits_never_bound_too_low():
     g = np.random.default_rng(1)
     for _ in range(200):

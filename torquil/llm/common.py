@@ -139,32 +139,51 @@ def mapped(df: DataFrame, function, schema: str | StructType, **settings) -> Dat
     return df.mapInArrow(run, schema)
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(id, component_id): every id of the links (a, b: long) with the smallest id it reaches.
+#: Links for each task, and tasks at least, when few links are left.
+EDGES, TASKS = 20_000, 8
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(id, component_id): every id of the links (a, b: long) with the smallest id it reaches. known: such a table of earlier links, whose links count, too.
 
     Contracts edges round by round: each node goes to the neighbour (or itself) of the least seeded hash, which
     shrinks any graph by a constant factor expected, so the rounds are logarithmic in the longest path and no
-    node's neighbours meet in one task: minima are combined before the shuffle.
+    node's neighbours meet in one task: minima are combined before the shuffle. What a round leaves is written by
+    as many tasks as its size asks for, since the last rounds have little to do. With known, only its components are nodes.
     """
+    if known is not None:
+        to = lambda c: known.toDF(c, f"c{c}")
+        ends = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+        joined = components(ends)
+        grown = known.join(joined.toDF("component_id", "to"), "component_id", "left").select("id", F.coalesce("to", "component_id").alias("component_id"))
+        return written(grown.union(joined.join(known.select("id"), "id", "left_anti")), "components")
+    most = int(links.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     links = written(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
     nodes = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    edges, steps, turn = links, [], 0
-    while edges.take(1):
+    edges, steps, turn, size = links, [], 0, links.count()
+    tasks = asked = max(TASKS, size // EDGES)
+    few = lambda df: df.coalesce(tasks) if tasks < most else df
+    while size:
+        edges = few(edges)
         both = edges.union(edges.select("b", "a"))
         rank = lambda c: F.xxhash64(c, F.lit(turn))  # noqa: E731  a bijection, so there are no ties
         up = both.groupBy("a").agg(F.min_by("b", rank("b")).alias("m"), F.min(rank("b")).alias("h")).select(F.col("a").alias("node"), F.when(F.col("h") < rank("a"), F.col("m")).otherwise(F.col("a")).alias("up"))
-        up = written(up, "parents")
-        last, edges = edges, written(edges.join(up.toDF("a", "ua"), "a").join(up.toDF("b", "ub"), "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "edges")
-        if last is not links:
-            drop(last)
+        up = written(few(up), "parents")
+        left = edges.join(up.toDF("a", "ua"), "a").join(up.toDF("b", "ub"), "b").where("ua <> ub").select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct()
+        edges = written(few(left), "edges")
+        if turn:
+            drop(kept)
+        kept, size = edges, edges.count()
+        tasks = max(TASKS, size // EDGES)
         steps.append(up)
         turn += 1
+    tasks = asked
     roots = nodes.withColumn("root", F.col("id"))
     for up in steps:
         roots = roots.join(up.toDF("root", "up"), "root", "left").select("id", F.coalesce("up", "root").alias("root"))
-    roots = written(roots, "roots")
+    roots = written(few(roots), "roots")
     # both sides are plain tables, so that a giant component's rows can be split
-    least = written(roots.groupBy("root").agg(F.min("id").alias("component_id")), "least")
-    out = written(roots.join(least, "root").select("id", "component_id"), "components")
-    drop(edges, *steps, roots, least, *([links] if edges is not links else []))
+    least = written(few(roots.groupBy("root").agg(F.min("id").alias("component_id"))), "least")
+    out = written(few(roots.join(least, "root").select("id", "component_id")), "components")
+    drop(*([kept] if turn else []), *steps, roots, least, links)
     return out

@@ -336,8 +336,7 @@ def row_components(texts: DataFrame, k: int, percent: int) -> DataFrame:
     comps = C.components(links)
     more = C.written(_with_components(possible.join(first, ["a", "b"], "left_anti"), comps).where("ca <> cb").select("a", "b"), "more")
     if more.take(1):
-        links = C.written(links.union(_verified(more, texts, k, percent)), "linked")
-        comps = C.components(links)
+        comps = C.components(_verified(more, texts, k, percent), comps)
     # segments that still hold several components: block by block, first a pair of each two components, then all that are
     # left of different components
     for every in (False, True):
@@ -345,8 +344,7 @@ def row_components(texts: DataFrame, k: int, percent: int) -> DataFrame:
         open_keys = C.written(split.groupBy("key").agg(F.max(F.col("ca") != F.col("cb")).alias("open"), F.count("*").alias("n")).where("open and n > 1").select("key", "n"), "open")
         more_open = open_keys.take(1)
         if more_open:
-            links = C.written(links.union(_verified(_open_pairs(stars, open_keys, signed, comps, first, percent, every), texts, k, percent)), "linked")
-            comps = C.components(links)
+            comps = C.components(_verified(_open_pairs(stars, open_keys, signed, comps, first, percent, every), texts, k, percent), comps)
         C.drop(open_keys)
         if not more_open:
             break
