@@ -69,3 +69,16 @@ def test_a_failing_fit_fails_the_job(spark):
     with pytest.raises(ValueError, match="no"):
         M.side_by_side([lambda: spark.range(1), fails], 2)
     assert M.side_by_side([], 2) is None and M.side_by_side([lambda: None], 2) is None
+
+
+def test_a_forest_is_the_same_whatever_the_shuffle_partitions(spark):
+    rows = [("abc"[i * 7 % 3], float(i * 37 % 101), float(i * i % 89)) for i in range(300)]
+    samples = spark.createDataFrame(rows, "family string, x double, y double")
+    forest, found = M.Forest(("x", "y"), trees=5, depth=4), []
+    try:
+        for n in (4, 7):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            found.append(forest.fit(samples).stages[2].toDebugString.split("\n", 1)[1])
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert found[0] == found[1]

@@ -18,6 +18,9 @@ from torquil.config import DEFAULTS
 from torquil.operators import features as M
 from torquil.sources import shared as T
 
+#: Parts of a fit's samples at least, and at most while they have fewer than the second number of rows; rows that ask for one more of the former, and of the latter.
+PARTS, ROWS = (4, 12), (7_500, 300_000)
+
 
 @dataclass(frozen=True)
 class Forest:
@@ -29,11 +32,20 @@ class Forest:
     pool: int = 4
 
     def fit(self, samples: DataFrame) -> PipelineModel:
-        """A forest that depends on the samples' values and the seed alone: rows are dealt and ordered by their values, as each part draws its own rows."""
-        parts = int(samples.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        samples = samples.select(self.label, *self.columns).repartition(parts, self.label, *self.columns).sortWithinPartitions(self.label, *self.columns)
+        """A forest that depends on the samples' values and the seed alone: rows are dealt and ordered by their values, as each part draws its own rows.
+
+        Each part sends the counts of all nodes of a level, so there are as few parts as keep the cores busy, whatever
+        the shuffle partitions: these sums, not the rows, are most of the work.
+        """
+        samples = samples.select(self.label, *self.columns)
+        n = samples.count()
+        parts = max(PARTS[0], min(PARTS[1], n // ROWS[0]), n // ROWS[1])
+        samples = samples.repartition(parts, self.label, *self.columns).sortWithinPartitions(self.label, *self.columns).persist()
         forest = RandomForestClassifier(labelCol="__label", featuresCol="__x", numTrees=self.trees, maxDepth=self.depth, featureSubsetStrategy="sqrt", seed=self.seed)
-        return Pipeline(stages=[StringIndexer(inputCol=self.label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(self.columns), outputCol="__x"), forest]).fit(samples)
+        try:
+            return Pipeline(stages=[StringIndexer(inputCol=self.label, outputCol="__label", handleInvalid="skip", stringOrderType="alphabetAsc"), VectorAssembler(inputCols=list(self.columns), outputCol="__x"), forest]).fit(samples)
+        finally:
+            samples.unpersist()
 
     def probabilities(self, model: PipelineModel, samples: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         """(keys, class, p): a row for each sample and class."""

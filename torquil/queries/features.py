@@ -168,7 +168,7 @@ def forest_blocks(spark, d):
 def forest_importances(spark, d):
     """T-06."""
     forest = _forest()
-    ranked = forest.importances(forest.fit(_samples(spark, d)), spark)
+    ranked = forest.importances(forest.fit(T.written(_samples(spark, d), "samples")), spark)
     return ranked.unionByName(ranked.groupBy("column").agg(F.sum("importance").alias("importance")).withColumn("feature", F.lit("all")))
 
 
