@@ -66,3 +66,23 @@ def test_same_rows_in_file_order_beyond_211_blocks(spark, repeated, name):
     columns = sorted(df.columns)
     rows = c.execute(f"SELECT {', '.join(chr(34) + x + chr(34) for x in columns)} FROM ({Q.SQL[name]})").fetchall()
     assert sorted([tuple(plain(r[c]) for c in columns) for r in df.collect()], key=str) == sorted([tuple(map(plain, row)) for row in rows], key=str)
+
+
+@pytest.fixture(scope="module")
+def tied(spark, tmp_path_factory):
+    """The events of sf0.001 with copies that keep their ids: one two days later with other values, two as they are, and one of ids beyond 2**53."""
+    root = str(tmp_path_factory.mktemp("tied"))
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    copies = [events.selectExpr(f"event_id + {by} AS event_id", f"ts + INTERVAL {hours} HOURS AS ts", "user_id", "event_type", f"value + {more} AS value", "props") for by, hours, more in ((0, 0, 0), (0, 55, 3), (0, 0, 0), (10**17 + 1, 0, 0))]
+    copies[0].union(copies[1]).union(copies[2]).union(copies[3]).write.parquet(f"{root}/events.parquet")
+    return root
+
+
+def test_places_in_file_order_of_large_ids_are_distinct(spark, tied):
+    df = Q.readings(spark, tied)
+    assert df.select("pos").distinct().count() == df.select("id").distinct().count()
+
+
+@pytest.mark.parametrize("name", ["consecutive_duplicates", "disorder", "file_blocks", "file_jumps", "file_slice", "worst_backward", "label_transitions"])
+def test_same_rows_in_file_order_with_repeated_ids(spark, tied, name):
+    test_same_rows_in_file_order_beyond_211_blocks(spark, tied, name)

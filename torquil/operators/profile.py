@@ -59,8 +59,8 @@ def sampling_rate(df: DataFrame, time: str = DEFAULTS.time, tie: str = DEFAULTS.
 
 
 def file_jumps(df: DataFrame, position: str, time: str = DEFAULTS.time) -> DataFrame:
-    """Steps back in file order: count, share, worst, and the median step forward."""
-    steps = Timeline.by_position(position).previous(df.select(position, time), __pt=time).select(X.seconds("__pt", time).alias("d"))
+    """Steps back in file order: count, share, worst, and the median step forward. Rows of one position go by time."""
+    steps = Timeline((position, time)).previous(df.select(position, time), __pt=time).select(X.seconds("__pt", time).alias("d"))
     steps = T.written(steps.where("d is not null").groupBy("d").agg(F.count("*").alias("k")), "steps")
     back = F.coalesce(F.sum(F.when(F.col("d") < 0, F.col("k"))), F.lit(0))
     out = steps.agg(back.alias("backward"), (100 * F.try_divide(back, F.sum("k"))).alias("backward_pct"), F.min(F.when(F.col("d") < 0, F.col("d"))).alias("worst_s"))
@@ -82,8 +82,8 @@ def unit_redundancy(df: DataFrame, pairs: list[tuple[str, str, float, float]], t
 
 
 def consecutive_duplicates(df: DataFrame, position: str, label: str, measures: tuple[str, ...]) -> DataFrame:
-    """(label, n, duplicates): rows equal to the one before in file order. A null measure equals nothing; a null label is passed over."""
-    out = Timeline.by_position(position).previous(df, __pl=label, **{f"__p{i}": c for i, c in enumerate(measures)})
+    """(label, n, duplicates): rows equal to the one before in file order. A null measure equals nothing; a null label is passed over. Rows of one position go by label and measures, nulls first."""
+    out = Timeline((position, label, *measures)).previous(df, __pl=label, **{f"__p{i}": c for i, c in enumerate(measures)})
     same = X.all_of([F.coalesce(F.col(c) == F.col(f"__p{i}"), F.lit(False)) for i, c in enumerate(measures)]) & F.coalesce(F.col(label) == F.col("__pl"), F.lit(True)) & ~F.col("__first")
     return out.groupBy(label).agg(F.count("*").alias("n"), F.count_if(same).alias("duplicates"))
 
@@ -167,9 +167,9 @@ def event_profiles(df: DataFrame, columns: tuple[str, ...], group: str, time: st
 
 
 def file_blocks(df: DataFrame, position: str, label: str = DEFAULTS.label) -> DataFrame:
-    """(block, label, first, last, n, next_first, centre): runs in file order, cut where the label changes or the position jumps."""
+    """(block, label, first, last, n, next_first, centre): runs in file order, cut where the label changes or the position jumps. Rows of one position go by label."""
     opens = lambda rows: rows.withColumn("__opens", F.col("__first") | X.changed(F.col(label), F.col("__pl")) | (F.col(position) - F.col("__pp") > 1))
-    out = Timeline.by_position(position).scan(df.select(position, label), {"__pl": label, "__pp": position}, opens, "__opens", "block")
+    out = Timeline((position, label)).scan(df.select(position, label), {"__pl": label, "__pp": position}, opens, "__opens", "block")
     bands = out.groupBy("block").agg(F.first(label).alias(label), F.min(position).alias("first"), F.max(position).alias("last"), F.count("*").alias("n"))
     follow = Timeline.by_position("__neg").previous(bands.withColumn("__neg", -F.col("block")), next_first="first")
     return follow.select("block", label, "first", "last", "n", "next_first", ((F.col("first") + F.col("last")) / 2).alias("centre"))
