@@ -147,6 +147,17 @@ def test_a_rebuild_that_dies_leaves_the_old_tables(spark, tmp_path, monkeypatch)
     assert snapshot.latest(spark, path).read("documents").count() == 1 and snapshot.clean(spark, path) >= 2
 
 
+def test_a_rebuild_numbers_events_on_the_columns_it_needs(spark, tmp_path, monkeypatch):
+    seen, whole = [], (plans.S.events, plans.S.events_split_first)
+    for f in whole:
+        monkeypatch.setattr(plans.S, f.__name__, lambda df, f=f: seen.append(sorted(df.columns)) or f(df))
+    path = str(tmp_path / "db")
+    plans.rebuild(readings(spark, 40).withColumn("other", F.lit("x")), path, ("m",))
+    assert seen == [["created_at", "fault", "id", "m", "rpm"]] * 2
+    now = snapshot.latest(spark, path)
+    assert "other" in now.read("readings").columns and {r.version for r in now.read("events").collect()} == {"A", "B"}
+
+
 def test_streamed_rows_without_a_time(spark, tmp_path):
     from torquil.streaming import entity_events
 
