@@ -12,14 +12,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from torquil.config import DEFAULTS
 from torquil.operators import features as M
+from torquil.operators.grown import probabilities
 from torquil.sources import shared as T
 
 #: Parts of a fit's samples at least, and at most while they have fewer than the second number of rows; rows that ask for one more of the former, and of the latter.
 PARTS, ROWS = (4, 12), (7_500, 300_000)
+#: Fits of a validation that share a job.
+FITS = 10
 
 
 @dataclass(frozen=True)
@@ -66,7 +69,8 @@ class Forest:
 
     def held_out(self, samples: DataFrame, event: str, one) -> DataFrame:
         """The ranking of one event by a forest that never saw it."""
-        return self.blocks(self.fit(samples.where(F.col(event) != one)), samples.where(F.col(event) == one), event)
+        dealt = samples.withColumn("__one", F.when(F.col(event) == one, 1).otherwise(0))
+        return ranked(self._scored(dealt, "__one", (event,), [1]), event)
 
     def left_out(self, samples: DataFrame, event: str, groups: int | None = None) -> DataFrame:
         """(event, label, class, p, rank) of every event, by forests that never saw it: one for each event, or one for each group of events, all of which it leaves out.
@@ -80,26 +84,20 @@ class Forest:
         else:
             dealt = events.withColumn("__group", F.row_number().over(Window.orderBy(event)))
         dealt = T.written(dealt, "groups")
-        grouped = stored.join(dealt, event)
-
-        def ranked(k: int) -> DataFrame | None:
-            rest = grouped.where(F.col("__group") != k)
-            return self.blocks(self.fit(rest), grouped.where(F.col("__group") == k), event) if rest.take(1) else None
-
-        parts = side_by_side([lambda k=r[0]: ranked(k) for r in dealt.select("__group").distinct().orderBy("__group").collect()], self.pool)
-        kinds = f"{event} {dict(samples.dtypes)[event]}, class string, p double, rank int"
-        out = parts if parts is not None else samples.sparkSession.createDataFrame([], kinds)
+        grouped = T.written(stored.join(dealt, event), "grouped")
+        out = ranked(self._scored(grouped, "__group", (event,)), event)
         return out.join(stored.groupBy(event).agg(F.first(self.label).alias(self.label)), event).select(event, self.label, "class", "p", "rank")
 
+    def _scored(self, folded: DataFrame, fold: str, keys: tuple[str, ...], fits: list[int] | None = None) -> DataFrame:
+        """(keys, class, p): a row for each sample and class, by the forest of the samples of other folds; some fits at a time."""
+        fits = [r[0] for r in folded.select(fold).distinct().orderBy(fold).collect()] if fits is None else fits
+        one = lambda ks: probabilities(folded, fold, keys, self.columns, self.label, self.trees, self.depth, self.seed, ks)
+        some = [fits[i : i + FITS] for i in range(0, len(fits), FITS)]
+        return one(fits) if len(some) < 2 else side_by_side([lambda ks=ks: one(ks) for ks in some], self.pool, folded.sparkSession)
+
     def cross_validated(self, folded: DataFrame, keys: tuple[str, ...], folds: int) -> DataFrame:
-        """(keys, label, fold, predicted): each fold by a forest fitted on the others; fits run side by side."""
-        return side_by_side([lambda k=k: self._fold(folded, keys, k) for k in range(folds)], self.pool)
-
-    def _fold(self, folded: DataFrame, keys: tuple[str, ...], k: int) -> DataFrame | None:
-        test, rest = folded.where(F.col("fold") == k), folded.where(F.col("fold") != k)
-        if not rest.take(1):
-            return None
-        p = self.probabilities(self.fit(rest), test, (*keys, self.label, "fold"))
+        """(keys, label, fold, predicted): each fold by a forest grown on the others."""
+        p = self._scored(folded, "fold", (*keys, self.label, "fold"), list(range(folds)))
         return p.groupBy(*keys, self.label, "fold").agg(F.max_by("class", F.struct("p", "class")).alias("predicted"))
 
     def _folded(self, samples: DataFrame, event: str, keys: tuple[str, ...], folds: int) -> dict[str, DataFrame]:
@@ -131,11 +129,11 @@ def top_family(ranking: DataFrame, block: str) -> DataFrame:
     return ranking.where("rank = 1").select(block, F.col("class").alias("family"), F.col("p").alias("confidence"))
 
 
-def side_by_side(jobs: list[Callable[[], DataFrame | None]], pool: int) -> DataFrame | None:
+def side_by_side(jobs: list[Callable[[], DataFrame | None]], pool: int, session: SparkSession | None = None) -> DataFrame | None:
     """The union of what the jobs give, `pool` of them at a time, each written as it comes: Spark deals their tasks to the same executors."""
     if not jobs:
         return None
-    session = T.active()
+    session = session or T.active()
     run = inheritable_thread_target(session)(lambda job: (lambda df: None if df is None else T.written(df, "fit"))(job()))
     with ThreadPoolExecutor(pool) as threads:
         parts = [df for df in threads.map(run, jobs) if df is not None]
@@ -162,9 +160,8 @@ def experiment(events: DataFrame, forest: Forest, sizes: tuple[int, ...], column
         for strategy, folded in forest._folded(kept.where(F.col("size") == size), event, (event, "k"), folds).items():
             for on in with_regime:
                 names = tuple(f"{c}__{s}" for c in (*columns, *(regime if on else ())) for s in M.STATISTICS)
-                for k in range(folds):
-                    tag = lambda df, size=size, on=on, strategy=strategy: df.withColumns({"size": F.lit(size), "regime": F.lit(on), "strategy": F.lit(strategy)})
-                    jobs.append(lambda f=replace(forest, columns=names), folded=folded, k=k, tag=tag: (lambda df: None if df is None else tag(df))(f._fold(folded, (event, "k"), k)))
+                tag = lambda df, size=size, on=on, strategy=strategy: df.withColumns({"size": F.lit(size), "regime": F.lit(on), "strategy": F.lit(strategy)})
+                jobs.append(lambda f=replace(forest, columns=names), folded=folded, tag=tag: tag(f.cross_validated(folded, (event, "k"), folds)))
     said = side_by_side(jobs, forest.pool)
     cells = spark.createDataFrame([(size, on, *((counts[size].samples, counts[size].events, counts[size].classes) if size in counts else (0, 0, 0))) for size in sizes for on in with_regime], "size int, regime boolean, samples long, events long, classes long")
     cells = cells.withColumn("lost_pct", 100 * (1 - F.try_divide(F.col("events"), F.lit(total))))
