@@ -81,3 +81,19 @@ def test_a_validation_takes_a_few_jobs_whatever_trees_depth_and_folds(spark, sam
     finally:
         spark.sparkContext._jsc.clearJobGroup()
     assert len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)) < 25
+
+
+def jobs_of(spark, run) -> int:
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "fits")
+    try:
+        run()
+    finally:
+        spark.sparkContext._jsc.clearJobGroup()
+    return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+
+def test_left_out_events_take_a_few_jobs_whatever_the_groups(spark, samples):
+    forest = M.Forest(COLUMNS, "family", trees=60, depth=8)
+    rows = samples.where("family is not null").withColumn("event", F.col("id") % 24)
+    assert jobs_of(spark, lambda: forest.left_out(rows, "event", 10).collect()) < 35
