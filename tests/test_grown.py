@@ -97,3 +97,12 @@ def test_left_out_events_take_a_few_jobs_whatever_the_groups(spark, samples):
     forest = M.Forest(COLUMNS, "family", trees=60, depth=8)
     rows = samples.where("family is not null").withColumn("event", F.col("id") % 24)
     assert jobs_of(spark, lambda: forest.left_out(rows, "event", 10).collect()) < 35
+
+
+@pytest.mark.parametrize("sizes, regime, most", [((10,), (False, True), 120), ((5, 10, 20), (False,), 180)])
+def test_an_experiment_takes_a_few_jobs_for_each_cell(spark, sizes, regime, most):
+    rows = spark.range(360).select("id", (F.col("id") / 30).cast("int").alias("event"), F.timestamp_seconds("id").alias("t"), F.col("id").cast("double").alias("r"))
+    rows = rows.withColumns({"family": F.concat(F.lit("c"), F.col("event") % 3), "x": (F.col("event") % 3) * 10 + F.col("id") % 7})
+    got = []
+    n = jobs_of(spark, lambda: got.extend(M.experiment(rows, M.Forest((), "family", trees=60, depth=8), sizes, ("x",), ("r",), regime, "event", ("t", "id"), folds=3).collect()))
+    assert n < most and len(got) == len(sizes) * len(regime) and all(r.by_event > 0.9 for r in got)
