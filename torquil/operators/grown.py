@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, functions as F
 from torquil.sources import shared as T
 
 #: Bins of a column; trees of a task; rows of a task at most.
-BINS, TREES, HELD = 32, 50, 1 << 20
+BINS, TREES, HELD = 32, 50, 1 << 22
 #: Rows that the bins' edges are taken from, about: all, if there are no more (Spark ML takes 10,000). All rows are learned from.
 EDGES = 1 << 16
 #: Shares of leaves are whole multiples of this, so that their sums are the same in any order.
@@ -81,8 +81,9 @@ class Tree:
         right = x.ravel().take(np.maximum(f, 0) * x.shape[1] + rows) > self.cut[node]
         return np.where(f >= 0, self.left[node] + right, node)
 
-    def reached(self, x: np.ndarray) -> np.ndarray:
-        rows, node = np.arange(x.shape[1]), np.zeros(x.shape[1], dtype=int)
+    def reached(self, x: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+        rows = np.arange(x.shape[1]) if rows is None else rows
+        node = np.zeros(len(rows), dtype=int)
         while (self.feature[node] >= 0).any():
             node = self.step(x, rows, node)
         return node
@@ -237,10 +238,13 @@ def _by_level(spark, packed: DataFrame, plan: Plan, chunks: int) -> DataFrame:
             tree = Tree.of(r, k)
             if not tree.open:
                 continue
-            node, w = tree.reached(x), plan.drawn(r.fit, r.tree, key[2], len(y))
-            rows = np.flatnonzero((w > 0) & (node >= tree.start))
+            w = plan.drawn(r.fit, r.tree, key[2], len(y))
+            rows = np.flatnonzero(w)
+            node = tree.reached(x, rows)
+            here = node >= tree.start
+            rows, node = rows[here], node[here] - tree.start
             subset = plan.subset(r.fit, r.tree, int(r.level), tree.open)
-            out.append((r.fit, r.chunk, r.tree, plan.sums(x, y, rows, w[rows].astype(float), node[rows] - tree.start, subset).tobytes()))
+            out.append((r.fit, r.chunk, r.tree, plan.sums(x, y, rows, w[rows].astype(float), node, subset).tobytes()))
         return pd.DataFrame(out, columns=["fit", "chunk", "tree", "sums"])
 
     def split(key, sums, state):
